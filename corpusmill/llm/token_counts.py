@@ -92,7 +92,7 @@ def token_counts(
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["unit", "n"])
 
     heavy = texts.mapInArrow(frequent, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(heavy_terms).select("unit")
-    units = [bytes(r[0]) for r in heavy.toArrow().column(0).to_pylist()]
+    units = heavy.toArrow().column(0).to_pylist()
     counts = dict(zip(units, map(len, tokenizer(tokenizer_path)([u.decode() for u in units])), strict=True))
     known = spark.sparkContext.broadcast(counts)
 
