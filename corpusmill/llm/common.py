@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one Python step holds at once.
 WINDOW_BYTES = 24 << 20
 
@@ -31,7 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN_SHUFFLES)
+    spark.conf.set(_CLEAN_SHUFFLES, "true")  # the table replaces the shuffles that made it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

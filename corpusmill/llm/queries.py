@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, imatch, packing, quality, token_counts, url_filter
+from . import exact_dedup, imatch, jaccard_join, language, packing, piece_sampling, quality, substring_dedup, token_counts, url_filter
 
 #: Fixed values of the contract of op9: (verdict, host, path).
 URL_RULES = [
@@ -34,10 +34,37 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, weights).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+#: The languages of the labelled documents.
+LANGUAGES = ["de", "en", "es", "fr"]
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_trigrams(_read(spark, sf_dir, "documents"), LANGUAGES)
+    pages = _read(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("html", r"""(?i)<html\b[^>]*\blang\s*=\s*["']?([a-z]{2,3})""", 1).alias("declared"))
+    return language.identify(pages, model, LANGUAGES, "html", host=F.col("host"), declared=F.col("declared"), markup=True).select("page_id", "language", "probability", "text_language", "declared")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["<|endoftext|>"])
 
 
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("ids", piece_sampling.encode_sampled(F.col("doc_id"), F.col("text"), path)).withColumn("back", piece_sampling.decode_pieces(F.col("ids"), path))
+    digest = F.crc32(F.array_join("ids", ",").cast("binary"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.substring_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), "removed_chars", F.length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op5_token_counts, op8_imatch_fingerprints, op9_url_filters, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_ngram_jaccard_join, op4_language_id, op5_token_counts, op6_piece_sampling, op7_substring_dedup, op8_imatch_fingerprints, op9_url_filters, op10_packing)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
