@@ -40,8 +40,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
-    gone = exact.exact_dedup(docs).where(~F.col("kept")).select("doc_id")
+    """Of equal texts one stays. Rows that repeat both id and text are one row first; rows without an id stay."""
+    found = materialize(exact.exact_dedup(docs), "dedup-found")
+    if not found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    gone = found.where(~F.col("kept")).select("doc_id").subtract(found.where("kept").select("doc_id"))
     return _without(docs, gone, ["doc_id"]).select(*COLUMNS)
 
 
