@@ -3,8 +3,8 @@
 Terms are runs of letters and digits, lower case. The lexicon holds the terms whose document frequency lies between
 `band[0]` and `band[1]` of all documents: at most (distinct terms of an average document) / band[0] terms, however
 large the corpus, of which the `max_lexicon` most frequent are used. A text's terms in the lexicon, distinct and
-sorted, are hashed once whole and once for each of several random subsets of the lexicon, which keep one term of 8,
-32, 128 or 512 so that texts of any length have subsets with few terms. A text without terms in the lexicon uses
+sorted, are hashed once whole and once for each of several random subsets of the lexicon, which keep one term of 8
+to one of 1024, so that texts of any length have subsets with few terms. A text with at most `few` terms in the lexicon uses
 all its terms.
 
 The likeness of two fingerprints is the share of the hashes on which they agree among those where either has a term;
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Random subsets of the lexicon: by seed of a hash, (one term of so many is kept, so many subsets). Each takes its own bits.
-SUBSETS = ((1, ((8, 8), (32, 8))), (2, ((128, 9),)), (3, ((512, 7),)))
+SUBSETS = ((1, ((8, 6), (32, 9))), (2, ((64, 10),)), (3, ((128, 9),)), (4, ((256, 8),)), (5, ((256, 8),)), (6, ((512, 7),)), (7, ((1024, 6),)))
 #: Buckets of neighbouring ids are at most so many, which bounds what is broadcast about them.
 MAX_BUCKETS = 1 << 16
 
@@ -46,12 +46,12 @@ def _subset(low: int, rate: int) -> Callable[[Column], Column]:
     return lambda h: F.shiftrightunsigned(h, low).bitwiseAND(F.lit(rate - 1).cast("long")) == 0
 
 
-def _with_parts(rows: DataFrame, text_col: str, words: list[str], out: str) -> DataFrame:
+def _with_parts(rows: DataFrame, text_col: str, words: list[str], out: str, few: int) -> DataFrame:
     """Add `out`: the array of hashes of a text, null where a subset holds no term of it."""
     among = ", ".join(f"'{w}'" for w in words)  # terms have letters and digits only
     rows = rows.withColumn("_terms", terms(F.col(text_col)))
     listed = F.expr(f"filter(_terms, t -> t IN ({among}))" if words else "cast(array() as array<string>)")
-    rows = rows.withColumn("_listed", listed).withColumn("_used", F.array_sort(F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(F.col("_terms"))))
+    rows = rows.withColumn("_listed", listed).withColumn("_used", F.array_sort(F.when(F.size("_listed") > few, F.col("_listed")).otherwise(F.col("_terms"))))
     found = [F.col("_used")]
     for seed, kinds in SUBSETS:
         rows, low = rows.withColumn(f"_hashed{seed}", F.transform("_used", _hash(seed))), 0
@@ -98,7 +98,7 @@ def with_next(docs: DataFrame, n_rows: int, rows_a_bucket: int = 256) -> DataFra
     return found.select("doc_id", "text", F.explode(copies).alias("at")).select("doc_id", "text", "at.bucket", "at.ghost")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = (0.001, 0.1), max_lexicon: int = 8192) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = (0.001, 0.1), max_lexicon: int = 8192, few: int = 8) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document.
@@ -106,11 +106,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = lexicon(own, "text", band, max_lexicon)
     rows = with_next(own, own.count())
-    rows = _with_parts(rows.repartition("bucket"), "text", words, "parts")
+    rows = _with_parts(rows.repartition("bucket"), "text", words, "parts", few)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_parts": F.lead("parts").over(order)}).where("ghost = 0")
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 4) as int))"))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "parts", "next_parts", edited.alias("edited"))
-    rows = _with_parts(rows, "edited", words, "edited_parts").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = _with_parts(rows, "edited", words, "edited_parts", few).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     return rows.select("doc_id", "n_chars", "edited_sha256", _string(F.col("parts")).alias("fingerprint"), _string(F.col("edited_parts")).alias("edited_fingerprint"), likeness(F.col("parts"), F.col("edited_parts")).alias("near_edited"), likeness(F.col("parts"), F.col("next_parts")).alias("near_next"))
