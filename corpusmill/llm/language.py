@@ -142,8 +142,9 @@ def identify(
     bare = F.col("_logs").isNull() & F.col("_said").isNull() & F.col("_of_host").isNull()
     odds = F.when(bare, 50.0).otherwise(F.coalesce(F.col("_logs")[size], F.lit(-50.0)) + math.log(1e-3))
     own = own.withColumn("_all", _normal([*logs, odds]))
-    best = F.array_position("_all", F.array_max("_all")).cast("int")
-    said_by_text = F.when(F.col("_logs").isNotNull(), F.array_position("_logs", F.array_max("_logs")).cast("int"))
+    # the largest and its place in one value: an expression that is evaluated twice need not give the same bits
+    largest = lambda c: F.array_max(F.transform(c, lambda x, i: F.struct(x.alias("p"), (-i).alias("k"))))
+    own = own.withColumn("_best", largest("_all"))
     listed = F.array(*[F.lit(x) for x in names])
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in (text_col, "language", "probability", "text_language", "und_probability")]
-    return own.select(*kept, listed[best - 1].alias("language"), F.array_max("_all").alias("probability"), listed[said_by_text - 1].alias("text_language"), F.col("_all")[size].alias("und_probability"))
+    return own.select(*kept, F.get(listed, -F.col("_best.k")).alias("language"), F.col("_best.p").alias("probability"), F.when(F.col("_logs").isNotNull(), F.get(listed, F.coalesce(-largest("_logs")["k"], F.lit(0)))).alias("text_language"), F.col("_all")[size].alias("und_probability"))
