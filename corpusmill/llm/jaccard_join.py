@@ -9,10 +9,12 @@ at most. Which of the two a band uses is decided by cost, from the number of set
   equal one that is not empty; a set with more than g empty segments indexes those as well;
 * one-deletion neighbourhoods: signatures of each segment and of each segment less one shingle, for small sets.
 
-Sets that share a signature form a run. Runs are never expanded into all pairs: in each round the runs' next pivots (the first one,
-then four times as many each round) are tested against those members that earlier links have not joined to them
-yet, until no run holds two components with a pair untested. So large groups of near copies cost one test a member, and no link
-between components is missed. Tests compare the words themselves. Equal sets are one class, which is tested once.
+Sets that share a signature are candidates. A run of them is not expanded into pairs: its members are hung on its first one, and the connected
+components of these links are the clusters in which all candidates lie. A cluster's texts meet in one task, or, if they are more than
+`block_bytes`, each two of its blocks do. There sets are compared exactly, by the words, through an inverted index: a member is
+compared with all others unless links have joined it to the cluster's first large component already, and only links that join
+components are returned. So a large group of near copies costs one comparison a member, and no link between components is missed. Equal
+sets are one class, which is compared once.
 
 Null and empty texts have the empty set, which is linked with nothing. A text with fewer words than a shingle has one
 shingle, the whole. Repeated rows are copies; rows of one id count as one document. Rows without an id link with nothing and have no
@@ -36,8 +38,6 @@ from .common import materialize, text_bytes, windows
 from .components import connected_components
 
 _U = np.uint64
-#: Members of a run that are compared with other runs' members; longer runs are kept as they are.
-_LISTED = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -167,77 +167,89 @@ def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str,
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (sig, cid): members of the runs with several classes. Runs with the same list of members get the same id."""
-    held_sig, held, long, long_rank = None, np.zeros(0, np.int64), False, 0
-
-    def made(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if rows:
-            run = np.concatenate([np.full(len(c), r) for r, _, c in rows])
-            rank = np.concatenate([np.arange(first, first + len(c)) for _, first, c in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(rank, pa.int64()), pa.array(np.concatenate([c for *_, c in rows]), pa.int64())], ["run", "rank", "cid"])
-
-    def close(rows: list) -> None:
-        nonlocal held, long, long_rank
-        if long:
-            rows.append((held_sig, long_rank, held))
-        elif len(held) > 1:
-            rows.append((int.from_bytes(xxhash.xxh64_digest(held.tobytes()), "little", signed=True), 0, held))
-        held, long, long_rank = np.zeros(0, np.int64), False, 0
-
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by (sig, cid): links from the first class of each signature to its other ones, once each in a batch."""
+    last_sig = last_cid = center = None
     for batch in batches:
         sig, cid = batch.column("sig").to_numpy(), batch.column("cid").to_numpy()
         if not len(sig):
             continue
-        rows: list[tuple[int, int, np.ndarray]] = []
-        new = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1])]))
-        sig, cid = sig[new], cid[new]
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        ends = np.append(starts[1:], len(sig))
-        if held_sig is not None and held_sig != sig[0]:
-            close(rows)
-        last = len(starts) - 1
-        for i in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == last)):
-            part = cid[starts[i] : ends[i]]
-            if i == 0 and held_sig == sig[0]:
-                part = np.concatenate([held, part[1:] if len(held) and held[-1] == part[0] else part])
-            else:
-                long, long_rank = False, 0
-            held_sig, held = int(sig[starts[i]]), part
-            if i < last:
-                close(rows)
-            elif len(held) > _LISTED:  # hand on what is there, but the last, so that no run is held whole
-                rows.append((held_sig, long_rank, held[:-1]))
-                long, long_rank, held = True, long_rank + len(held) - 1, held[-1:]
-        yield from made(rows)
-    rows = []
-    if held_sig is not None:
-        close(rows)
-    yield from made(rows)
+        begins = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]])
+        again = np.concatenate([[sig[0] == last_sig and cid[0] == last_cid], (sig[1:] == sig[:-1]) & (cid[1:] == cid[:-1])])
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
+        centers = np.where(at >= 0, cid[np.maximum(at, 0)], center if center is not None else 0)
+        hung = ~begins & ~again & (centers != cid)
+        last_sig, last_cid, center = sig[-1], cid[-1], centers[-1]
+        links = np.unique(np.stack([centers[hung], cid[hung]], 1), axis=0) if hung.any() else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].astype(np.int64)), pa.array(links[:, 1].astype(np.int64))], ["a", "b"])
+
+
+def _joining_links(members: list[tuple[int, int, bytes]], percent: int, k: int) -> list[tuple[int, int]]:
+    """Links that join the components of a cluster. members: (id, block, text); of two blocks only links between them are sought."""
+    places: dict[tuple, int] = {}
+    sets = [np.fromiter((places.setdefault(s, len(places)) for s in exact_shingles(text, k)), np.int64) for *_, text in members]
+    sizes = np.array([len(x) for x in sets])
+    block = np.array([b for _, b, _ in members])
+    order = np.argsort(np.concatenate(sets), kind="stable")
+    postings = np.repeat(np.arange(len(sets)), sizes)[order]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(sets), minlength=len(places)))])
+    label = np.arange(len(sets))
+    parent = label.copy()
+    weight = np.ones(len(sets), np.int64)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links, hub = [], None
+    two = block.min() != block.max()
+    for x in range(len(sets)):
+        if two and block[x] == block.max():  # links of its members are found from the other block
+            continue
+        if hub is None and x >= 32 and not two:
+            hub = int(weight.argmax())  # stays the same from here: of two members that are skipped, both are in its component
+        if hub is not None and find(x) == find(hub):
+            continue
+        both = np.bincount(np.concatenate([postings[bounds[s] : bounds[s + 1]] for s in sets[x]]), minlength=len(sets))
+        near = 100 * both >= percent * (sizes + sizes[x] - both)
+        near[x] = False
+        if two:
+            near &= block != block[x]
+        for y in np.flatnonzero(near):
+            a, b = find(x), find(int(y))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                weight[min(a, b)] += weight[max(a, b)]
+                links.append((members[x][0], members[int(y)][0]))
+    return links
 
 
 def _verify(percent: int, k: int):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by (a, salt, b), the text of a first (b null): links."""
-        mine, own = None, set()
+        """Sorted by (cluster, i, j): links found in each two blocks of each cluster."""
+        held, mine = [], None
+
+        def close() -> pa.RecordBatch:
+            links = _joining_links(held, percent, k) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+
         for batch in windows(batches, size=8 << 20):
-            links = []
-            for a, salt, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "text")), strict=True):
-                if b is None:
-                    mine, own = (a, salt), exact_shingles(text, k)
-                elif (a, salt) == mine:
-                    other = exact_shingles(text, k)
-                    both = len(own & other)
-                    if 100 * both >= percent * (len(own) + len(other) - both):
-                        links.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
+            for cluster, i, j, block, rep, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "rep", "text")), strict=True):
+                if (cluster, i, j) != mine:
+                    if held:
+                        yield close()
+                    held, mine = [], (cluster, i, j)
+                held.append((rep, block, text))
+        if held:
+            yield close()
 
     return test
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, members_a_salt: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block_bytes: int = 8 << 20) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest id reachable by links of similarity percent / 100 or more)."""
-    spark = docs.sparkSession
     texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,36 +283,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000].view(np.int64)), pa.array(cid[at : at + 100_000])], ["sig", "cid"])
 
     signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, cid long")
-    runs = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_runs, "run long, rank long, cid long")
-    live = materialize(runs.distinct(), "runs")
-    named = live.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
+    stars = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "a long, b long")
+    clusters = connected_components(materialize(stars.distinct(), "stars"))
+    clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label")).distinct()
+    named = clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster"))
     named = materialize(named, "named")
-    live = materialize(live.join(named, "cid").select("run", "rank", "rep"), "live")
-    held = materialize(texts.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "texts")
-
-    links = spark.createDataFrame([], "a long, b long")
-    labels = None
-    low, high = 0, 1
-    while True:
-        if labels is None:
-            marked = live.withColumn("label", F.col("rep"))
-        else:
-            marked = live.join(labels, live.rep == labels.node, "left").select("run", "rank", "rep", F.coalesce("label", "rep").alias("label"))
-            mixed = marked.groupBy("run").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("rank").alias("last")).where((F.col("least") < F.col("most")) & (F.col("last") >= low))
-            marked = materialize(marked.join(mixed.select("run"), "run"), "mixed")
-            if marked.isEmpty():
-                break
-        pivot = marked.where(F.col("rank").between(low, high - 1)).select("run", F.col("rank").alias("at"), F.col("rep").alias("a"), F.col("label").alias("mine"))
-        pairs = marked.join(pivot, "run").where((F.struct("rank", "rep") > F.struct("at", "a")) & (F.col("label") != F.col("mine")))
-        pairs = materialize(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "pairs")
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / members_a_salt).cast("int").alias("salts"))
-        others = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-        others = others.join(held.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-        own = held.withColumnRenamed("doc_id", "a").join(salts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-        tested = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        links = materialize(links.unionByName(tested.mapInArrow(_verify(percent, words), "a long, b long")), "links")
-        labels = connected_components(links)
-        low, high = high, high + 4 * (high - low)
-    linked = rows.join(classes.select("cid", "cid2", "rep"), ["cid", "cid2"], "left") if labels is not None else rows.withColumn("rep", F.col("doc_id"))
+    first = texts.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+    held = materialize(named.join(first.select(F.col("doc_id").alias("rep"), "text"), "rep"), "texts")
+    blocks = held.groupBy("cluster").agg(F.ceil(F.sum(F.length("text") + 100) / block_bytes).cast("int").alias("blocks"))
+    placed = held.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    met = placed.select("cluster", "block", "rep", "text", F.explode(others).alias("at")).select("cluster", "at.i", "at.j", "block", "rep", "text")
+    met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep", "text")
+    labels = connected_components(met.mapInArrow(_verify(percent, words), "a long, b long"))
+    linked = rows.join(classes.select("cid", "cid2", "rep"), ["cid", "cid2"], "left")
     linked = linked.join(labels, linked.rep == labels.node, "left")
     return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id")).alias("component_id"))

@@ -127,13 +127,37 @@ def near_rows(seed, count):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 85)])
-def test_jaccard_equals_brute_force(spark, odd, k, percent):
+@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 8 << 20), (5, 80, 2000), (1, 85, 20_000)])
+def test_jaccard_equals_brute_force(spark, odd, k, percent, block):
     rows = odd + [(i + 1000, t) for i, t in near_rows(k, 250)]
-    got = jaccard_join.jaccard_components(table(spark, rows).repartition(3), words=k, percent=percent, members_a_salt=3)
+    got = jaccard_join.jaccard_components(table(spark, rows).repartition(3), words=k, percent=percent, block_bytes=block)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_join_all_of_a_large_cluster(seed):
+    rng = random.Random(seed)
+    bases = [[f"b{b}w{i}" for i in range(40)] for b in range(3)]
+    members = []
+    for i in range(300):
+        w = list(bases[min(2, int(rng.random() ** 2 * 3)) if i < 150 else 2])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
+        members.append((i, 0, " ".join(w).encode()))
+    parent = list(range(300))
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in jaccard_join._joining_links(members, 80, 3):
+        x, y = find(parent, a), find(parent, b)
+        parent[max(x, y)] = min(x, y)
+    want = brute_components([(i, t.decode()) for i, _, t in members], 3, 80)
+    assert Counter(find(parent, i) for i in range(300)) == Counter({c: n for c, n in Counter(x[2] for x in want.elements()).items()})
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, [])).collect() == []
     assert sorted(r.component_id for r in jaccard_join.jaccard_components(table(spark, [(1, None), (2, "")])).collect()) == [1, 2]
@@ -435,8 +459,9 @@ def test_word_encoder_equals_the_library():
     own, rng = Tokenizer.from_file(path), random.Random(0)
     more = ["B ", "ÀB,", "&%$", "<|startoftext|>x", "ß", "ÿ×", "÷", "İ", "ǅ", "a_b", "^", "`~", "ſ", "K", "É"]
     texts = ["".join(rng.choice(ALPHABET + more) for _ in range(rng.randrange(12))) for _ in range(5000)]
-    got = packing.WordEncoder(path, keep=500)([t.encode() for t in texts])
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    encoder = packing.WordEncoder(path, keep=500)
+    got = [g for i in range(0, 5000, 100) for g in encoder([t.encode() for t in texts[i : i + 100]])]
+    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("seed", range(4))
