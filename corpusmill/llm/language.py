@@ -11,7 +11,7 @@ Four kinds of evidence about a row's language are combined by Bayes' rule:
 The trigram model is fitted on a bounded sample of labelled rows: `train_rows` for each language, those whose ids hash lowest. Everything
 else covers all rows. A row is rejected if `und` is likeliest.
 
-Null and empty texts have no text evidence: what is declared, the suffix and the host decide; with none of these the row is `und`. Null
+Numbers and marks say nothing about the language; a text of them alone is `und`. Null and empty texts have no text evidence: what is declared, the suffix and the host decide; with none of these the row is `und`. Null
 hosts share the prior of all rows. Repeated rows are judged alike. An empty table gives an empty result.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_bytes, windows
 
 BUCKETS = 1 << 16
+_LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 _SCRIPT = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(rb"(?s)<[^>]*>")
 #: Suffixes of countries and their languages.
@@ -39,8 +40,8 @@ SUFFIX_ODDS = 20.0
 
 
 def trigrams(text: bytes) -> np.ndarray:
-    """Buckets of the byte trigrams of a text in lower case, white space runs as one space."""
-    b = np.frombuffer(b" " + b" ".join(text.lower().split()) + b" ", np.uint8).astype(np.uint32)
+    """Buckets of the byte trigrams of a text in lower case; all that is no letter (ASCII), in runs, as one space."""
+    b = np.frombuffer(b" " + b" ".join(text.lower().translate(_LETTERS).split()) + b" ", np.uint8).astype(np.uint32)
     return ((b[:-2] * 961 + b[1:-1] * 31 + b[2:]) * np.uint32(2654435761) >> np.uint32(16)).astype(np.int64) if len(b) > 2 else np.zeros(0, np.int64)
 
 
@@ -98,6 +99,9 @@ def identify(
             for text in texts.to_pylist():
                 at = trigrams(markup_text(text) if markup else text)
                 n = len(at)
+                if not n and text.strip():  # marks and digits alone are no language
+                    out.append([-50.0] * size + [0.0])
+                    continue
                 out.append(None if not n else (table[:, at].sum(1) / n * min(n, most_trigrams) * text_weight).tolist())
             yield pa.array(out, pa.list_(pa.float64()))
 
