@@ -38,6 +38,8 @@ from .common import materialize, text_bytes, windows
 from .components import connected_components
 
 _U = np.uint64
+#: Up to so many ids of candidates (8 bytes each) are broadcast to the texts; beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -288,7 +290,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label")).distinct()
     named = clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster"))
     named = materialize(named, "named")
-    first = texts.join(named.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id", "text"])
+    ids = named.select(F.col("rep").alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    first = texts.join(ids, "doc_id").dropDuplicates(["doc_id", "text"])
     held = materialize(named.join(first.select(F.col("doc_id").alias("rep"), "text"), "rep"), "texts")
     blocks = held.groupBy("cluster").agg(F.ceil(F.sum(F.length("text") + 100) / block_bytes).cast("int").alias("blocks"))
     placed = held.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
