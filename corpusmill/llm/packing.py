@@ -16,6 +16,7 @@ empty table gives no piece. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,29 +28,110 @@ from pyspark.sql import functions as F
 from .common import materialize, prefix_sum, text_bytes, unique_ids, windows
 from .token_counts import tokenizer
 
-_MEMO: dict[str, dict[bytes, bytes]] = {}
 #: Ids of one document in one sequence of full length begin here in the numbering of sequences.
 FULL = 1 << 40
 
 
-def _encode_words(path: str, keep: int = 600_000):
-    """A function from texts to their ids, as little-endian unsigned 32-bit bytes.
+def id_kind(size: int) -> np.dtype:
+    """The shortest unsigned type that holds ids below size."""
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
-    For tokenizers that drop white space: the ids of a text are those of its white-space separated words.
-    """
-    memo, encode = _MEMO.setdefault(path, {}), tokenizer(path)
 
-    def ids(texts: list[bytes]) -> list[bytes]:
-        if len(memo) > keep:
-            memo.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in memo})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            memo.update(zip(part, (np.array(x, "<u4").tobytes() for x in encode([w.decode() for w in part])), strict=True))
-        return [b"".join([memo[w] for w in ws]) for ws in words]
+class WordEncoder:
+    """Texts to their ids, as little-endian bytes of `kind`, for tokenizers that drop white space.
 
-    return ids
+    The ids of a text are those of its white-space separated chunks, which are looked up. A new chunk of Latin letters and ASCII marks behind them is
+    letters and marks to the tokenizer too, in lower case and each on its own; both are looked up, and new ones are
+    encoded by the tokenizer's model, many in one call, where it marks the ends of words. All other new chunks go through the whole tokenizer.
+    """
+
+    #: ASCII marks but the apostrophe, which can begin a suffix.
+    _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+    _SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, keep: int = 120_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # of each, those met lately and those met before; what is met again stays
+        self.keep, self.chunks, self.words, self.encode = keep, {}, {}, tokenizer(path)
+        self.old_chunks, self.old_words = {}, {}
+        whole = Tokenizer.from_file(path)
+        self.end, self.kind = None, id_kind(whole.get_vocab_size(with_added_tokens=True))
+        suffix = getattr(whole.model, "end_of_word_suffix", None)
+        if suffix:
+            self.model = Tokenizer(whole.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.end = np.zeros(whole.get_vocab_size(with_added_tokens=True), bool)
+            self.end[[i for t, i in whole.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+            same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            self.shown = {b: b for b in same} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in same)}
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Look up or encode chunks."""
+        parts, others, unknown = [], [], {}
+        words, old = self.words, self.old_words
+        for w in new:
+            letters = w.rstrip(self._MARKS)
+            if self.end is not None and letters.isalpha():
+                letters, marks = letters.lower(), w[len(letters) :]
+            elif self.end is not None and (m := self._SIMPLE.fullmatch(w)):
+                letters, marks = m.groups()
+                letters = letters.decode().lower().encode()
+            else:
+                others.append(w)
+                continue
+            parts.append((w, letters, marks))
+            for x in (letters, marks) if marks else (letters,):
+                if x not in words:
+                    if x in old:
+                        words[x] = old[x]
+                    else:
+                        unknown[x] = None
+        listed = list(unknown)
+        for at in range(0, len(listed), 20_000):
+            some = listed[at : at + 20_000]
+            shown = [x.decode("latin-1").translate(self.shown) for x in some]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.model.encode_batch_fast([" ".join(shown[i : i + 1000]) for i in range(0, len(shown), 1000)], add_special_tokens=False)])
+            ends = np.flatnonzero(self.end[ids]) + 1
+            if len(ends) != len(some):  # a vocabulary without some end: chunk by chunk then
+                others += [w for w, a, b in parts if a in unknown or b in unknown]
+                parts = [p for p in parts if p[1] not in unknown and p[2] not in unknown]
+                break
+            raw, at0 = ids.tobytes(), 0
+            for x, e in zip(some, (ends * self.kind.itemsize).tolist(), strict=True):
+                self.words[x] = raw[at0:e]
+                at0 = e
+        for w, letters, marks in parts:
+            self.chunks[w] = self.words[letters] + self.words[marks] if marks else self.words[letters]
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            self.chunks.update(zip(some, (np.array(x, self.kind).tobytes() for x in self.encode([w.decode() for w in some])), strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.chunks) > self.keep:
+            self.chunks, self.old_chunks = {}, self.chunks
+        if len(self.words) > self.keep:
+            self.words, self.old_words = {}, self.words
+        known, old = self.chunks, self.old_chunks
+        split = [t.split() for t in texts]
+        new = set().union(*split).difference(known)
+        again = new.intersection(old) if old else ()
+        for w in again:
+            known[w] = old[w]
+        new.difference_update(again)
+        if new:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker, kept between its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def solve_patterns(counts: np.ndarray, tolerance: float = 1e-4, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
@@ -128,13 +210,16 @@ def _powers(n: int) -> list[int]:
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", size: int = 4096, unit: int = 16) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    end = np.array([end_id], "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    kind = id_kind(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True))
+    end, width = np.array([end_id], kind).tobytes(), kind.itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, uid = _encode_words(tokenizer_path), unique_ids()
+        of, uid = word_encoder(tokenizer_path), unique_ids()
         for batch in windows(batches, size=4 << 20):
             found = [x + end for x in of(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([next(uid) for _ in found], pa.int64()), batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], ["uid", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([next(uid) for _ in found], pa.int64()), batch.column("doc_id"), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())], ["uid", "doc_id", "n", "ids"])
 
     texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
     tokens = materialize(texts.mapInArrow(encode, "uid long, doc_id long, n long, ids binary"), "tokens")
@@ -213,7 +298,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
         for batch in windows(batches, "ids"):
             rows = []
             for doc_id, n, ids, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces")), strict=True):
-                view = memoryview(ids)
+                view = memoryview(np.frombuffer(ids, kind).astype("<u4")).cast("B")
                 for p in found:
                     s, k = p["start"], p["length"]
                     rows.append((doc_id, s, k, zlib.crc32(view[4 * s : 4 * (s + k)]), n, p["sequence_id"], p["offset"]))
