@@ -52,7 +52,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
-    def __init__(self, words: int, keep: int = 500_000):
+    def __init__(self, words: int, keep: int = 200_000):
         self.words, self.keep, self.memo = words, keep, {}
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -86,7 +86,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.drop("n_removed", "removed_chars").withColumns({"_key1": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in windows(batches, size=16 << 20):
+        for batch in windows(batches, size=6 << 20):
             best: dict[bytes, tuple[int, int, int, int]] = {}
             rows: list[tuple] = []
 
