@@ -1,10 +1,16 @@
-"""Substring dedup with sliding sentence spans.
+"""Substring dedup with sliding spans of units.
 
-Sentences end after `.`, `!` or `?` before white space, and at line ends; sentences longer than `long_words` words are cut after
-`,`, `;` and `:` too. A span begins at each sentence and holds the fewest sentences that make at least `span` sentences and
-`span_words` words. Spans are hashed (128 bits, white space as single spaces) and joined over all documents. The first occurrence
-is the one with the least (id, text hash, place); all sentences that a later occurrence covers are removed, with the white
-space behind them.
+Units end after `.`, `!` or `?` before white space, and at line ends; of each `long_words` successive words without such an end, the
+one of least rank ends a unit too: after `,`, `;` or `:` first, then by a hash of the word. So a unit has at most `long_words`
+words, and whether a word ends one depends on the `long_words` - 1 words on either side alone, not on where the text around begins.
+A span begins at each unit and holds the fewest units that make at least `span` units and `span_words` words. A passage of n
+words has the same units wherever it stands but for 2 * `long_words` - 1 words at its begin and 2 * `long_words` - 2 at its end at most,
+so that with the defaults every repeated passage of 51 words or more holds a whole span (51 - 25 = 26 = `span_words` - 1 + `long_words`).
+
+Spans are hashed (128 bits, white space as single spaces) and joined over all documents. The first occurrence
+is the one with the least (id, text hash, place); all units that a later occurrence covers are removed, with the white
+space behind them. Of a repeated passage some words at its begin and end may stay: where units differ, or fewer than a unit
+behind its last span.
 
 Each task compares the spans of what it has read first, so that a passage in a third of all documents is sent once per task and not
 once per document.
@@ -15,8 +21,7 @@ one document. Input columns stay; those named like an output column (n_removed,
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,47 +31,84 @@ from pyspark.sql import functions as F
 
 from .common import windows
 
-_END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_CLAUSE = re.compile(r"(?<=[,;:])\s+")
 _LAST = (1 << 63) - 1
+_SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
+_POWERS = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(64, dtype=np.uint64))
+#: Words of so many letters are the last to end a unit: they are frequent.
+_SHORT = 4
+
+
+def _sliding(op: Callable, a: np.ndarray, size: int) -> np.ndarray:
+    """op over each `size` successive values."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        a = op(a[:-step], a[step:])
+        done += step
+    return a
+
+
+def _cut(text: str, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, begins and ends of the words, first words of the units and one after their last."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = _SPACE[np.minimum(points, len(_SPACE) - 1)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    begin, stop = edge[::2], edge[1::2]
+    if not len(begin):
+        return points, begin, stop, begin, begin
+    last = points[stop - 1]
+    lines = np.concatenate([[0], np.cumsum(points == 10)])
+    strong = (last == 46) | (last == 33) | (last == 63)
+    strong[:-1] |= lines[begin[1:]] > lines[stop[:-1]]
+    lengths = stop - begin
+    place = np.arange(begin[0], len(points)) - np.repeat(begin, np.diff(begin, append=len(points)))
+    letters = np.where(space, 0, points)[begin[0] :].astype(np.uint64)
+    rank = np.add.reduceat((letters + np.uint64(1)) * _POWERS[place & 63] * (letters > 0), begin - begin[0])
+    rank ^= rank >> np.uint64(29)
+    rank *= np.uint64(0xBF58476D1CE4E5B9)
+    rank = (rank >> np.uint64(3)) + np.uint64(1)
+    clause = (last == 44) | (last == 59) | (last == 58)
+    rank += np.where(clause, 0, np.where(lengths > _SHORT, 1, 2)).astype(np.uint64) << np.uint64(61)
+    rank[strong] = 0
+    cut = strong
+    if len(rank) >= long_words:
+        least = _sliding(np.minimum, rank, long_words)
+        cut = cut | (_sliding(np.maximum, np.pad(least, long_words - 1), long_words) == rank)
+    cut[-1] = True
+    after = np.flatnonzero(cut) + 1
+    return points, begin, stop, np.concatenate([[0], after[:-1]]), after
+
+
+def _ends(first: np.ndarray, after: np.ndarray, span: int, span_words: int) -> np.ndarray:
+    """One after the last unit of each span; the last units begin none."""
+    end = np.maximum(np.arange(len(first)) + span, np.searchsorted(after, first + span_words) + 1)
+    return end[end <= len(first)]
 
 
 def sentences(text: str, long_words: int) -> list[tuple[int, int, int, str]]:
-    """(begin, end with the white space behind, words, text with single spaces)."""
-    out = []
-
-    def add(begin: int, stop: int, end: int) -> None:
-        words = text[begin:stop].split()
-        if words:
-            out.append((begin, end, len(words), " ".join(words)))
-
-    def cut(begin: int, stop: int, end: int) -> None:
-        if begin < stop and text.count(" ", begin, stop) >= long_words:
-            for m in _CLAUSE.finditer(text, begin, stop):
-                add(begin, m.start(), m.end())
-                begin = m.end()
-        add(begin, stop, end)
-
-    at = 0
-    for m in _END.finditer(text):
-        cut(at, m.start(), m.end())
-        at = m.end()
-    cut(at, len(text), len(text))
-    return out
-
-
-def spans(found: list[tuple[int, int, int, str]], span: int, span_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, one after the last, digest) of each span."""
-    digests = [xxhash.xxh3_128_digest(s) for *_, s in found]
-    words, end = 0, 0
-    for begin in range(len(found)):
-        while end < len(found) and (end - begin < span or words < span_words):
-            words += found[end][2]
-            end += 1
-        if end - begin < span or words < span_words:
-            return
-        yield begin, end, xxhash.xxh3_128_digest(b"".join(digests[begin:end]))
-        words -= found[begin][2]
+    """Of each unit: (begin, end with the white space behind, words, text with single spaces)."""
+    points, begin, _, first, _ = _cut(text, long_words)
+    places = [*begin[first].tolist(), len(points)]
+    words = [text[b:e].split() for b, e in zip(places, places[1:], strict=False)]
+    return [(b, e, len(w), " ".join(w)) for b, e, w in zip(places, places[1:], words, strict=False)]
+
+
+def spans(text: str, span: int, span_words: int, long_words: int) -> np.ndarray:
+    """Digests of the spans that begin at the first unit, the second and so on, two numbers each."""
+    points, begin, stop, first, after = _cut(text, long_words)
+    end = _ends(first, after, span, span_words)
+    if not len(end):
+        return np.empty((0, 2), np.int64)
+    # one space between words and one line end between units
+    kept = ~_SPACE[np.minimum(points, len(_SPACE) - 1)]
+    kept[stop[:-1]] = True
+    shown = points.copy()
+    shown[stop[:-1]] = 32
+    shown[stop[after[:-1] - 1]] = 10
+    at = np.concatenate([[0], np.cumsum(kept)]) * 4
+    held = memoryview(shown[kept].tobytes())
+    low, high = at[begin[first[: len(end)]]].tolist(), at[stop[after[end - 1] - 1]].tolist()
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(held[a:z]) for a, z in zip(low, high, strict=True)]), np.int64).reshape(-1, 2)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,43 +120,37 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high, low, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("high", "low", "later"))
         same = np.concatenate([[last == (high[0], low[0])], (high[1:] == high[:-1]) & (low[1:] == low[:-1])])
         last = (high[-1], low[-1])
-        yield batch.filter(pa.array(same | later)).select(["key1", "key2", "first", "end"])
+        yield batch.filter(pa.array(same | later)).select(["key1", "key2", "first"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, span_words: int = 20, long_words: int = 20) -> DataFrame:
-    """docs with the repeated spans removed from the text, n_removed (sentences) and removed_chars."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, span_words: int = 20, long_words: int = 7) -> DataFrame:
+    """docs with the repeated spans removed from the text, n_removed (units) and removed_chars."""
     keyed = docs.drop("n_removed", "removed_chars").withColumns({"_key1": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in windows(batches, size=6 << 20):
-            best: dict[bytes, tuple[int, int, int, int]] = {}
-            rows: list[tuple] = []
-
-            def put(digest: bytes, at: tuple, later: bool) -> None:
-                rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), *at, later))  # noqa: B023
-
+            made = []
             for key1, key2, text in zip(*(batch.column(c).to_pylist() for c in ("key1", "key2", "text")), strict=True):
-                for begin, end, digest in spans(sentences(text, long_words), span, span_words):
-                    at = (key1, key2, begin, end)
-                    held = best.setdefault(digest, at)
-                    if held[:3] != at[:3]:
-                        if at < held:
-                            best[digest], at = at, held
-                        put(digest, at, True)
-            for digest, at in best.items():
-                put(digest, at, False)
-            for at in range(0, len(rows), 100_000):
-                cols = list(zip(*rows[at : at + 100_000], strict=True))
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["high", "low", "key1", "key2", "first", "end", "later"])
+                found = spans(text, span, span_words, long_words)
+                made.append((found[:, 0], found[:, 1], np.full(len(found), key1), np.full(len(found), key2), np.arange(len(found))))
+            cols = [np.concatenate(c) for c in zip(*made, strict=True)]
+            order = np.lexsort(cols[::-1])
+            same = [np.diff(c[order], prepend=~c[order[:1]]) == 0 for c in cols]
+            later, again = np.empty(len(order), bool), np.empty(len(order), bool)
+            later[order] = same[0] & same[1]
+            again[order] = np.logical_and.reduce(same)
+            cols = [c[~again] for c in (*cols, later)]
+            for at in range(0, len(cols[0]), 100_000):
+                kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], k) for c, k in zip(cols, kinds, strict=True)], ["high", "low", "key1", "key2", "first", "later"])
 
     source = keyed.select(F.col("_key1").alias("key1"), F.col("_key2").alias("key2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = source.mapInArrow(spread, "high long, low long, key1 long, key2 long, first int, end int, later boolean")
+    found = source.mapInArrow(spread, "high long, low long, key1 long, key2 long, first int, later boolean")
     dealt = found.repartition(F.when(F.col("later"), F.xxhash64("key1", "key2", "first")).otherwise(F.xxhash64("high", "low")))
     # rows known as later are told apart from others of their hash, which they would make look repeated
     dealt = dealt.withColumns({"high": F.when(F.col("later"), F.lit(0)).otherwise(F.col("high")), "low": F.when(F.col("later"), F.lit(0)).otherwise(F.col("low"))})
-    later = dealt.sortWithinPartitions("high", "low", "key1", "key2", "first").mapInArrow(_later, "key1 long, key2 long, first int, end int")
-    cover = later.groupBy("key1", "key2").agg(F.collect_list(F.struct("first", "end")).alias("_cover"))
+    later = dealt.sortWithinPartitions("high", "low", "key1", "key2", "first").mapInArrow(_later, "key1 long, key2 long, first int")
+    cover = later.groupBy("key1", "key2").agg(F.collect_list("first").alias("_cover"))
     joined = keyed.join(cover, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2")), "left").drop("key1", "key2", "_key1", "_key2")
 
     @F.arrow_udf("struct<text:string,n_removed:int,removed_chars:long>")
@@ -125,13 +161,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if not cover:
                     out.append({"text": text, "n_removed": 0, "removed_chars": 0})
                     continue
-                parts = sentences(text, long_words)
-                gone = {i for c in cover for i in range(c["first"], c["end"])}
+                points, begin, _, first, after = _cut(text, long_words)
+                places, ends = np.append(begin[first], len(points)), _ends(first, after, span, span_words)
+                turns = np.zeros(len(places), int)
+                np.add.at(turns, cover, 1)
+                np.add.at(turns, ends[cover], -1)
+                gone = np.flatnonzero(np.cumsum(turns))
                 kept, at, lost = [], 0, 0
-                for i in sorted(gone):
-                    begin, end = parts[i][:2]
-                    kept.append(text[at:begin])
-                    at, lost = end, lost + end - begin
+                for low, high in zip(places[gone].tolist(), places[gone + 1].tolist(), strict=True):
+                    kept.append(text[at:low])
+                    at, lost = high, lost + high - low
                 kept.append(text[at:])
                 out.append({"text": "".join(kept), "n_removed": len(gone), "removed_chars": lost})
             yield pa.array(out, pa.struct([("text", pa.string()), ("n_removed", pa.int32()), ("removed_chars", pa.int64())]))

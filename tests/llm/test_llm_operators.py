@@ -331,6 +331,33 @@ def test_substring_equals_brute_force(spark):
     assert any(r.n_removed for r in got.values())
 
 
+@pytest.mark.parametrize("marks", [0, 1, 2])
+def test_substring_passages_of_over_50_words_anywhere(spark, marks):
+    """One passage a pair of documents: without marks, of one sentence, of two; in mid-sentence or alone."""
+    rng = random.Random(marks)
+    rows = []
+    for k in range(60):
+        passage = words(rng, rng.randrange(51, 61), 10**6).split()
+        for m in range(marks):
+            passage[(m + 1) * len(passage) // marks - 1] += "."
+        for i in (2 * k, 2 * k + 1):
+            around = [words(rng, rng.randrange(40), 10**6) if k % 3 else "" for _ in range(2)]
+            rows.append((i, f"{around[0]} {' '.join(passage)} {around[1]}".strip()))
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows).repartition(4)).collect()}
+    assert all((got[i].n_removed > 0) == (i % 2 == 1) for i, _ in rows)
+    assert all(len(t.split()) - len(got[i].text.split()) in range(20, 61) for i, t in rows if i % 2)
+    assert all(len(got[i].text.split()) <= 7 for i, _ in rows if i % 6 == 1)
+
+
+def test_units_are_short_and_the_same_within_other_text():
+    rng = random.Random(3)
+    for _ in range(500):
+        passage = " ".join(words(rng, 1, rng.choice([9, 10**6])) + rng.choice(["", "", "", "", ",", "."]) for _ in range(51))
+        cuts = [{tuple(s) for s in substring_dedup.spans(f"{words(rng, rng.randrange(1, 40))} {passage} {words(rng, 30)}", 3, 20, 7).tolist()} for _ in range(2)]
+        assert cuts[0] & cuts[1]
+        assert max(n for _, _, n, _ in substring_dedup.sentences(passage, 7)) <= 7
+
+
 def test_substring_odd_rows(spark, odd):
     got = substring_dedup.substring_dedup(table(spark, odd)).collect()
     assert len(got) == len(odd)
