@@ -2,7 +2,7 @@
 
 Terms are runs of letters and digits, lower case. The lexicon holds the terms whose document frequency lies between
 `band[0]` and `band[1]` of all documents: at most (distinct terms of an average document) / band[0] terms, however
-large the corpus, of which the `max_lexicon` most frequent are used. A text's terms in the lexicon, distinct and
+large the corpus. All of them are used. A text's terms in the lexicon, distinct and
 sorted, are hashed once whole and once for each of several random subsets of the lexicon, which keep one term of 8
 to one of 1024, so that texts of any length have subsets with few terms. A text with at most `few` terms in the lexicon uses
 all its terms.
@@ -33,11 +33,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
-def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float], max_lexicon: int) -> list[str]:
+def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float]) -> list[str]:
     """Terms by document frequency, over all documents."""
     total = docs.count()
     frequency = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    chosen = frequency.where((F.col("n") >= max(2, band[0] * total)) & (F.col("n") <= band[1] * total)).orderBy(F.desc("n"), "term").limit(max_lexicon)
+    chosen = frequency.where((F.col("n") >= max(2, band[0] * total)) & (F.col("n") <= band[1] * total))
     return [r.term for r in chosen.select("term").collect()]
 
 
@@ -98,13 +98,13 @@ def with_next(docs: DataFrame, n_rows: int, rows_a_bucket: int = 256) -> DataFra
     return found.select("doc_id", "text", F.explode(copies).alias("at")).select("doc_id", "text", "at.bucket", "at.ghost")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = (0.001, 0.1), max_lexicon: int = 8192, few: int = 8) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = (0.001, 0.1), few: int = 8) -> DataFrame:
     """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = lexicon(own, "text", band, max_lexicon)
+    words = lexicon(own, "text", band)
     rows = with_next(own, own.count())
     rows = _with_parts(rows.repartition("bucket"), "text", words, "parts", few)
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")

@@ -391,6 +391,16 @@ def test_imatch(spark, odd):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_imatch_lexicon_holds_the_whole_band(spark):
+    texts = [" ".join(f"t{j}" for j in range(i % 500 * 20, i % 500 * 20 + 20)) + f" all once{i}" for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(imatch.lexicon(docs, "text", (0.002, 0.1))) == sorted(f"t{j}" for j in range(10_000))
+    # the band's own default: a term of every thousandth document counts
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    assert all(got[i].fingerprint == got[i + 500].fingerprint for i in range(500))
+    assert len({r.fingerprint for r in got.values()}) == 500
+
+
 def test_imatch_neighbours_across_buckets(spark):
     rows = [(i * i, f"t{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
