@@ -4,11 +4,11 @@ Terms are runs of letters and digits, lower case. The lexicon holds the terms wh
 `band[0]` and `band[1]` of all documents: at most (distinct terms of an average document) / band[0] terms, however
 large the corpus. All of them are used. A text's terms in the lexicon, distinct and
 sorted, are hashed once whole and once for each of several random subsets of the lexicon, which keep one term of 8
-to one of 1024, so that texts of any length have subsets with few terms. A text with at most `few` terms in the lexicon uses
-all its terms.
+to one of 1024, so that texts of any length have subsets with few terms. A text with at most `few` terms in the lexicon has
+as many hashes again behind these, of all its terms.
 
 The likeness of two fingerprints is the share of the hashes on which they agree among those where either has a term;
-equal fingerprints have 1. Texts with equal terms have equal fingerprints.
+hashes of all terms count where both texts have them. Equal fingerprints have 1. Texts with equal terms have equal fingerprints.
 
 Null texts are empty; all empty texts share one fingerprint. The next document of a row is the one with the next id
 (repeated ids in the order of their texts' hashes, null ids first), the first one for the last row, itself for a single row.
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Random subsets of the lexicon: by seed of a hash, (one term of so many is kept, so many subsets). Each takes its own bits.
 SUBSETS = ((1, ((8, 6), (32, 9))), (2, ((64, 10),)), (3, ((128, 9),)), (4, ((256, 8),)), (5, ((256, 8),)), (6, ((512, 7),)), (7, ((1024, 6),)))
+#: The hash of no terms at all: xxhash64 gives its seed.
+NO_TERMS = 42
 #: Buckets of neighbouring ids are at most so many, which bounds what is broadcast about them.
 MAX_BUCKETS = 1 << 16
 
@@ -47,24 +49,34 @@ def _subset(low: int, rate: int) -> Callable[[Column], Column]:
 
 
 def _with_parts(rows: DataFrame, text_col: str, words: list[str], out: str, few: int) -> DataFrame:
-    """Add `out`: the array of hashes of a text, null where a subset holds no term of it."""
+    """Add `out`: the array of hashes of a text's terms in the lexicon, then, if these are few, of all its terms; null where a subset holds none."""
     among = ", ".join(f"'{w}'" for w in words)  # terms have letters and digits only
     rows = rows.withColumn("_terms", terms(F.col(text_col)))
     listed = F.expr(f"filter(_terms, t -> t IN ({among}))" if words else "cast(array() as array<string>)")
-    rows = rows.withColumn("_listed", listed).withColumn("_used", F.array_sort(F.when(F.size("_listed") > few, F.col("_listed")).otherwise(F.col("_terms"))))
-    found = [F.col("_used")]
+    short = F.size("_listed") <= few
+    rows = rows.withColumn("_listed", F.array_sort(listed)).withColumn("_used", F.when(short, F.array("_listed", F.array_sort("_terms"))).otherwise(F.array("_listed")))
+    found = [F.transform("_used", lambda used: F.xxhash64(used))]
     for seed, kinds in SUBSETS:
-        rows, low = rows.withColumn(f"_hashed{seed}", F.transform("_used", _hash(seed))), 0
+        rows, low = rows.withColumn(f"_hashed{seed}", F.transform("_used", _each(seed))), 0
         for rate, times in kinds:
             for _ in range(times):
-                found.append(F.filter(f"_hashed{seed}", _subset(low, rate)))
+                found.append(F.transform(f"_hashed{seed}", _kept(low, rate)))
                 low += rate.bit_length() - 1
-    parts = F.array(*[F.when(F.size(f) > 0, F.xxhash64(f)) for f in found])
-    return rows.withColumn(out, parts).drop("_terms", "_listed", "_used", *[f"_hashed{seed}" for seed, _ in SUBSETS])
+    rows = rows.withColumn("_found", F.array(*found))
+    parts = F.when(short, F.concat(_part(0), _part(1))).otherwise(_part(0))
+    return rows.withColumn(out, parts).drop("_terms", "_listed", "_used", "_found", *[f"_hashed{seed}" for seed, _ in SUBSETS])
 
 
-def _hash(seed: int) -> Callable[[Column], Column]:
-    return lambda t: F.xxhash64(t, F.lit(seed))
+def _each(seed: int) -> Callable[[Column], Column]:
+    return lambda used: F.transform(used, lambda t: F.xxhash64(t, F.lit(seed)))
+
+
+def _kept(low: int, rate: int) -> Callable[[Column], Column]:
+    return lambda hashed: F.xxhash64(F.filter(hashed, _subset(low, rate)))
+
+
+def _part(k: int) -> Column:
+    return F.transform("_found", lambda hashes: F.nullif(F.get(hashes, F.lit(k)), F.lit(NO_TERMS).cast("long")))
 
 
 def _string(parts: Column) -> Column:
@@ -72,8 +84,9 @@ def _string(parts: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of hashes."""
-    both = F.arrays_zip(a.alias("a"), b.alias("b"))
+    """Of two arrays of hashes, over the places that both have."""
+    n = F.least(F.size(a), F.size(b))
+    both = F.arrays_zip(F.slice(a, 1, n).alias("a"), F.slice(b, 1, n).alias("b"))
     agree = F.size(F.filter(both, lambda x: x["a"] == x["b"]))
     there = F.size(F.filter(both, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
     return F.when(there > 0, agree / there).otherwise(F.lit(1.0))

@@ -401,6 +401,21 @@ def test_imatch_lexicon_holds_the_whole_band(spark):
     assert len({r.fingerprint for r in got.values()}) == 500
 
 
+def test_imatch_compares_like_with_like(spark):
+    """Texts with 8 and 9 terms in the lexicon, and texts with none."""
+    listed, rare = [f"t{i}" for i in range(20)], [f"rare{i}" for i in range(40)]
+    texts = [listed[:8] + rare, listed[:9] + rare, listed[:8] + rare[:-1], rare, rare[:-1], ["z" + t for t in rare], [], listed]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = imatch._with_parts(df, "text", listed, "parts", 8)
+    pairs = rows.alias("x").crossJoin(rows.alias("y")).select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), imatch.likeness(F.col("x.parts"), F.col("y.parts")).alias("like"))
+    like = {(r.i, r.j): r.like for r in pairs.collect()}
+    assert all(like[i, i] == 1 for i in range(len(texts)))
+    assert like[0, 1] > 0.5 and like[0, 2] > 0.5 and like[3, 4] > 0.5
+    assert like[3, 5] == like[3, 6] == like[3, 7] == like[6, 7] == 0
+    n = {r.doc_id: r for r in rows.select("doc_id", F.size("parts").alias("n"), F.size(F.filter("parts", lambda p: p.isNotNull())).alias("k")).collect()}
+    assert n[0].n == 2 * n[1].n and n[6].k == 0
+
+
 def test_imatch_neighbours_across_buckets(spark):
     rows = [(i * i, f"t{i}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
