@@ -490,6 +490,11 @@ def pagerank_fixed_iters(spark, d):
     return graph.pagerank(_edges(spark, d), fixed=3).withColumn("rank", F.round("rank", 9))
 
 
+@_query()
+def pagerank_converged(spark, d):
+    return graph.pagerank(_edges(spark, d)).withColumn("rank", F.round("rank", 9))
+
+
 @_query()
 def largest_scc(spark, d):
     return graph.largest_strong_component(_edges(spark, d))
