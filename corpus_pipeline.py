@@ -10,7 +10,7 @@ judged by its own text in the first two stages and the Jaccard join keeps those
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup as exact
@@ -40,12 +40,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays. Rows that repeat both id and text are one row first; rows without an id stay."""
+    """Of equal texts one stays. Rows that repeat both id and text are one row first, the longest; rows without an id stay."""
     found = materialize(exact.exact_dedup(docs), "dedup-found")
+    keys = ["doc_id", "text_sha256"]
+    docs = docs.withColumn("text_sha256", F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\r\x0b\x0c", "").cast("binary"), 256))
     if not found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = found.where(~F.col("kept")).select("doc_id").subtract(found.where("kept").select("doc_id"))
-    return _without(docs, gone, ["doc_id"]).select(*COLUMNS)
+        order = Window.partitionBy(*keys).orderBy(F.desc(F.length("text")), "text")
+        docs = docs.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    gone = found.where(~F.col("kept")).select(*keys).subtract(found.where("kept").select(*keys))
+    return _without(docs, gone, keys).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

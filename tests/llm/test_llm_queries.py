@@ -53,6 +53,15 @@ def test_pipeline(spark):
     assert clean.count() > 0 and docs.agg({"length": "sum"}).first()[0] > 0
 
 
+def test_pipeline_exact_dedup_judges_each_row_by_its_text(spark):
+    import corpus_pipeline as p
+
+    rows = [(0, "A"), (1, "A"), (1, "B"), (2, "B"), (3, "é c"), (3, "é  c"), (3, "D"), (4, None), (5, " \n"), (6, "D"), (6, "D"), (None, "A"), (None, "E")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in p.exact_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(0, "A"), (1, "B"), (3, "é  c"), (3, "D"), (5, " \n"), (None, "A"), (None, "E")], key=str)
+
+
 def test_pipeline_stages_on_no_rows(spark):
     import corpus_pipeline as p
 
