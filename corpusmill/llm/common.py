@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -16,13 +19,17 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one Python step holds at once.
 WINDOW_BYTES = 24 << 20
+#: Keys that are broadcast because they are frequent are at most so many, by the choice of what counts as frequent.
+HOT_KEYS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session (tests) may do without it; there it is set."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -38,7 +45,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table of `materialize` that nothing reads any more."""
+    spark = made.sparkSession
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(made.written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -60,6 +77,45 @@ def windows(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that nothing uses back to the system; Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over batches that leaves no unused memory with its worker."""
+
+    @functools.wraps(step)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            release()
+
+    return run
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Words between ASCII white space: (where each text's words begin, and the end; each word's place in the list; distinct words)."""
+    split = pc.ascii_split_whitespace(texts.view(pa.string()))
+    coded = split.flatten().dictionary_encode()
+    codes, bounds = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # before leading and behind trailing white space
+        nothing = distinct.index(b"")
+        there = codes != nothing
+        bounds = np.concatenate([[0], np.cumsum(there)])[bounds]
+        codes = codes[there]
+        codes = codes - (codes > nothing)
+        del distinct[nothing]
+    return bounds, codes.astype(np.int64), distinct
+
+
 def unique_ids() -> Iterator[int]:
     """Ids that no other task of the same stage gives: the partition, then a counter."""
     base = TaskContext.get().partitionId() << 36
@@ -68,15 +124,28 @@ def unique_ids() -> Iterator[int]:
         base += 1
 
 
-def prefix_sum(df: DataFrame, value: str, out: str, by: list[str], key: str, blocks: int = 256) -> DataFrame:
+def skew_safe_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str, rows_in_all: int) -> DataFrame:
+    """Inner join of rows with a table that has one row for each key, and in column `count` how many rows have it.
+
+    Keys of more than max(1000, rows_in_all / HOT_KEYS) rows, of which there can be no more than HOT_KEYS, are broadcast, and
+    their rows stay where they are; all the others meet in a shuffle, in which no key is frequent.
+    """
+    most = max(1000, rows_in_all // HOT_KEYS)
+    hot = F.broadcast(table.where(F.col(count) > most).drop(count))
+    cold = table.where(F.col(count) <= most).drop(count)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
+def prefix_sum(df: DataFrame, value: str, out: str, by: list[str], key: str, n_rows: int) -> DataFrame:
     """Add `out`: the sum of `value` over the rows before this one within `by`, without one task holding a whole group.
 
-    Rows are dealt to `blocks` blocks by a hash of `key`; each block is summed, the blocks' sums are
-    accumulated (at most `blocks` rows a group), and rows are accumulated within their block in the order of `key`.
+    Rows are dealt to blocks by a hash of `key`, one for each 50,000 of `n_rows` and 256 at least; each block is summed, the
+    blocks' sums are accumulated (a row for each group and block), and rows are accumulated within their block in the order of `key`.
     `key` must be unique.
     """
     from pyspark.sql import Window
 
+    blocks = max(256, n_rows // 50_000)
     dealt = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     sums = dealt.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,12 +6,14 @@ proportional to the product of its pieces' weights: sums over all paths are filt
 are hashes of (seed, row key, unit, step), so a row's segmentation does not depend on what else is read or where.
 
 No piece crosses from a non-space to a space, so the lattice falls apart into units (spaces and what follows them). Units are filtered once
-for each distinct one in a window of rows; each occurrence is drawn on its own.
+for each distinct one in a window of `WINDOW` characters; each occurrence is drawn on its own. A text longer than that is encoded in
+several windows, cut between units, with the draws that it would have in one; only a single unit has to fit.
 
 Decoding joins the pieces' bytes and drops the space that encoding puts first; it gives the text back exactly, also with
 leading, trailing or repeated spaces and with the model's own space mark in the text (which is encoded by its bytes).
 
-Null texts stay null, empty texts have no pieces. Rows without a key are keyed by their text. Repeated rows are encoded alike. Other columns pass through.
+Null texts stay null, empty texts have no pieces. Rows without a key are keyed by their text. Repeated rows are encoded alike. An empty table
+gives an empty result. Only the key and the text are read; `encode_sampled` and `decode_pieces` are columns, so all others pass through.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, tidy, windows
+
 _UNITS = re.compile(r" *[^ ]+| +")
 _SPACE = 0x2581
 #: A code point that no piece has: the model's space mark as a character of the text.
 _MARK = 0x110000
 #: Characters of text that are filtered and drawn together.
-WINDOW = 2 << 20
+WINDOW = 1 << 20
 _MODELS: dict[tuple[str, float], PieceModel] = {}
 
 
@@ -103,7 +107,7 @@ class PieceModel:
                 break
         bare = ids[place + 1, 0] < 0
         ids[place[bare] + 1, 0] = self.size
-        weight = np.append(self.weight, -np.inf)[ids]  # -1: the last one
+        weight = np.append(self.weight, -np.inf)  # -1: the last one
         sums = np.zeros(len(ids))
         cumulated = np.ones(ids.shape, np.float32)
         steps = np.arange(1, self.depth + 1)
@@ -112,7 +116,7 @@ class PieceModel:
         for level in range(1, int(lengths.max()) + 1):
             node = first[by_length[: count[level - 1]]] + level
             width = min(level, self.depth)
-            way = sums[node[:, None] - steps[None, :width]] + weight[node, :width]
+            way = sums[node[:, None] - steps[None, :width]] + weight[ids[node, :width]]
             most = way.max(1)
             part = np.exp(way - most[:, None])
             total = part.cumsum(1)
@@ -124,24 +128,48 @@ class PieceModel:
 
     def encode(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has)."""
+        ids, counts = [], np.zeros(len(texts), np.int64)
+        held: list[tuple[int, int, list[str]]] = []  # row, number of its first unit here, units
+        size = 0
+
+        def close() -> None:
+            nonlocal size
+            found, n = self._encode([u for *_, u in held], [keys[r] for r, *_ in held], [first for _, first, _ in held])
+            ids.append(found)
+            np.add.at(counts, [r for r, *_ in held], n)
+            held.clear()
+            size = 0
+
+        for row, text in enumerate(texts):
+            units, at = _units(text), 0
+            while at < len(units):
+                # units up to the window's end, one at least
+                stop, room = at, WINDOW - size
+                if len(text) <= room:
+                    stop, size = len(units), size + len(text)
+                else:
+                    while stop < len(units) and (room > 0 or (stop == at and not held)):
+                        room -= len(units[stop]) + 1
+                        stop += 1
+                    size = WINDOW - room
+                if stop > at:
+                    held.append((row, at, units[at:stop]))
+                at = stop
+                if size >= WINDOW:
+                    close()
+        if held:
+            close()
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
+
+    def _encode(self, lists: list[list[str]], keys: list[int], firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Lists of units, the numbers of their first ones in their rows: (ids of all, how many each list has)."""
         distinct: dict[str, int] = {}
-        named, per_text = [], []
-        for text in texts:
-            if not text:
-                parts = []
-            elif "  " in text or text[0] == " " or text[-1] == " ":
-                parts = [u[1:] for u in _UNITS.findall(" " + text)]
-            else:
-                parts = text.split(" ")
-            per_text.append(len(parts))
-            named.extend([distinct.setdefault(u, len(distinct)) for u in parts])
-        per_text = np.array(per_text, np.int64)
-        if not named:
-            return np.zeros(0, np.int32), per_text
+        per_text = np.fromiter(map(len, lists), np.int64, len(lists))
+        named = [distinct.setdefault(u, len(distinct)) for units in lists for u in units]
         ids, cumulated, last, code = self.filtered([" " + u for u in distinct])
         first = np.concatenate([[0], last[:-1] + 1])
         unit = np.array(named, np.int64)
-        within = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        within = np.arange(len(unit)) - np.repeat(np.cumsum(per_text) - per_text - np.array(firsts, np.int64), per_text)
         seed = np.repeat(np.array(keys, np.uint64), per_text) + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         node, rows = last[unit], np.arange(len(unit))
         drawn = []
@@ -200,14 +228,23 @@ def model(path: str, alpha: float) -> PieceModel:
     return _MODELS[path, alpha]
 
 
-def _slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, n in enumerate(lengths):
-        if held and held + n > WINDOW:
-            yield start, i
-            start, held = i, 0
-        held += n
-    yield start, len(lengths)
+def _units(text: str) -> list[str]:
+    """A text's units, each without the one space that it begins with."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [u[1:] for u in _UNITS.findall(" " + text)]
+    return text.split(" ")
+
+
+def _encoded(own: PieceModel, keys: list, texts: list[str | None], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = [xxhash.xxh64_intdigest(t or "" if k is None else str(k), seed=seed) for k, t in zip(keys, texts, strict=True)]
+    return own.encode([t or "" for t in texts], seeds)
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array([t is None for t in texts]))
 
 
 def encode_sampled(key: Column, text: Column, model_path: str, alpha: float = 1.0, seed: int = 0) -> Column:
@@ -218,14 +255,7 @@ def encode_sampled(key: Column, text: Column, model_path: str, alpha: float = 1.
         own = model(model_path, alpha)
         for keys, texts in batches:
             listed = texts.to_pylist()
-            seeds = [xxhash.xxh64_intdigest(t or "" if k is None else str(k), seed=seed) for k, t in zip(keys.to_pylist(), listed, strict=True)]
-            ids, counts = [], []
-            for a, b in _slices([len(t or "") for t in listed]):
-                found, n = own.encode([t or "" for t in listed[a:b]], seeds[a:b])
-                ids.append(found)
-                counts.append(n)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array([t is None for t in listed]))
+            yield _lists(*_encoded(own, keys.to_pylist(), listed, seed), listed)
 
     return encode(key, text)
 
@@ -238,13 +268,25 @@ def decode_pieces(ids: Column, model_path: str) -> Column:
         own = model(model_path, 1.0)
         for lists in batches:
             counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            out: list[str | None] = []
-            at = 0
-            for a, b in _slices(counts.tolist()):
-                n = counts[a:b]
-                out += own.decode(flat[at : at + n.sum()], n)
-                at += int(n.sum())
+            out = own.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
             yield pa.array([t if v else None for t, v in zip(out, lists.is_valid().to_pylist(), strict=True)], pa.string())
 
     return decode(ids)
+
+
+def encode_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
+    """For each row: doc_id, ids, and `lossless`: whether decoding them gives the text. Both ways in one step, a window of rows at a time."""
+
+    @tidy
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(model_path, alpha)
+        for batch in windows(batches, size=1 << 20):
+            texts = batch.column("text").to_pylist()
+            ids, counts = _encoded(own, batch.column("doc_id").to_pylist(), texts, seed)
+            back = own.decode(ids, counts)
+            same = pa.array([t is None or t == b for t, b in zip(texts, back, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, counts, texts), same], ["doc_id", "ids", "lossless"])
+            del texts, ids, counts, back
+            release()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(step, "doc_id long, ids array<int>, lossless boolean")

@@ -53,11 +53,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("ids", piece_sampling.encode_sampled(F.col("doc_id"), F.col("text"), path)).withColumn("back", piece_sampling.decode_pieces(F.col("ids"), path))
+    docs = piece_sampling.encode_checked(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     digest = F.crc32(F.array_join("ids", ",").cast("binary"))
-    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), F.col("text").eqNullSafe(F.col("back")).alias("lossless"))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), digest.alias("ids_crc32"), "lossless")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
