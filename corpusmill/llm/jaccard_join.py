@@ -5,22 +5,25 @@ band. For a band, a hash deals the universe of shingles into segments. Two sets
 shingles, so of H + 1 + g segments at least g + 1 are equal; of (H + 1) / 2 segments at least one differs by one shingle
 at most. Which of the two a band uses is decided by cost, from the number of sets in the band:
 
-* whole segments: one signature for each segment that is not empty, with g spare segments, so that a pair has an
-  equal one that is not empty; a set with more than g empty segments indexes those as well;
+* whole segments: one signature for each segment, with g spare segments. Weak segments, which hold nothing but frequent shingles (or
+  nothing at all), are left out of sets that have g of them at most, so that a pair still has an equal one that is not weak; other
+  sets index theirs as well. Shingles are frequent if `hot_share` of all classes have them; they are counted over all rows;
 * one-deletion neighbourhoods: signatures of each segment and of each segment less one shingle, for small sets.
 
-Sets that share a signature are candidates. A run of them is not expanded into pairs: its members are hung on its first one, and the connected
-components of these links are the clusters in which all candidates lie. A cluster's texts meet in one task, or, if they are more than
-`block_bytes`, each two of its blocks do. There sets are compared exactly, by the words, through an inverted index: a member is
-compared with all others unless links have joined it to the cluster's first large component already, and only links that join
-components are returned. So a large group of near copies costs one comparison a member, and no link between components is missed. Equal
-sets are one class, which is compared once.
+Sets that share a signature are candidates. A run of them is not expanded into pairs: its members are hung on its first one, in the task
+that read them first and then once for each such window, and the connected components of these links are the clusters in which all candidates lie. The
+texts of candidates are fetched by a shuffle join, compressed. A cluster's texts meet in blocks of `block_bytes`: sets are
+compared exactly, by the words, through an inverted index; a member is compared with all others unless links have joined it to the block's
+first large component already, and only links that join components are returned. A cluster of several blocks has some pivots, which are
+sent to each of its blocks, so that a large group of near copies becomes one component there; what is outside the cluster's largest component
+(and that only) is then compared with all its blocks. So a large group of near copies costs one comparison a member, and no
+link between components is missed. Equal sets are one class, which is compared once.
 
 Null and empty texts have the empty set, which is linked with nothing. A text with fewer words than a shingle has one
 shingle, the whole. Repeated rows are copies; rows of one id count as one document. Rows without an id link with nothing and have no
-component. An empty table gives an empty result. Only the id and text columns are read.
+component. Very long texts are handled whole; a task has to hold one. An empty table gives an empty result. Only the id and text columns are read.
 
-Shingles are hashed to 64 bits for counts and signatures, and classes to 128 bits.
+Shingles are hashed to 64 bits for counts and signatures, and classes (equal sets) to 128 bits; other links are decided on the words.
 """
 
 from __future__ import annotations
@@ -30,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes, windows
-from .components import connected_components
+from .common import discard, materialize, release, skew_safe_join, text_bytes, tidy, windows, word_codes
+from .components import connected_components, forest
 
 _U = np.uint64
-#: Up to so many ids of candidates (8 bytes each) are broadcast to the texts; beyond, both sides are shuffled.
-BROADCAST_IDS = 500_000
+#: Members of a cluster of several blocks that are sent to each of its blocks.
+PIVOTS = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,38 +54,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
-
-    def __init__(self, words: int, keep: int = 200_000):
-        self.words, self.keep, self.memo = words, keep, {}
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        memo, k, out = self.memo, self.words, []
-        if len(memo) > self.keep:
-            memo.clear()
-        for text in texts:
-            words = text.lower().split()
-            try:
-                h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            except KeyError:
-                for w in words:
-                    if w not in memo:
-                        memo[w] = xxhash.xxh64_intdigest(w)
-                h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            n = max(len(h) - k + 1, min(len(h), 1))
-            total = np.full(n, min(len(h), k), np.uint64)
-            for i in range(min(len(h), k)):
-                total = _mix(total * _U(3) + h[i : i + n])
-            out.append(np.unique(total))
-        return out
-
-
-def exact_shingles(text: bytes, k: int) -> set:
-    words = text.lower().split()
-    if len(words) < k:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[i:] for i in range(k)), strict=False))
+def _lower_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    return word_codes(pc.ascii_lower(texts.view(pa.string())))
+
+
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles."""
+    bounds, codes, distinct = _lower_words(texts)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
+    total = np.full(max(0, len(h) - k + 1), k, np.uint64)
+    for i in range(k):
+        total = _mix(total * _U(3) + h[i : i + len(total)])
+    out = []
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if z - a >= k or z == a:
+            out.append(np.unique(total[a : max(a, z - k + 1)]))
+        else:
+            one = np.array([z - a], np.uint64)
+            for x in h[a:z]:
+                one = _mix(one * _U(3) + x)
+            out.append(one)
+    return out
+
+
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Of each text the numbers of its distinct shingles; equal numbers are equal words, in these texts."""
+    bounds, codes, distinct = _lower_words(pa.array(texts, pa.binary()))
+    grams, width = codes, 1  # grams[i]: the number of the `width` words from i on
+    while width < k:
+        step = min(width, k - width)
+        n = max(0, len(codes) - width - step + 1)
+        grams = np.unique(grams[:n] * (len(codes) + 1) + grams[step : step + n], return_inverse=True)[1]
+        width += step
+    short: dict[tuple, int] = {}
+    out = []
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if z - a >= k or z == a:
+            out.append(np.unique(grams[a : max(a, z - k + 1)]))
+        else:
+            out.append(np.array([len(codes) + short.setdefault(tuple(codes[a:z].tolist()), len(short))]))
+    return out
 
 
 def _class(h: np.ndarray) -> tuple[int, int]:
@@ -97,8 +110,8 @@ def band_starts(percent: int, most: int) -> list[int]:
     return starts
 
 
-def allocate(starts: list[int], in_band: dict[int, int], percent: int) -> list[tuple[str, int, int]]:
-    """For each pair of bands (k, k or k + 1): ("whole", segments, spare) or ("deletion", segments, 0), whichever costs less."""
+def allocate(starts: list[int], in_band: dict[int, int], percent: int, hot: float = 0.0) -> list[tuple[str, int, int]]:
+    """For each pair of bands (k, k or k + 1): ("whole", segments, spare) or ("deletion", segments, 0), whichever costs less. hot: the share of frequent shingles in all sets."""
     plans = []
     for k in range(len(starts) - 1):
         largest = starts[k + 1] - 1
@@ -108,18 +121,18 @@ def allocate(starts: list[int], in_band: dict[int, int], percent: int) -> list[t
         best = (halves + largest, ("deletion", halves, 0))
         for spare in range(0, most + 8):
             segments = most + 1 + spare
-            empty = segments * math.exp(-starts[k] / segments)
-            # sets with more than `spare` empty segments, by the tail of a Poisson distribution
-            tail = 1 - sum(math.exp(-empty + i * math.log(empty) - math.lgamma(i + 1)) for i in range(spare + 1)) if empty > 0 else 0
-            cost = segments + sets * max(0.0, tail) * empty
+            weak = segments * math.exp(-starts[k] * (1 - hot) / segments)
+            # sets with more than `spare` weak segments, by the tail of a Poisson distribution
+            tail = 1 - sum(math.exp(-weak + i * math.log(weak) - math.lgamma(i + 1)) for i in range(spare + 1)) if weak > 0 else 0
+            cost = segments + sets * max(0.0, tail) * weak
             if cost < best[0]:
                 best = (cost, ("whole", segments, spare))
         plans.append(best[1])
     return plans
 
 
-def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, signature) of every signature of the sets."""
+def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str, int, int]], hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the set, signature) of every signature of the sets. hot: sorted hashes of frequent shingles."""
     sizes = np.array([len(h) for h in sets])
     bands = np.searchsorted(starts, sizes, "right") - 1
     owners: list[np.ndarray] = []
@@ -148,6 +161,9 @@ def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str,
             continue
         length = sizes[big]
         h = np.concatenate([sets[i] for i in big])
+        cold = np.ones(len(h), bool)
+        if hot is not None and len(hot):
+            cold = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] != h
         k = np.array([x[0] for x in kinds])
         m = np.array([x[1] for x in kinds])
         mixed = _mix(h + np.repeat(k, length).astype(np.uint64))
@@ -160,8 +176,8 @@ def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str,
         owner = np.repeat(np.arange(len(big)), m)
         segment = np.arange(offset[-1]) - np.repeat(offset[:-1], m)
         sig = _mix(_mix(low + high * _U(0x9E3779B97F4A7C15)) + (k[owner].astype(np.uint64) << _U(40)) + (segment.astype(np.uint64) << _U(12)) + count.astype(np.uint64))
-        empty = np.bincount(owner, count == 0, len(big))
-        use = (count > 0) | (empty > np.array(spares))[owner]
+        weak = np.bincount(cell, cold, offset[-1]) == 0
+        use = ~weak | (np.bincount(owner, weak, len(big)) > np.array(spares))[owner]
         owners.append(np.array(big)[owner[use]])
         found.append(sig[use])
     if not found:
@@ -169,34 +185,46 @@ def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str,
     return np.concatenate(owners), np.concatenate(found)
 
 
+@tidy
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (sig, cid): links from the first class of each signature to its other ones, once each in a batch."""
-    last_sig = last_cid = center = None
+    """Links, and rows (sig, a) sorted by them: the links, and others from the first class of each signature to its other ones, a forest for each batch."""
+    last_sig = center = None
     for batch in batches:
-        sig, cid = batch.column("sig").to_numpy(), batch.column("cid").to_numpy()
-        if not len(sig):
-            continue
-        begins = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]])
-        again = np.concatenate([[sig[0] == last_sig and cid[0] == last_cid], (sig[1:] == sig[:-1]) & (cid[1:] == cid[:-1])])
-        at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
-        centers = np.where(at >= 0, cid[np.maximum(at, 0)], center if center is not None else 0)
-        hung = ~begins & ~again & (centers != cid)
-        last_sig, last_cid, center = sig[-1], cid[-1], centers[-1]
-        links = np.unique(np.stack([centers[hung], cid[hung]], 1), axis=0) if hung.any() else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].astype(np.int64)), pa.array(links[:, 1].astype(np.int64))], ["a", "b"])
-
-
-def _joining_links(members: list[tuple[int, int, bytes]], percent: int, k: int) -> list[tuple[int, int]]:
-    """Links that join the components of a cluster. members: (id, block, text); of two blocks only links between them are sought."""
-    places: dict[tuple, int] = {}
-    sets = [np.fromiter((places.setdefault(s, len(places)) for s in exact_shingles(text, k)), np.int64) for *_, text in members]
+        linked = batch.column("sig").is_null().to_numpy(zero_copy_only=False)
+        given = batch.filter(pa.array(linked))
+        rows = batch.filter(pa.array(~linked))
+        a, b = given.column("a").to_numpy(), given.column("b").to_numpy()
+        sig, cid = rows.column("sig").to_numpy(), rows.column("a").to_numpy()
+        if len(sig):
+            begins = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]])
+            at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
+            centers = np.where(at >= 0, cid[np.maximum(at, 0)], center if center is not None else 0)
+            hung = ~begins & (centers != cid)
+            last_sig, center = sig[-1], centers[-1]
+            a, b = np.concatenate([a, centers[hung]]), np.concatenate([b, cid[hung]])
+        yield forest(a, b)
+
+
+def _joining_links(members: list[tuple[int, int | None, bool, bytes]], percent: int, k: int) -> list[tuple[int, int]]:
+    """Links that join the components of a cluster. members: (id, label, outside, text).
+
+    Without labels all pairs are looked at. Else members have the label of the component that they are in already, and each of those that are
+    outside is compared with those that are not.
+    """
+    known = members[0][1] is not None
+    outside = np.array([o for _, _, o, _ in members])
+    if known and not outside.any():
+        return []
+    sets = exact_sets([text for *_, text in members], k)
     sizes = np.array([len(x) for x in sets])
-    block = np.array([b for _, b, _ in members])
-    order = np.argsort(np.concatenate(sets), kind="stable")
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
     postings = np.repeat(np.arange(len(sets)), sizes)[order]
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(sets), minlength=len(places)))])
-    label = np.arange(len(sets))
-    parent = label.copy()
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(every))])
+    parent = np.arange(len(sets))
+    if known:
+        _, first, of = np.unique(np.array([x for _, x, _, _ in members]), return_index=True, return_inverse=True)
+        parent = first[of]
     weight = np.ones(len(sets), np.int64)
 
     def find(x: int) -> int:
@@ -206,19 +234,16 @@ def _joining_links(members: list[tuple[int, int, bytes]], percent: int, k: int)
         return x
 
     links, hub = [], None
-    two = block.min() != block.max()
-    for x in range(len(sets)):
-        if two and block[x] == block.max():  # links of its members are found from the other block
-            continue
-        if hub is None and x >= 32 and not two:
+    for x in np.flatnonzero(outside) if known else range(len(sets)):
+        if hub is None and x >= 32 and not known:
             hub = int(weight.argmax())  # stays the same from here: of two members that are skipped, both are in its component
         if hub is not None and find(x) == find(hub):
             continue
-        both = np.bincount(np.concatenate([postings[bounds[s] : bounds[s + 1]] for s in sets[x]]), minlength=len(sets))
+        both = np.bincount(np.concatenate([postings[bounds[s] : bounds[s + 1]] for s in sets[x].tolist()]), minlength=len(sets))
         near = 100 * both >= percent * (sizes + sizes[x] - both)
         near[x] = False
-        if two:
-            near &= block != block[x]
+        if known:
+            near &= ~outside
         for y in np.flatnonzero(near):
             a, b = find(x), find(int(y))
             if a != b:
@@ -229,78 +254,147 @@ def _joining_links(members: list[tuple[int, int, bytes]], percent: int, k: int)
 
 
 def _verify(percent: int, k: int):
+    @tidy
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by (cluster, i, j): links found in each two blocks of each cluster."""
-        held, mine = [], None
+        """Sorted by (cluster, i, j, outside): the links that are found in each (cluster, i, j)."""
+        press, held, mine = zstandard.ZstdDecompressor(), [], None
 
         def close() -> pa.RecordBatch:
             links = _joining_links(held, percent, k) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], ["a", "b"])
 
-        for batch in windows(batches, size=8 << 20):
-            for cluster, i, j, block, rep, text in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "rep", "text")), strict=True):
+        for batch in windows(batches, "z", 4 << 20):
+            for cluster, i, j, outside, label, rep, z in zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "outside", "label", "rep", "z")), strict=True):
                 if (cluster, i, j) != mine:
                     if held:
                         yield close()
                     held, mine = [], (cluster, i, j)
-                held.append((rep, block, text))
+                held.append((rep, label, outside, press.decompress(z)))
+            release()
         if held:
             yield close()
 
     return test
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block_bytes: int = 8 << 20) -> DataFrame:
+def _meet(rows: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) of rows (cluster, i, j, outside, label, rep, z) that have cluster, i and j in common."""
+    met = rows.select("cluster", "i", "j", "outside", "label", "rep", "z").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "outside", "rep", "z")
+    return materialize(met.mapInArrow(_verify(percent, words), "a long, b long"), "links")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block_bytes: int = 8 << 20, hot_share: float = 0.002) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest id reachable by links of similarity percent / 100 or more)."""
     texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
 
+    @tidy
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Shingler(words)
+        """Each row's set size and class; and rows (shingle, how many distinct sets of a window have it) of the shingles that are frequent there."""
         for batch in windows(batches, size=8 << 20):
-            sets = of(batch.column("text").to_pylist())
+            sets = shingles(batch.column("text"), words)
             ids = [_class(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64())], ["doc_id", "n", "cid", "cid2"])
-
-    rows = materialize(texts.mapInArrow(describe, "doc_id long, n long, cid long, cid2 long"), "sets")
-    classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("cid", "cid2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    most = classes.agg(F.max("n")).first()[0] or 0
+            size, none = len(sets), pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), none], ["doc_id", "n", "cid", "cid2", "shingle"])
+            one = dict(zip(ids, sets, strict=True))
+            shingle, n = np.unique(np.concatenate(list(one.values())), return_counts=True)
+            often = n >= max(2, hot_share * size)
+            shingle, n = shingle[often].view(np.int64), n[often]
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none, pa.array(shingle)], ["doc_id", "n", "cid", "cid2", "shingle"])
+            release()
+
+    found = materialize(texts.mapInArrow(describe, "doc_id long, n long, cid long, cid2 long, shingle long"), "sets")
+    rows = found.where("shingle is null").drop("shingle")
+    usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    classes = materialize(rows.where(usable).groupBy("cid", "cid2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("k")), "classes")
+    n_rows, n_classes, most, n_shingles = classes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # at most (shingles of an average class) / hot_share of them, however many rows there are
+    frequent = found.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, hot_share * n_classes)).toArrow()
+    hot = np.sort(frequent.column("shingle").to_numpy().view(np.uint64))
+    share = min(0.99, int(pc.sum(frequent.column("n")).as_py() or 0) / max(1, n_shingles))
     starts = band_starts(percent, most)
     band = F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= F.col("n"))) - 1
-    plans = allocate(starts, {r.band: r.k for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("k")).collect()}, percent)
+    plans = allocate(starts, {r.band: r.k for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("k")).collect()}, percent, share)
+    shared = docs.sparkSession.sparkContext.broadcast((starts, plans, hot))
 
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, seen = Shingler(words), set()
+        """(sig, a): each signature of a window with its first class there; (null, a, b): links from that to its other classes."""
+        seen: set[tuple[int, int]] = set()
+        starts, plans, hot = shared.value
         for batch in windows(batches, size=4 << 20):
             sets, ids = [], []
-            for h in of(batch.column("text").to_pylist()):
-                if len(h) and (c := _class(h)[0]) not in seen:
+            for h in shingles(batch.column("text"), words):
+                if len(h) and (c := _class(h)) not in seen:
                     seen.add(c)
                     sets.append(h)
-                    ids.append(c)
-            if len(seen) > 500_000:
+                    ids.append(c[0])
+            if len(seen) > 200_000:
                 seen.clear()
-            owner, sig = signatures(sets, starts, plans)
-            cid = np.array(ids, np.int64)[owner] if ids else np.zeros(0, np.int64)
+            owner, sig = signatures(sets, starts, plans, hot)
+            if not len(sig):
+                continue
+            order = np.argsort(sig, kind="stable")
+            sig, cid = sig[order].view(np.int64), np.array(ids, np.int64)[owner[order]]
+            begins = np.concatenate([[True], sig[1:] != sig[:-1]])
+            center = cid[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
+            links = forest(center[~begins], cid[~begins])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), links.column("a"), links.column("b")], ["sig", "a", "b"])
+            sig, cid = sig[begins], cid[begins]
             for at in range(0, len(sig), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000].view(np.int64)), pa.array(cid[at : at + 100_000])], ["sig", "cid"])
-
-    signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, cid long")
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "a long, b long")
-    clusters = connected_components(materialize(stars.distinct(), "stars"))
-    clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label")).distinct()
-    named = clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster"))
-    named = materialize(named, "named")
-    ids = named.select(F.col("rep").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    first = texts.join(ids, "doc_id").dropDuplicates(["doc_id", "text"])
-    held = materialize(named.join(first.select(F.col("doc_id").alias("rep"), "text"), "rep"), "texts")
-    blocks = held.groupBy("cluster").agg(F.ceil(F.sum(F.length("text") + 100) / block_bytes).cast("int").alias("blocks"))
-    placed = held.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    met = placed.select("cluster", "block", "rep", "text", F.explode(others).alias("at")).select("cluster", "at.i", "at.j", "block", "rep", "text")
-    met = met.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "rep", "text")
-    labels = connected_components(met.mapInArrow(_verify(percent, words), "a long, b long"))
-    linked = rows.join(classes.select("cid", "cid2", "rep"), ["cid", "cid2"], "left")
-    linked = linked.join(labels, linked.rep == labels.node, "left")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("label", "rep", "doc_id")).alias("component_id"))
+                part = pa.array(cid[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000]), part, pa.nulls(len(part), pa.int64())], ["sig", "a", "b"])
+            del sets, owner, sig, cid, order, begins, center
+            release()
+
+    signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, a long, b long")
+    signed = signed.repartition(F.coalesce(F.col("sig"), F.xxhash64("a", "b"))).sortWithinPartitions("sig", "a")
+    clusters = connected_components(signed.mapInArrow(_stars, "a long, b long"))
+    clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label").distinct())
+    named = materialize(clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster")).distinct(), "named")
+
+    @tidy
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in windows(batches, size=4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress(t) for t in batch.column("text").to_pylist()], pa.binary()), pc.binary_length(batch.column("text"))], ["rep", "z", "bytes"])
+
+    # always by shuffle, whatever the number of candidates
+    fetched = texts.where("doc_id is not null").mapInArrow(pressed, "rep long, z binary, bytes int").join(named.hint("merge"), "rep").dropDuplicates(["rep", "cluster", "z"])
+    held = materialize(fetched, "texts")
+    sizes = held.groupBy("cluster").agg(F.ceil(F.sum(F.col("bytes") + 100) / block_bytes).cast("int").alias("blocks"), F.count("*").alias("k"))
+    sizes = materialize(sizes, "blocks")
+    placed = skew_safe_join(held, sizes, ["cluster"], "k", n_rows)
+    zero, alone = F.lit(0), F.lit(False)
+    placed = placed.select("cluster", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("i"), zero.alias("j"), alone.alias("outside"), F.lit(None).cast("long").alias("label"), "rep", "z", "bytes", "blocks")
+    large = sizes.where("blocks > 1").limit(1).count() > 0
+    if not large:
+        links = _meet(placed, percent, words)
+    else:
+        placed = materialize(placed, "placed")
+        big = placed.where("blocks > 1")
+        order = Window.partitionBy("cluster").orderBy(F.xxhash64("rep", F.lit(1)), "rep", "z")
+        pivots = big.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS)
+        sent = pivots.withColumn("to", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("to <> i").drop("place", "i").withColumnRenamed("to", "i")
+        links = _meet(placed.unionByName(sent), percent, words)
+        # what is outside the largest component of its cluster meets each block of it
+        joined = connected_components(links)
+        big = big.drop("label").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        big = materialize(big, "big")
+        counted = big.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+        hubs = counted.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("hub"), F.sum("k").alias("k"))
+        outside = materialize(skew_safe_join(big, hubs, ["cluster"], "k", n_rows).where("label <> hub").drop("hub"), "outside")
+        rest = outside.groupBy("cluster").agg(F.ceil(F.sum(F.col("bytes") + 100) / block_bytes).cast("int").alias("more"))
+        rest = rest.join(counted.groupBy("cluster").agg(F.sum("k").alias("k")), "cluster")
+        base = skew_safe_join(big, rest, ["cluster"], "k", n_rows).drop("j").withColumn("j", F.explode(F.sequence(zero, F.col("more") - 1)))
+        sent = skew_safe_join(outside, rest, ["cluster"], "k", n_rows).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(2)), "more").cast("int")).withColumn("outside", F.lit(True))
+        sent = sent.withColumnRenamed("i", "own").withColumn("i", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("i <> own")
+        more = _meet(base.drop("more").unionByName(sent.drop("own", "more")), percent, words)
+        links = more.unionByName(joined.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        discard(placed)
+    labels = connected_components(links)
+    discard(held)
+    # labels come to classes first, of which no two share a representative, and then to rows
+    named = classes.join(labels, classes.rep == labels.node, "left").select("cid", "cid2", "k", F.coalesce("label", "rep").alias("component_id"))
+    linked = skew_safe_join(rows.where(usable), named, ["cid", "cid2"], "k", n_rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return linked.unionByName(rows.where(~usable).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,8 +96,15 @@ def test_ftrl_separates():
 # Jaccard join
 
 
+def exact_shingles(text, k):
+    words = text.lower().split()
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
 def brute_components(rows, k, percent):
-    sets = [jaccard_join.exact_shingles((t or "").encode(), k) for _, t in rows]
+    sets = [exact_shingles((t or "").encode(), k) for _, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -143,7 +151,7 @@ def test_links_join_all_of_a_large_cluster(seed):
         w = list(bases[min(2, int(rng.random() ** 2 * 3)) if i < 150 else 2])
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(60)}"
-        members.append((i, 0, " ".join(w).encode()))
+        members.append((i, None, False, " ".join(w).encode()))
     parent = list(range(300))
 
     def find(p, x):
@@ -154,10 +162,38 @@ def test_links_join_all_of_a_large_cluster(seed):
     for a, b in jaccard_join._joining_links(members, 80, 3):
         x, y = find(parent, a), find(parent, b)
         parent[max(x, y)] = min(x, y)
-    want = brute_components([(i, t.decode()) for i, _, t in members], 3, 80)
+    want = brute_components([(i, t.decode()) for i, _, _, t in members], 3, 80)
     assert Counter(find(parent, i) for i in range(300)) == Counter({c: n for c, n in Counter(x[2] for x in want.elements()).items()})
 
 
+def test_exact_sets_are_those_of_the_words():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("aBc") for _ in range(rng.randrange(9))) for _ in range(200)] + [" a\tb\nC  a ", ""]
+    for k in range(1, 7):
+        got = jaccard_join.exact_sets([t.encode() for t in texts], k)
+        want = [exact_shingles(t.encode(), k) for t in texts]
+        hashed = jaccard_join.shingles(pa.array([t.encode() for t in texts]), k)
+        for a in range(0, len(texts), 7):
+            for b in range(len(texts)):
+                assert len(np.intersect1d(got[a], got[b])) == len(np.intersect1d(hashed[a], hashed[b])) == len(want[a] & want[b])
+
+
+def test_jaccard_keeps_links_behind_frequent_shingles(spark):
+    """A line that a third of the rows have, in near copies of each other and in others, and texts of frequent shingles alone."""
+    rng = random.Random(9)
+    line = words(random.Random(1), 12, 10_000)
+    rows = []
+    for i in range(400):
+        own = words(random.Random(i // 2), rng.choice([6, 20, 90]), 5000).split()
+        if i % 2:
+            own[rng.randrange(len(own))] = "other"
+        rows.append((i, " ".join(own) + (" " + line if i % 6 < 2 else "")))
+    rows += [(1000 + i, line + " " + words(rng, i % 3, 9)) for i in range(60)]
+    for block in (8 << 20, 3000):
+        got = jaccard_join.jaccard_components(table(spark, rows).repartition(4), words=3, percent=80, block_bytes=block, hot_share=0.05)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 80)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, [])).collect() == []
     assert sorted(r.component_id for r in jaccard_join.jaccard_components(table(spark, [(1, None), (2, "")])).collect()) == [1, 2]
@@ -177,8 +213,9 @@ def test_signatures_meet_for_every_close_pair(in_band):
             both = len(np.intersect1d(a, b))
             if not both or 100 * both < 85 * (len(a) + len(b) - both):
                 continue
-            owner, sig = jaccard_join.signatures([a, b], starts, plans)
-            assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
+            for hot in (None, np.unique(rng.choice(a, len(a) // 3)), a):
+                owner, sig = jaccard_join.signatures([a, b], starts, plans, hot)
+                assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
 def test_components(spark):
@@ -512,8 +549,8 @@ def test_word_encoder_equals_the_library():
     more = ["B ", "ÀB,", "&%$", "<|startoftext|>x", "ß", "ÿ×", "÷", "İ", "ǅ", "a_b", "^", "`~", "ſ", "K", "É"]
     texts = ["".join(rng.choice(ALPHABET + more) for _ in range(rng.randrange(12))) for _ in range(5000)]
     encoder = packing.WordEncoder(path, keep=500)
-    got = [g for i in range(0, 5000, 100) for g in encoder([t.encode() for t in texts[i : i + 100]])]
-    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+    got = [g.as_py() for i in range(0, 5000, 100) for g in encoder(pa.array([t.encode() for t in texts[i : i + 100]]), 2)]
+    assert [np.frombuffer(g, encoder.kind).tolist() for g in got] == [[*e.ids, 2] for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("seed", range(4))
