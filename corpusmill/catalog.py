@@ -187,7 +187,7 @@ def article_filter_kept(spark, d):
     return _filtered(spark, d)[0].select("page_id", "title", "views")
 
 
-@_query(_CTE + f"SELECT title FROM keyed EXCEPT SELECT title FROM keyed LEFT JOIN views USING (title_match) WHERE {_KEEP}")
+@_query(_CTE + f"SELECT title_match FROM keyed EXCEPT SELECT title_match FROM keyed LEFT JOIN views USING (title_match) WHERE {_KEEP}")
 def article_filter_discarded(spark, d):
     return _filtered(spark, d)[1]
 
@@ -222,7 +222,7 @@ def prefix_histogram(spark, d):
     return stats.prefix_histogram(_read(spark, d, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("title")))
 
 
-@_query(_CTE + "SELECT page_id, count(*) AS n_titles, CAST(sum(views) AS BIGINT) AS views, array_to_string(list_sort(list(month || '/' || wiki_code || '/' || article_title || '/' || CAST(views AS VARCHAR))), ',') AS titles FROM (SELECT month, wiki_code, article_title, views, unnest(page_ids) AS page_id FROM monthly) GROUP BY 1")
+@_query(_CTE + "SELECT page_id, count(*) AS n_titles, CAST(sum(views) AS BIGINT) AS views, array_to_string(list_sort(list(month || '/' || wiki_code || '/' || article_title || '/' || CAST(views AS VARCHAR))), ',') AS titles FROM (SELECT month, wiki_code, article_title, views, unnest(page_ids) AS page_id FROM monthly) WHERE page_id <> 'null' GROUP BY 1")
 def page_id_inversion(spark, d):
     m = _monthly(spark, d).withColumn("wiki_code", F.concat_ws("/", "month", "wiki_code"))
     named = F.transform("titles", lambda t: F.concat_ws("/", t["wiki_code"], t["article_title"], t["views"].cast("string")))
@@ -512,10 +512,10 @@ def induced_subgraph(spark, d):
     return graph.induced(edges, top)
 
 
-@_query("SELECT event_id, CAST(user_id % 24 + 1 AS INT) AS slot, CAST(floor(value) AS INT) AS views FROM events WHERE value >= 0")
+@_query("SELECT event_id, CAST(user_id % 24 + 1 AS INT) AS slot, CAST(floor(abs(value)) AS INT) AS views FROM events")
 def hourly_decode(spark, d):
-    code = F.concat(F.char((F.col("user_id") % 24 + 65).cast("long")), F.floor("value").cast("string"))
-    rows = _read(spark, d, "events").where("value >= 0").select("event_id", F.explode(T.symbol_counts(code)).alias("s"))
+    code = F.concat(F.char((F.col("user_id") % 24 + 65).cast("long")), F.floor(F.abs("value")).cast("string"))
+    rows = _read(spark, d, "events").select("event_id", F.explode(T.symbol_counts(code)).alias("s"))
     return rows.select("event_id", "s.slot", "s.views")
 
 

@@ -164,11 +164,14 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """0 where either has no length."""
+    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.when(a.isNotNull() & b.isNotNull(), F.lit(0.0)))
 
 
 def l2_normalized(a: Column) -> Column:
-    return F.transform(a, lambda x: (x.cast("double") / norm(a)).cast("float"))
+    """a of length 1; zeros stay zeros. The length is bound in an array of one, so that it is computed once and not for each number."""
+    scaled = F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)).cast("float")))
+    return F.when(a.isNotNull(), scaled[0])
 
 
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:

@@ -47,9 +47,9 @@ def keeps(o: FilterOptions) -> Column:
 
 
 def filter_articles(df: DataFrame, options: FilterOptions) -> tuple[DataFrame, DataFrame]:
-    """(kept articles, distinct titles of none of the kept ones)."""
+    """(kept articles, distinct title keys of none of the kept ones). Titles that differ in case or underscores alone have one key."""
     kept = df.where(keeps(options))
-    return kept, df.select("title").subtract(kept.select("title"))
+    return kept, df.select("title_match").subtract(kept.select("title_match"))
 
 
 def only_sentinel_ids(ids: Column) -> Column:

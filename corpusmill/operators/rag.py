@@ -12,24 +12,29 @@ from pyspark.sql import functions as F
 from .embedding import Provider, embed
 from .vectors import search
 
-#: How a source and a prompt are laid out.
-SOURCE_HEAD, SOURCE_ID, SOURCE_TEXT, SOURCE_END = "\n        ```\n", "        source_id: ", "        source_text: ", "        ```\n        "
-PROMPT_HEAD = "\nYou will be given a message from a user and a list of sources, \nthat may be relevant to answering the question.\nYour job is to answer the question.\n\nHere is the question:\n"
-PROMPT_SOURCES = "\n\nSources:\n"
+#: How a source and a prompt are laid out; {} stand for the values.
+SOURCE = "\n        ```\n        source_id: {}\n        source_text: {}\n        ```\n        "
+PROMPT = "\nYou will be given a message from a user and a list of sources, \nthat may be relevant to answering the question.\nYour job is to answer the question.\n\nHere is the question:\n{}\n\nSources:\n{}\n"
 
 #: Fixed value: the schema of an answer.
 RESPONSE = "response STRING, source_ids ARRAY<STRING>, highlighted_response ARRAY<MAP<STRING,STRING>>"
 
 
+def filled(template: str, *values: Column) -> Column:
+    """A template with values in place of its {}."""
+    first, *rest = template.split("{}")
+    return F.concat(F.lit(first), *[part for value, text in zip(values, rest, strict=True) for part in (value, F.lit(text))])
+
+
 def source_block(source_id: Column, text: Column) -> Column:
-    return F.concat(F.lit(SOURCE_HEAD + SOURCE_ID), source_id, F.lit("\n" + SOURCE_TEXT), text, F.lit("\n" + SOURCE_END))
+    return filled(SOURCE, source_id, text)
 
 
 def prompts(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, prompt): the sources of each question by rank, separated by an empty line. hits: qid, rank, id, chunk_text."""
     blocks = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", source_block(F.col("id"), F.col("chunk_text")).alias("block")))).alias("blocks"))
     listed = F.coalesce(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit(""))
-    return questions.join(blocks, "qid", "left").select("qid", F.concat(F.lit(PROMPT_HEAD), F.col("question"), F.lit(PROMPT_SOURCES), listed, F.lit("\n")).alias("prompt"))
+    return questions.join(blocks, "qid", "left").select("qid", filled(PROMPT, F.col("question"), listed).alias("prompt"))
 
 
 def parse_response(answer: Column, strict: bool = True) -> Column:

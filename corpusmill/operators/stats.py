@@ -22,8 +22,8 @@ def prefix_histogram(df: DataFrame, title: str = "title", top: int = 25) -> Data
 
 
 def invert_page_ids(views: DataFrame) -> DataFrame:
-    """For each page id its (wiki_code, article_title, views)."""
-    rows = views.select(F.explode("page_ids").alias("page_id"), "wiki_code", "article_title", "views")
+    """For each page id its (wiki_code, article_title, views). The word null, which stands for all unknown ids, is none."""
+    rows = views.select(F.explode("page_ids").alias("page_id"), "wiki_code", "article_title", "views").where("page_id <> 'null'")
     return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("wiki_code", "article_title", "views"))).alias("titles"))
 
 

@@ -115,11 +115,26 @@ def test_scalable_ranks_are_not_gathered(spark):
 
 
 def test_filter_defaults_keep_all(spark):
-    df = spark.createDataFrame([("a", None, 1, 2, 3, 4)], "title string, views long, word_count int, template_count int, outlink_count int, category_count int")
+    df = spark.createDataFrame([("a", "a", None, 1, 2, 3, 4)], "title string, title_match string, views long, word_count int, template_count int, outlink_count int, category_count int")
     kept, gone = filters.filter_articles(df, filters.FilterOptions())
     assert kept.count() == 1 and gone.count() == 0
 
 
+def test_titles_of_one_key_are_not_discarded_beside_a_kept_one(spark):
+    rows = [("Ab", "ab", 9, 1), ("AB", "ab", 0, 1), ("a_c", "a c", 0, 1), ("d", "d", 9, 1)]
+    df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "title string, title_match string, views long, word_count int, template_count int, outlink_count int, category_count int")
+    kept, gone = filters.filter_articles(df, filters.FilterOptions(min_views=5, min_word_count=2, keep_category_count=1))
+    assert sorted(r.title for r in kept.collect()) == ["Ab", "d"] and [r.title_match for r in gone.collect()] == ["a c"]
+
+
+def test_vectors_of_zeros(spark):
+    v = spark.createDataFrame([("1", [0.0, 0.0]), ("2", [3.0, 4.0])], "id string, values array<float>")
+    assert [(r.id, r.score) for r in vectors.search_one([0.0, 1.0], v, 2).collect()] == [("2", 0.8), ("1", 0.0)]
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 2.0])], "qid int, vector array<float>")
+    got = {(r.qid, r.id): round(r.score, 6) for r in vectors.search(q, v, 2).collect()}
+    assert got == {(1, "1"): 0.0, (1, "2"): 0.0, (2, "2"): 0.8, (2, "1"): 0.0}
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f")], "src string, dst string")
     comp = {}
