@@ -12,11 +12,12 @@ is the one with the least (id, text hash, place); all units that a later occurre
 space behind them. Of a repeated passage some words at its begin and end may stay: where units differ, or fewer than a unit
 behind its last span.
 
-Each task compares the spans of what it has read first, so that a passage in a third of all documents is sent once per task and not
-once per document.
+Each task compares the spans of what it has read first, a window at a time, and remembers those that repeat (`REMEMBERED` at most), so that a
+passage in a third of all documents is sent to its place about once per task, and not once per document or window.
 
 Null texts are empty and nothing is removed from them. Rows without an id come after all others. Repeated rows (same id and text) count as
-one document. Input columns stay; those named like an output column (n_removed, removed_chars) are replaced.
+one document. Very long texts are handled whole. An empty table gives an empty result. Input columns stay, whatever their names; those named
+like an output column (n_removed, removed_chars) are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows
+from .common import release, tidy, windows
 
 _LAST = (1 << 63) - 1
 _SPACE = np.array([chr(i).isspace() for i in range(0x3002)])
 _POWERS = np.power(np.uint64(0x9E3779B97F4A7C15), np.arange(64, dtype=np.uint64))
+#: Repeated spans that a task remembers.
+REMEMBERED = 100_000
 #: Words of so many letters are the last to end a unit: they are frequent.
 _SHORT = 4
 
@@ -125,9 +128,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, span_words: int = 20, long_words: int = 7) -> DataFrame:
     """docs with the repeated spans removed from the text, n_removed (units) and removed_chars."""
-    keyed = docs.drop("n_removed", "removed_chars").withColumns({"_key1": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "_key2": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
+    # the input's columns travel in one, so that their names do not matter
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key1"), F.xxhash64(text).alias("key2"))
 
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}  # the least place so far of spans that repeat
+        heads = np.empty(0, np.int64)
         for batch in windows(batches, size=6 << 20):
             made = []
             for key1, key2, text in zip(*(batch.column(c).to_pylist() for c in ("key1", "key2", "text")), strict=True):
@@ -139,19 +148,32 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             later, again = np.empty(len(order), bool), np.empty(len(order), bool)
             later[order] = same[0] & same[1]
             again[order] = np.logical_and.reduce(same)
+            least = order[~later[order] & np.append(later[order][1:], False)]  # of those that repeat in this window
+            if len(heads):
+                at = np.minimum(np.searchsorted(heads, cols[0]), len(heads) - 1)
+                for i in np.flatnonzero((heads[at] == cols[0]) & ~later).tolist():
+                    high, low, *own = (int(c[i]) for c in cols)
+                    if (high, low) in known:
+                        later[i] = tuple(own) > known[high, low]
+                        known[high, low] = min(known[high, low], tuple(own))
+            if len(known) > REMEMBERED:
+                known.clear()
+            for high, low, *own in zip(*(c[least].tolist() for c in cols), strict=True):
+                known.setdefault((high, low), tuple(own))
+            heads = np.sort(np.fromiter((high for high, _ in known), np.int64, len(known)))
             cols = [c[~again] for c in (*cols, later)]
             for at in range(0, len(cols[0]), 100_000):
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000], k) for c, k in zip(cols, kinds, strict=True)], ["high", "low", "key1", "key2", "first", "later"])
 
-    source = keyed.select(F.col("_key1").alias("key1"), F.col("_key2").alias("key2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = keyed.select("key1", "key2", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"))
     found = source.mapInArrow(spread, "high long, low long, key1 long, key2 long, first int, later boolean")
     dealt = found.repartition(F.when(F.col("later"), F.xxhash64("key1", "key2", "first")).otherwise(F.xxhash64("high", "low")))
     # rows known as later are told apart from others of their hash, which they would make look repeated
     dealt = dealt.withColumns({"high": F.when(F.col("later"), F.lit(0)).otherwise(F.col("high")), "low": F.when(F.col("later"), F.lit(0)).otherwise(F.col("low"))})
     later = dealt.sortWithinPartitions("high", "low", "key1", "key2", "first").mapInArrow(_later, "key1 long, key2 long, first int")
-    cover = later.groupBy("key1", "key2").agg(F.collect_list("first").alias("_cover"))
-    joined = keyed.join(cover, (F.col("_key1") == F.col("key1")) & (F.col("_key2") == F.col("key2")), "left").drop("key1", "key2", "_key1", "_key2")
+    cover = later.groupBy("key1", "key2").agg(F.collect_list("first").alias("cover"))
+    joined = keyed.join(cover, ["key1", "key2"], "left")
 
     @F.arrow_udf("struct<text:string,n_removed:int,removed_chars:long>")
     def strip(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -174,6 +196,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append(text[at:])
                 out.append({"text": "".join(kept), "n_removed": len(gone), "removed_chars": lost})
             yield pa.array(out, pa.struct([("text", pa.string()), ("n_removed", pa.int32()), ("removed_chars", pa.int64())]))
+            del out
+            release()
 
-    done = joined.withColumn("_done", strip(F.col(text_col), F.col("_cover")))
-    return done.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_removed", "removed_chars")], "_done.n_removed", "_done.removed_chars")
+    done = joined.select("row", strip(F.col("row")[text_col], F.col("cover")).alias("done"))
+    return done.select(*[F.col("done.text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept], "done.n_removed", "done.removed_chars")
