@@ -3,19 +3,21 @@
 A text is cut into pre-tokens at every single ASCII space or newline that follows a non-space and precedes one. No
 token of the byte-level tokenizer spans such a place, and what follows does not depend on what precedes it, so the
 counts of the parts add up to the count of the text. Texts with other white space runs are cut where a run of
-ASCII white space begins; texts with special strings or rarer white space are one pre-token each.
+ASCII white space begins; texts with special strings or rarer white space only at single spaces and newlines between
+printing ASCII characters, which neither touches (special strings with white space: not at all).
 
 The join is skew-safe: the most frequent pre-tokens (every one that makes up at least `heavy_share` of some task's
 text, at most `heavy_terms` in number and `heavy_bytes` long, so of bounded size) are counted first and broadcast;
 all the others meet their documents' frequencies in a shuffle by pre-token, where each distinct one is counted once.
 No ids are kept.
 
-Null texts are empty and count 0 tokens. Repeated rows give a row each, null ids stay null. Only the id and text
-columns are read.
+Null texts are empty and count 0 tokens. Repeated rows give a row each, null ids stay null. Very long texts are cut
+like all others. An empty table gives an empty result. Only the id and text columns are read, so other columns do not matter.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, unique_ids, windows
+from .common import text_bytes, tidy, unique_ids, windows
 
 #: White space that is not ASCII, or that libraries disagree on.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_SURE = re.compile(rb"(?<=[!-~])(?=[ \n][!-~])")
 _RUNS = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 _TOKENIZERS: dict[str, object] = {}
 
@@ -55,7 +58,7 @@ def pre_tokens(text: bytes, special: re.Pattern[bytes]) -> list[bytes]:
     if not text:
         return []
     if special.search(text) or (not text.isascii() and _ODD_SPACE.search(text.decode())) or (text.isascii() and re.search(rb"[\x1c-\x1f]", text)):
-        return [text]
+        return [text] if re.search(rb"\s", special.pattern.replace(b"(?!)", b"")) else _SURE.split(text)
     spaces = text.translate(_AS_SPACE)
     if b"  " in spaces or spaces[-1:] == b" " or b"\xff" in text:
         return _RUNS.findall(text)
@@ -66,29 +69,38 @@ def pre_tokens(text: bytes, special: re.Pattern[bytes]) -> list[bytes]:
 _AS_SPACE = bytes(32 if 9 <= i <= 13 else i for i in range(256))
 
 
+def added_tokens(path: str) -> list[str]:
+    """The strings that a .json file's tokenizer treats as tokens of their own."""
+    if not path.endswith(".json"):
+        return []
+    with open(path, encoding="utf-8") as f:
+        return [t["content"] for t in json.load(f)["added_tokens"]]
+
+
 def _special(strings: list[str]) -> re.Pattern[bytes]:
     return re.compile(b"|".join(re.escape(s.encode()) for s in strings) or rb"(?!)")
 
 
 def token_counts(
-    docs: DataFrame, tokenizer_path: str, special: list[str], id_col: str = "doc_id", text_col: str = "text", limit: int = 512, heavy_share: float = 2e-6, heavy_terms: int = 150_000, heavy_bytes: int = 64
+    docs: DataFrame, tokenizer_path: str, special: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, heavy_share: float = 2e-6, heavy_terms: int = 150_000, heavy_bytes: int = 64
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
+    """One row for each row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). special: by default the file's added tokens."""
     spark = docs.sparkSession
-    texts = text_bytes(docs.withColumnRenamed(id_col, "doc_id"), text_col, F.col("doc_id").cast("long"))
-    pattern = _special(special).pattern
+    texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    pattern = _special(added_tokens(tokenizer_path) if special is None else special).pattern
 
+    @tidy
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark, held, total = re.compile(pattern), Counter(), 0
+        mark, held, total, rounds = re.compile(pattern), Counter(), 0, 0
         for batch in windows(batches):
             for text in batch.column("text").to_pylist():
-                held.update(pre_tokens(text, mark))
-            if len(held) > 1_500_000:  # what is rare so far can't be frequent enough here unless it comes again
-                seen = held.total()
-                total += seen
-                held = Counter({k: n for k, n in held.items() if n > 1})
-        total = max(total, held.total())
-        rows = [(k, n) for k, n in held.items() if n >= max(2, heavy_share * total) and len(k) <= heavy_bytes]
+                units = pre_tokens(text, mark)
+                total += len(units)
+                held.update(units)
+            while len(held) > 1_500_000:  # lossy counting: a count is too low by the number of rounds at most
+                rounds += 1
+                held = Counter({k: n - 1 for k, n in held.items() if n > 1})
+        rows = [(k, n + rounds) for k, n in held.items() if n + rounds >= max(2, heavy_share * total) and len(k) <= heavy_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["unit", "n"])
 
     heavy = texts.mapInArrow(frequent, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(heavy_terms).select("unit")
@@ -96,6 +108,7 @@ def token_counts(
     counts = dict(zip(units, map(len, tokenizer(tokenizer_path)([u.decode() for u in units])), strict=True))
     known = spark.sparkContext.broadcast(counts)
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row one line with the pieces of its frequent pre-tokens, and one for each other pre-token."""
         mark, of, ids = re.compile(pattern), known.value, unique_ids()
