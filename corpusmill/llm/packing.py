@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prefix_sum, text_bytes, unique_ids, windows
-from .token_counts import tokenizer
+from .common import materialize, prefix_sum, release, text_bytes, tidy, unique_ids, windows, word_codes
 
 #: Ids of one document in one sequence of full length begin here in the numbering of sequences.
 FULL = 1 << 40
@@ -38,104 +37,105 @@ def id_kind(size: int) -> np.dtype:
 
 
 class WordEncoder:
-    """Texts to their ids, as little-endian bytes of `kind`, for tokenizers that drop white space.
+    """Texts to their ids, as numbers of `kind`, for tokenizers that drop white space.
 
-    The ids of a text are those of its white-space separated chunks, which are looked up. A new chunk of Latin letters and ASCII marks behind them is
-    letters and marks to the tokenizer too, in lower case and each on its own; both are looked up, and new ones are
-    encoded by the tokenizer's model, many in one call, where it marks the ends of words. All other new chunks go through the whole tokenizer.
+    The ids of a text are those of its white-space separated chunks, and a window's distinct chunks are looked at once each. A chunk of Latin
+    letters and ASCII marks behind them is letters and marks to the tokenizer too, in lower case and each on its own; both are looked up, and new ones
+    are encoded by the tokenizer's model, many in one call, where it marks the ends of words. All other new chunks go through the whole tokenizer.
     """
 
-    #: ASCII marks but the apostrophe, which can begin a suffix.
-    _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
-    _SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+    #: Lines of Latin letters and ASCII marks, but for the apostrophe, which can begin a suffix; other lines give two empty groups.
+    _SIMPLE = re.compile(rb"(?m)^(?:((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*+)|[^\n]*+)$")
 
-    def __init__(self, path: str, keep: int = 120_000):
+    def __init__(self, path: str, keep: int = 150_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        # of each, those met lately and those met before; what is met again stays
-        self.keep, self.chunks, self.words, self.encode = keep, {}, {}, tokenizer(path)
-        self.old_chunks, self.old_words = {}, {}
-        whole = Tokenizer.from_file(path)
-        self.end, self.kind = None, id_kind(whole.get_vocab_size(with_added_tokens=True))
-        suffix = getattr(whole.model, "end_of_word_suffix", None)
+        self.keep, self.whole = keep, Tokenizer.from_file(path)
+        self.forget()
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.end, self.kind = None, id_kind(self.whole.get_vocab_size(with_added_tokens=True))
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
         if suffix:
-            self.model = Tokenizer(whole.model)
+            self.model = Tokenizer(self.whole.model)
             self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.end = np.zeros(whole.get_vocab_size(with_added_tokens=True), bool)
-            self.end[[i for t, i in whole.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+            self.end = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)
+            self.end[[i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
             same = [*range(33, 127), *range(161, 173), *range(174, 256)]
             self.shown = {b: b for b in same} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in same)}
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Look up or encode chunks."""
-        parts, others, unknown = [], [], {}
-        words, old = self.words, self.old_words
-        for w in new:
-            letters = w.rstrip(self._MARKS)
-            if self.end is not None and letters.isalpha():
-                letters, marks = letters.lower(), w[len(letters) :]
-            elif self.end is not None and (m := self._SIMPLE.fullmatch(w)):
-                letters, marks = m.groups()
-                letters = letters.decode().lower().encode()
-            else:
-                others.append(w)
-                continue
-            parts.append((w, letters, marks))
-            for x in (letters, marks) if marks else (letters,):
-                if x not in words:
-                    if x in old:
-                        words[x] = old[x]
-                    else:
-                        unknown[x] = None
-        listed = list(unknown)
-        for at in range(0, len(listed), 20_000):
-            some = listed[at : at + 20_000]
-            shown = [x.decode("latin-1").translate(self.shown) for x in some]
+    def forget(self) -> None:
+        self.known = {b"": b""}
+
+    def _model_ids(self, words: list[bytes]) -> list[bytes] | None:
+        """The ids of words of letters and of marks; None where the vocabulary does not mark each end."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            shown = [x.decode() if x.isascii() else x.decode("latin-1").translate(self.shown) for x in some]
             ids = np.concatenate([np.array(e.ids, self.kind) for e in self.model.encode_batch_fast([" ".join(shown[i : i + 1000]) for i in range(0, len(shown), 1000)], add_special_tokens=False)])
-            ends = np.flatnonzero(self.end[ids]) + 1
-            if len(ends) != len(some):  # a vocabulary without some end: chunk by chunk then
-                others += [w for w, a, b in parts if a in unknown or b in unknown]
-                parts = [p for p in parts if p[1] not in unknown and p[2] not in unknown]
-                break
-            raw, at0 = ids.tobytes(), 0
-            for x, e in zip(some, (ends * self.kind.itemsize).tolist(), strict=True):
-                self.words[x] = raw[at0:e]
-                at0 = e
-        for w, letters, marks in parts:
-            self.chunks[w] = self.words[letters] + self.words[marks] if marks else self.words[letters]
-        for at in range(0, len(others), 20_000):
-            some = others[at : at + 20_000]
-            self.chunks.update(zip(some, (np.array(x, self.kind).tobytes() for x in self.encode([w.decode() for w in some])), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.chunks) > self.keep:
-            self.chunks, self.old_chunks = {}, self.chunks
-        if len(self.words) > self.keep:
-            self.words, self.old_words = {}, self.words
-        known, old = self.chunks, self.old_chunks
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(known)
-        again = new.intersection(old) if old else ()
-        for w in again:
-            known[w] = old[w]
-        new.difference_update(again)
-        if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+            ends = (np.flatnonzero(self.end[ids]) + 1) * self.kind.itemsize
+            if len(ends) != len(some):
+                return None
+            raw, stops = ids.tobytes(), ends.tolist()
+            out += [raw[a:z] for a, z in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def _whole_ids(self, chunks: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(chunks), 20_000):
+            out += [np.array(x.ids, self.kind).tobytes() for x in self.whole.encode_batch_fast([w.decode() for w in chunks[at : at + 20_000]], add_special_tokens=False)]
+        return out
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        known, lowered, marks, found = self.known, [], [], None
+        if self.end is not None and chunks:
+            letters, marks = zip(*self._SIMPLE.findall(b"\n".join(chunks)), strict=True)
+            lowered = b"\n".join(letters).decode().lower().encode().split(b"\n")
+            new = list(set(lowered).union(marks).difference(known))
+            found = self._model_ids(new)
+        if found is None:
+            out, others = [b""] * len(chunks), range(len(chunks))
+        else:
+            known.update(zip(new, found, strict=True))
+            out = list(map(bytes.__add__, map(known.__getitem__, lowered), map(known.__getitem__, marks)))
+            others = [i for i, x in enumerate(letters) if not x]
+        # chunks that are no simple word are kept too, told apart by what no chunk holds
+        own = [b" " + chunks[i] for i in others]
+        new = [w for w in own if w not in known]
+        known.update(zip(new, self._whole_ids([w[1:] for w in new]), strict=True))
+        for i, w in zip(others, own, strict=True):
+            out[i] = known[w]
+        if len(known) > self.keep:  # what this window has stays
+            self.known = {w: known[w] for w in {b"", *lowered, *marks, *own} if w in known}
+        return out
+
+    def __call__(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and end_id, as little-endian bytes."""
+        bounds, codes, distinct = word_codes(texts)
+        ids = pa.array([*self._ids(distinct), np.array([end_id], self.kind).tobytes()], pa.binary())
+        found = ids.take(pa.array(np.insert(codes, bounds[1:], len(distinct))))
+        offsets = np.frombuffer(found.buffers()[1], np.int32)[np.concatenate([[0], bounds[1:] + np.arange(len(texts)) + 1])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), found.buffers()[2]])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of a worker, kept between its tasks."""
+    """The encoder of a worker: its tokenizer is kept between tasks, its words (at most `keep` and a window's) are not."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
 def solve_patterns(counts: np.ndarray, tolerance: float = 1e-4, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """counts[c]: rests of c + 1 units; capacity len(counts) units. Patterns with how often each is used; they hold all rests."""
+    """counts[c]: rests of c + 1 units; capacity len(counts) units. Patterns with how often each is used; they hold all rests.
+
+    Should `rounds` columns not bring the program within `tolerance` of its best, the columns so far are rounded: all rests
+    are still held, in somewhat more sequences.
+    """
     capacity = len(counts)
     classes = np.flatnonzero(counts)
     if not len(classes):
@@ -213,16 +213,20 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     from tokenizers import Tokenizer
 
     kind = id_kind(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True))
-    end, width = np.array([end_id], kind).tobytes(), kind.itemsize
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, uid = word_encoder(tokenizer_path), unique_ids()
-        for batch in windows(batches, size=4 << 20):
-            found = [x + end for x in of(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([next(uid) for _ in found], pa.int64()), batch.column("doc_id"), pa.array([len(x) // width for x in found], pa.int64()), pa.array(found, pa.binary())], ["uid", "doc_id", "n", "ids"])
+        for batch in windows(batches, size=6 << 20):
+            found = of(batch.column("text"), end_id)
+            n = np.diff(np.frombuffer(found.buffers()[1], np.int32)) // kind.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([next(uid) for _ in range(len(found))], pa.int64()), batch.column("doc_id"), pa.array(n.astype(np.int64)), found], ["uid", "doc_id", "n", "ids"])
+            release()
+        of.forget()
 
     texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
     tokens = materialize(texts.mapInArrow(encode, "uid long, doc_id long, n long, ids binary"), "tokens")
+    n_rows = tokens.count()
     plan = tokens.select("uid", "n", (F.col("n") % size).alias("rest"), F.floor(F.col("n") / size).alias("full"))
     plan = plan.withColumns({"class": F.ceil(F.col("rest") / unit).cast("int"), "draw": F.pmod(F.xxhash64("uid", F.lit(10)), F.lit(10_000))})
 
@@ -261,16 +265,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
                 out[rows] = base[i] + (rank[rows] - starts[i]) // each[i]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("start"), batch.column("rest"), pa.array(out, pa.int64())], ["uid", "start", "length", "sequence_id"])
 
-    packed = prefix_sum(rests.where(F.col("draw") >= share).withColumn("one", F.lit(1)), "one", "rank", ["class"], "uid")
+    packed = prefix_sum(rests.where(F.col("draw") >= share).withColumn("one", F.lit(1)), "one", "rank", ["class"], "uid", n_rows)
     packed = packed.select("uid", (F.col("full") * size).alias("start"), F.col("rest").cast("long"), "class", F.col("rank").cast("long")).mapInArrow(place, "uid long, start long, length long, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy("uid")
     packed = packed.withColumn("offset", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     packed = materialize(packed, "packed")
 
     # the held-back documents as one stream of ids, and the room of all sequences as one stream of places
-    stream = prefix_sum(rests.where(F.col("draw") < share).select("uid", (F.col("full") * size).alias("start"), F.col("rest").cast("long").alias("length")), "length", "from", [], "uid")
+    stream = prefix_sum(rests.where(F.col("draw") < share).select("uid", (F.col("full") * size).alias("start"), F.col("rest").cast("long").alias("length")), "length", "from", [], "uid", n_rows)
     rooms = packed.groupBy("sequence_id").agg(F.sum("length").alias("offset")).where(F.col("offset") < size).withColumn("room", size - F.col("offset"))
-    rooms = materialize(prefix_sum(rooms, "room", "from", [], "sequence_id"), "rooms")
+    rooms = materialize(prefix_sum(rooms, "room", "from", [], "sequence_id", n_rows), "rooms")
     poured = rests.where(F.col("draw") < share).agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]
     total = rooms.agg(F.coalesce(F.sum("room"), F.lit(0))).first()[0]
     over = max(0, poured - total)
@@ -288,14 +292,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_i
     cut = a.join(b, "stretch").where((low < high) & (F.floor(low / size) == F.col("stretch")))
     cut = cut.select("uid", (F.col("start") + low - F.col("doc_from")).alias("start"), (high - low).alias("length"), "sequence_id", (F.col("offset") + low - F.col("room_from")).alias("offset"))
 
-    whole = prefix_sum(plan.where("full > 0").select("uid", "full"), "full", "before", [], "uid")
+    whole = prefix_sum(plan.where("full > 0").select("uid", "full"), "full", "before", [], "uid", n_rows)
     whole = whole.select("uid", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("k", "i"), "before")
     whole = whole.select("uid", (F.col("i") * size).alias("start"), F.lit(size).cast("long").alias("length"), (F.col("before") + F.col("i") + FULL).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = packed.select("uid", "start", "length", "sequence_id", F.col("offset").cast("long")).unionByName(cut).unionByName(whole)
     pieces = pieces.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in windows(batches, "ids"):
+        for batch in windows(batches, "ids", 8 << 20):
             rows = []
             for doc_id, n, ids, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces")), strict=True):
                 view = memoryview(np.frombuffer(ids, kind).astype("<u4")).cast("B")
