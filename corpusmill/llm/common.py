@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one Python step holds at once.
-WINDOW_BYTES = 24 << 20
+WINDOW_BYTES = 8 << 20
 #: Keys that are broadcast because they are frequent are at most so many, by the choice of what counts as frequent.
 HOT_KEYS = 100_000
 
@@ -58,6 +59,14 @@ def discard(made: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) -> None:
+    """Let Spark send batches of at most about `size` bytes and `rows` rows to Python; a session with lower bounds keeps them."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = int(re.sub(r"\D", "", spark.conf.get(key)))
+        if not 0 < now <= most:  # 0: no bound
+            spark.conf.set(key, str(most))
+
+
 def text_bytes(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 in column `text` (null: empty)."""
     return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))

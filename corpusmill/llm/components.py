@@ -37,13 +37,15 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield forest(batch.column("a").to_numpy(), batch.column("b").to_numpy())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node that has a link. links: columns a and b.
+def connected_components(links: DataFrame, contracted: bool = False) -> DataFrame:
+    """(node, label) of every node that has a link. links: columns a and b; contracted: each task's are a forest with a > b already.
 
     Links are contracted to a forest in each task first. In the rounds, a node with many links gets the least of its neighbours by a
     broadcast of such nodes, whose number is bounded, so its links stay spread over the tasks.
     """
-    edges = materialize(links.where("a <> b").select("a", "b").mapInArrow(_forests, "a long, b long").distinct(), "edges")
+    if not contracted:
+        links = links.where("a <> b").select("a", "b").mapInArrow(_forests, "a long, b long")
+    edges = materialize(links.distinct(), "edges")
     n, before = edges.count(), None
     while n:
         # large star: neighbours above a node are hung on the least of its neighbours and itself

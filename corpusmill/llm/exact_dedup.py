@@ -12,7 +12,7 @@ their salt group.
 
 Of equal texts the row with the most code points in the original stays, then the smallest id (a null id comes
 last), then one of the repeated rows. Null and empty texts are equal to each other. Every input row gives one
-output row; an empty table gives none. Only the id and text columns are read, so other columns do not matter.
+output row; an empty table gives none. Very long texts are compared whole. Only the id and text columns are read, so other columns do not matter.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, text_bytes, unique_ids, windows
+from .common import ASCII_SPACE, materialize, text_bytes, tidy, unique_ids, windows
 
 _LOCAL = pa.schema([("gid", pa.int64()), ("best_id", pa.int64()), ("n_chars", pa.int64()), ("size", pa.int64()), ("members", pa.list_(pa.int64())), ("best_pos", pa.int32()), ("sha", pa.string()), ("content", pa.binary())])
 _SALTED = pa.schema([("gid", pa.int64()), ("members", pa.list_(pa.int64())), ("best_pos", pa.int32()), ("class2", pa.int64()), ("win_gid", pa.int64()), ("best_id", pa.int64()), ("n_chars", pa.int64()), ("size", pa.int64()), ("sha", pa.string()), ("content", pa.binary())])
@@ -48,6 +48,7 @@ def _better(a: tuple, b: tuple) -> bool:
     return (-a[0], a[1] is None, a[1] or 0) < (-b[0], b[1] is None, b[1] or 0)
 
 
+@tidy
 def _combine_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, press = unique_ids(), zstandard.ZstdCompressor(level=1)
     for batch in windows(batches):
@@ -84,6 +85,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+@tidy
 def _combine_salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each local group at once with the id of its class (its first local group); each class's winner at the end of its digest."""
 
@@ -108,6 +110,7 @@ def _combine_salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     return _batches(rows(), _SALTED)
 
 
+@tidy
 def _combine_global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
         classes: dict[bytes, list] = {}
@@ -133,7 +136,7 @@ def _combine_global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    local = text_bytes(docs.withColumnRenamed(id_col, "doc_id"), text_col, F.col("doc_id").cast("long")).mapInArrow(_combine_local, _DDL["local"])
+    local = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id")).mapInArrow(_combine_local, _DDL["local"])
     salted = local.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(salts))).repartition("sha", "salt").sortWithinPartitions("sha").drop("salt")
     salted = materialize(salted.mapInArrow(_combine_salted, _DDL["salted"]), "dedup")
     winners = salted.where("gid is null").select("class2", "win_gid", "best_id", "n_chars", "size", "sha", "content")

@@ -349,7 +349,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, a long, b long")
     signed = signed.repartition(F.coalesce(F.col("sig"), F.xxhash64("a", "b"))).sortWithinPartitions("sig", "a")
-    clusters = connected_components(signed.mapInArrow(_stars, "a long, b long"))
+    clusters = connected_components(signed.mapInArrow(_stars, "a long, b long"), contracted=True)
     clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label").distinct())
     named = materialize(clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster")).distinct(), "named")
 

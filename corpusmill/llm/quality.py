@@ -11,7 +11,7 @@ Everything is scored.
 
 Null and empty texts have no feature but the bias, and get the bias's score. Rows whose label is null are
 not trained on; several labels of one id count as their smallest. Without any labelled row every score is 0.5.
-Repeated rows are scored alike; an empty table gives an empty result; only the named columns are read.
+Very long texts are read whole. Repeated rows are scored alike; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

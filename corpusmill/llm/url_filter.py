@@ -5,7 +5,7 @@ the url's path starts with the rule's path. The longest fitting rule (characters
 decides; of equally long ones, `block` does. A url that no rule fits gets `default`.
 
 Null urls and urls without `://` have an empty host and path, so no rule fits them. Repeated rows are judged
-alike, an empty table gives an empty result, and any other columns of the input pass through unless they
+alike, very long urls are read whole, an empty table gives an empty result, and any other columns of the input pass through unless they
 bear the name of an output column, which then replaces them.
 """
 
