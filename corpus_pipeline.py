@@ -5,6 +5,10 @@ again as the next one's docs. All stages but the last return the columns of docu
 
 Rows are told apart by doc_id, which documents holds once each; of rows that repeat an id with another text, each is
 judged by its own text in the first two stages and the Jaccard join keeps those of one kept id.
+
+Null and empty texts: the source decides on their language, one of them stays in exact dedup, and it is packed as the end id alone. A null id
+is no reason to go; its row links with nothing. Very long texts are handled whole in each stage. Ties go to the smallest doc_id. Extra
+columns of documents are not carried: each stage but the last returns the columns of documents. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup as exact
 from corpusmill.llm import jaccard_join, language, packing, substring_dedup
-from corpusmill.llm.common import materialize
+from corpusmill.llm.common import bound_batches, materialize
 from corpusmill.llm.queries import LANGUAGES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +37,17 @@ def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in no language go."""
+    bound_batches(spark)
     model = language.fit_trigrams(docs, LANGUAGES)
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    judged = language.identify(keyed.select("_key", "text", "source"), model, LANGUAGES, "text", host=F.col("source"))
-    return _without(keyed, judged.where("language = 'und'").select("_key"), ["_key"]).select(*COLUMNS)
+    # a row by 128 bits of its id and text
+    keyed = docs.withColumns({"_key1": F.xxhash64("doc_id", "text"), "_key2": F.xxhash64("text", "doc_id", F.lit(1))})
+    judged = language.identify(keyed.select("_key1", "_key2", "text", "source"), model, LANGUAGES, "text", host=F.col("source"))
+    return _without(keyed, judged.where("language = 'und'").select("_key1", "_key2"), ["_key1", "_key2"]).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays. Rows that repeat both id and text are one row first, the longest; rows without an id stay."""
+    bound_batches(spark)
     found = materialize(exact.exact_dedup(docs), "dedup-found")
     keys = ["doc_id", "text_sha256"]
     docs = docs.withColumn("text_sha256", F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\r\x0b\x0c", "").cast("binary"), 256))
@@ -53,18 +60,21 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity of 0.8 or more) the document with the smallest id stays."""
+    bound_batches(spark)
     found = jaccard_join.jaccard_components(docs, words=5, percent=80)
     return _without(docs, found.where("doc_id <> component_id").select("doc_id"), ["doc_id"]).select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of sentences go from all documents but the first; documents of which nothing is left go."""
+    bound_batches(spark)
     done = substring_dedup.substring_dedup(docs).where("n_removed = 0 or trim(text) <> ''")
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
