@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup, imatch, jaccard_join, language, packing, piece_sampling, quality, queries, substring_dedup, token_counts, url_filter
@@ -276,6 +278,18 @@ def test_token_counts_equal_the_library(spark, odd):
 # piece sampling
 
 
+def test_pre_tokens_of_odd_texts_add_up():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.added_tokens(path) == ["<|endoftext|>"]
+    encode, mark, rng = token_counts.tokenizer(path), token_counts._special(token_counts.added_tokens(path)), random.Random(6)
+    parts = ["a", "B1", "'s", " ", " ", "\n", "  ", "\u00a0", "\u200b", "\u3000", "\x1c", "\x85", "<|endoftext|>", "é", "日", ".", "!?", "\t"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    for text, ids in zip(texts, encode(texts), strict=True):
+        units = token_counts.pre_tokens(text.encode(), mark)
+        assert b"".join(units) == text.encode()
+        assert sum(map(len, encode([u.decode() for u in units]))) == len(ids), text
+
+
 def test_sampled_pieces_decode_to_the_text(spark, odd):
     import sentencepiece
 
@@ -438,19 +452,57 @@ def test_imatch_lexicon_holds_the_whole_band(spark):
     assert len({r.fingerprint for r in got.values()}) == 500
 
 
-def test_imatch_compares_like_with_like(spark):
-    """Texts with 8 and 9 terms in the lexicon, and texts with none."""
-    listed, rare = [f"t{i}" for i in range(20)], [f"rare{i}" for i in range(40)]
-    texts = [listed[:8] + rare, listed[:9] + rare, listed[:8] + rare[:-1], rare, rare[:-1], ["z" + t for t in rare], [], listed]
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = imatch._with_parts(df, "text", listed, "parts", 8)
-    pairs = rows.alias("x").crossJoin(rows.alias("y")).select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), imatch.likeness(F.col("x.parts"), F.col("y.parts")).alias("like"))
-    like = {(r.i, r.j): r.like for r in pairs.collect()}
-    assert all(like[i, i] == 1 for i in range(len(texts)))
-    assert like[0, 1] > 0.5 and like[0, 2] > 0.5 and like[3, 4] > 0.5
-    assert like[3, 5] == like[3, 6] == like[3, 7] == like[6, 7] == 0
-    n = {r.doc_id: r for r in rows.select("doc_id", F.size("parts").alias("n"), F.size(F.filter("parts", lambda p: p.isNotNull())).alias("k")).collect()}
-    assert n[0].n == 2 * n[1].n and n[6].k == 0
+def spark_hash(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed=seed)
+
+
+def brute_parts(text, listed):
+    """Hashes of a text's terms in the lexicon, by the definition."""
+    found = sorted(set(re.findall(r"[^\W_]+", text.lower())) & listed)
+    if not found:
+        return []
+    hashes = [spark_hash(t.encode()) for t in found]
+
+    def whole(values):
+        h = 42
+        for v in values:
+            h = spark_hash(v.to_bytes(8, "little"), h)
+        return h
+
+    out = [whole(hashes)]
+    for j in range(imatch.HASHES):
+        drawn = [spark_hash(j.to_bytes(4, "little"), spark_hash(h.to_bytes(8, "little"))) for h in hashes]
+        for k in range(4):
+            number = [d >> 16 * k & 0xFFFF for d in drawn]
+            rate = 1 << min(number).bit_length()
+            out.append(whole([d for d, n in zip(drawn, number, strict=True) if n < rate]))
+    return out
+
+
+def test_imatch_equals_brute_force(spark):
+    rng = random.Random(11)
+    texts = [words(rng, rng.choice([1, 2, 5, 30, 200, 900]), rng.choice([20, 300])) for _ in range(60)] + ["", "only-once here", "É_x W3 w3"]
+    ids = rng.sample(range(10**6), len(texts))
+    band = (0.02, 0.4)
+    rows = sorted(zip(ids, texts, strict=True))
+    tokens = [set(re.findall(r"[^\W_]+", t.lower())) for _, t in rows]
+    df = Counter(t for s in tokens for t in s)
+    listed = {t for t, n in df.items() if max(2, band[0] * len(rows)) <= n <= band[1] * len(rows)}
+    got = {r.doc_id: r for r in imatch.fingerprints(table(spark, rows).repartition(3), band=band).collect()}
+    name = lambda parts: "-".join(f"{h:X}" for h in parts) or "empty"
+    like = lambda a, b: 1.0 if a == b else sum(x == y for x, y in zip(a, b, strict=False)) / (imatch.DRAWS + 1)
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        own, other, then = brute_parts(t, listed), brute_parts(edited, listed), brute_parts(nxt, listed)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (name(own), name(other))
+        assert abs(got[i].near_edited - like(own, other)) < 1e-9 and abs(got[i].near_next - like(own, then)) < 1e-9
+
+
+def test_imatch_buckets_are_even_whatever_the_ids(spark):
+    df = spark.createDataFrame([*((i, f"t{i}") for i in range(5000)), (4 * 10**18, "far")], "doc_id long, text string")
+    placed = imatch.with_next(df, 5001, rows_a_bucket=250).where("ghost = 0").groupBy("bucket").count().collect()
+    assert len(placed) >= 15 and max(r["count"] for r in placed) < 700
 
 
 def test_imatch_neighbours_across_buckets(spark):
@@ -474,6 +526,26 @@ def test_imatch_neighbours_across_buckets(spark):
 # URL filters
 
 
+def test_names_of_the_operators_own_columns_pass_through(spark):
+    names = ["key1", "key2", "_cover", "cover", "row", "done", "_host", "logs", "soft", "host", "domain", "found"]
+    rows = spark.createDataFrame([(1, "one two three", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = substring_dedup.substring_dedup(rows).first()
+    assert [got[n] for n in names] == list(range(len(names))) and got.text == "one two three"
+    flat = np.zeros((3, language.BUCKETS)) - 11.0
+    got = language.identify(rows, flat, ["de", "en"], "text").first()
+    assert [got[n] for n in names] == list(range(len(names))) and got.doc_id == 1
+    none = language.identify(rows.limit(0), flat, ["de", "en"], "text", host=F.lit("a.de"))
+    assert none.collect() == []
+
+
+def test_long_texts_are_judged_as_the_sum_of_their_parts():
+    rng = np.random.default_rng(1)
+    flat = np.log(rng.random((3, language.BUCKETS)))
+    text = (" ".join(rng.choice(["abc", "de", "fghi"], 60_000))).encode()
+    assert np.allclose(language.log_likelihoods(flat, text), flat[:, language.trigrams(text)].sum(1))
+    assert language.log_likelihoods(flat, b"") is None
+
+
 def test_urls(spark):
     rules = queries.URL_RULES
     urls = ["https://EXAMPLE.com/en/x?y", "http://www.example.com/en/", "http://a.b.com", "http://a.b.com/", "x://badexample.com/en/", "http://m.example.com/en", "http://net/es/a#b", "https://q.net/fr/", "net/es/", None, "", "://", "http://user@com:80/", "http://example.com?/en/", "a://b://com/"]
