@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import html_text, splitter
 from .functions import text as T
 from .operators import chunks, filters, graph, joins, popularity, rag, stats, vectors
+from .plans.popular import curated_corpus as curated
 from .plans.popular import popular_articles
 from .sources import pageviews
 
@@ -377,7 +378,12 @@ def split_text_chunks(spark, d):
     return docs.select("doc_id", F.posexplode("c").alias("chunk_idx", "chunk_text"))
 
 
-@_query()
+@_query(
+    rf"""WITH c AS (SELECT doc_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM {_LINES}),
+    placed AS (SELECT doc_id, c, pos, sum(CASE WHEN {_WC} >= 45 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS long FROM c),
+    runs AS (SELECT doc_id, long, string_agg(c, ' ' ORDER BY pos) AS run FROM placed GROUP BY doc_id, long)
+    SELECT doc_id, CAST(greatest(long, 1) - 1 AS INT) AS chunk_idx, string_agg(CASE WHEN long = 0 THEN regexp_replace(run, '^\s+|\s+$', '', 'g') ELSE run END, ' ' ORDER BY long) AS chunk_text FROM runs GROUP BY doc_id, greatest(long, 1)"""
+)
 def combine_short_chunks(spark, d):
     return _line_chunks(spark, d).select("doc_id", F.posexplode(splitter.combine_short(F.col("split_text"), 45)).alias("chunk_idx", "chunk_text"))
 
@@ -495,12 +501,25 @@ def pagerank_converged(spark, d):
     return graph.pagerank(_edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
-@_query()
+_REACH = f"WITH RECURSIVE {_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
+
+
+@_query(
+    _REACH
+    + """, far AS (SELECT src, dst FROM edges UNION SELECT far.src, edges.dst FROM far JOIN edges ON edges.src = far.dst),
+    mutual AS (SELECT a.src AS node, a.dst AS other FROM far a JOIN far b ON a.src = b.dst AND a.dst = b.src UNION SELECT node, node FROM nodes)
+    SELECT max(n) AS size FROM (SELECT count(*) AS n FROM mutual GROUP BY node)"""
+)
 def largest_scc(spark, d):
     return graph.largest_strong_component(_edges(spark, d))
 
 
-@_query()
+@_query(
+    _REACH
+    + """, ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+    far AS (SELECT node AS a, node AS b FROM nodes UNION SELECT far.a, ways.b FROM far JOIN ways ON ways.a = far.b)
+    SELECT a AS node, min(b) AS component FROM far GROUP BY a"""
+)
 def link_components(spark, d):
     return graph.weak_components(_edges(spark, d))
 
@@ -549,7 +568,12 @@ def row_at_place(spark, d):
     return popularity.row_at(_read(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 10)
 
 
-@_query()
+@_query(
+    f"""WITH c AS (SELECT doc_id, c, pos, len(string_split(c, ' ')) < 10 AS short FROM (SELECT doc_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM {_LINES})),
+    placed AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS place, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS long FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INT) AS run, joined
+    FROM (SELECT doc_id, place, string_agg(c, ' | ' ORDER BY pos) AS joined FROM placed WHERE short AND place < long GROUP BY doc_id, place)"""
+)
 def short_chunk_runs(spark, d):
     return stats.short_runs(_line_chunks(spark, d), "doc_id", "split_text", 10)
 
@@ -563,3 +587,119 @@ def enumerate_chunks(spark, d):
 def embedding_progress(spark, d):
     out = stats.progress(_read(spark, d, "labels").withColumnRenamed("doc_id", "title_match"), _read(spark, d, "documents").withColumnRenamed("doc_id", "title_match"))
     return out.withColumns({c: F.round(c, 9) for c in ("chunk_share", "article_share")})
+
+
+@_query(
+    _CTE
+    + """, top AS (SELECT title_match, total_views FROM views ORDER BY total_views DESC, title_match LIMIT 150),
+    ranked AS (SELECT k.page_id, k.word_count, title_match, t.total_views, row_number() OVER (PARTITION BY title_match ORDER BY k.word_count DESC, k.page_id) AS rn FROM keyed k JOIN top t USING (title_match))
+    SELECT page_id, word_count, title_match, total_views FROM ranked WHERE rn = 1 AND word_count > 50 ORDER BY total_views DESC, title_match LIMIT 60"""
+)
+def curated_corpus(spark, d):
+    return curated(_keyed(spark, d), _views(spark, d), 150, 60).select("page_id", "word_count", "title_match", "total_views")
+
+
+@_query(_CTE + "SELECT page_id, title, template_count FROM keyed ORDER BY template_count DESC, page_id LIMIT 50")
+def top_template_counts(spark, d):
+    return stats.leading(_keyed(spark, d), 50, F.desc("template_count"), F.col("page_id")).select("page_id", "title", "template_count")
+
+
+@_query(_CTE + "SELECT page_id, title, outlink_count FROM keyed ORDER BY outlink_count DESC, page_id LIMIT 75")
+def top_outlink_counts(spark, d):
+    return stats.leading(_keyed(spark, d), 75, F.desc("outlink_count"), F.col("page_id")).select("page_id", "title", "outlink_count")
+
+
+_CHUNK_SIZES = f"sizes AS (SELECT doc_id, count(*) AS n_chunks, min({_WC}) AS least, max({_WC}) AS most, sum({_WC}) AS words FROM (SELECT doc_id, unnest(parts) AS c FROM {_LINES}) GROUP BY 1)"
+
+
+def _chunk_sizes(spark, d):
+    return stats.chunk_sizes(_line_chunks(spark, d), "doc_id", "n_words_per_chunk")
+
+
+@_query(f"WITH {_CHUNK_SIZES} SELECT doc_id, CAST(least AS INT) AS least, CAST(words AS BIGINT) AS words, row_number() OVER (ORDER BY least, words, doc_id) - 1 AS place FROM sizes")
+def order_by_least_chunk_then_words(spark, d):
+    return popularity.placed(_chunk_sizes(spark, d).select("doc_id", "least", "words"), "place", "least", "words", "doc_id")
+
+
+@_query(f"WITH {_CHUNK_SIZES} SELECT doc_id, CAST(n_chunks AS INT) AS n_chunks FROM sizes ORDER BY n_chunks DESC, doc_id LIMIT 100")
+def most_chunks_first(spark, d):
+    return stats.leading(_chunk_sizes(spark, d), 100, F.desc("n_chunks"), F.col("doc_id")).select("doc_id", "n_chunks")
+
+
+@_query(f"WITH {_CHUNK_SIZES} SELECT doc_id, CAST(most AS INT) AS most FROM sizes ORDER BY most DESC, doc_id LIMIT 100")
+def largest_chunk_first(spark, d):
+    return stats.leading(_chunk_sizes(spark, d), 100, F.desc("most"), F.col("doc_id")).select("doc_id", "most")
+
+
+@_query(f"SELECT doc_id, CAST(pos - 1 AS INT) AS chunk_idx, md5(c) AS chunk_md5 FROM (SELECT doc_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM {_LINES}) WHERE pos <= 100")
+def chunk_slice(spark, d):
+    rows = _line_chunks(spark, d).select("doc_id", F.posexplode(F.slice("split_text", 1, 100)).alias("chunk_idx", "c"))
+    return rows.select("doc_id", "chunk_idx", F.md5(F.col("c").cast("binary")).alias("chunk_md5"))
+
+
+@_query("SELECT n_nationkey, 'n_name' AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
+def transposed_rows(spark, d):
+    return stats.transposed(_read(spark, d, "nation"), "n_nationkey")
+
+
+@_query("SELECT * FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) t(place, field, type)")
+def table_schema(spark, d):
+    return stats.schema_rows(_read(spark, d, "nation"))
+
+
+@_query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def preview(spark, d):
+    return stats.leading(_read(spark, d, "documents"), 100, F.col("doc_id")).select("doc_id", "lang", "source", "n_chars")
+
+
+_DEGREES = f"WITH {_EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), degrees AS (SELECT node, (SELECT count(*) FROM edges WHERE dst = node) AS i, (SELECT count(*) FROM edges WHERE src = node) AS o, (SELECT count(*) - 1 FROM n) AS others FROM n)"
+
+
+@_query(
+    _DEGREES
+    + """ SELECT 'in' AS kind, node, i AS links, round(i / others, 9) AS centrality FROM (FROM degrees ORDER BY i DESC, node LIMIT 20)
+    UNION ALL SELECT 'out', node, o, round(o / others, 9) FROM (FROM degrees ORDER BY o DESC, node LIMIT 10)"""
+)
+def top_centrality(spark, d):
+    degrees = graph.degree_centrality(_edges(spark, d))
+    side = lambda kind, n: stats.leading(degrees, n, F.desc(f"{kind}_degree"), F.col("node")).select(F.lit(kind).alias("kind"), "node", F.col(f"{kind}_degree").alias("links"), F.round(f"{kind}_centrality", 9).alias("centrality"))
+    return side("in", 20).unionByName(side("out", 10))
+
+
+@_query(
+    _RANK0
+    + "".join(_STEP.format(i + 1, i) for i in range(3))
+    + """, r AS (SELECT node, round(rank, 9) AS rank FROM r3) SELECT 'top' AS side, node, rank FROM (FROM r ORDER BY rank DESC, node LIMIT 10)
+    UNION ALL SELECT 'bottom', node, rank FROM (FROM r ORDER BY rank, node LIMIT 3)"""
+)
+def pagerank_ends(spark, d):
+    ranks = graph.pagerank(_edges(spark, d), fixed=3).withColumn("rank", F.round("rank", 9))
+    side = lambda name, n, order: stats.leading(ranks, n, order, F.col("node")).select(F.lit(name).alias("side"), "node", "rank")
+    return side("top", 10, F.desc("rank")).unionByName(side("bottom", 3, F.asc("rank")))
+
+
+@_query(f"WITH {_EDGES} SELECT dst, (SELECT count(*) FROM edges e WHERE e.dst = edges.dst) AS in_degree FROM edges WHERE src = 's1'")
+def neighbours_with_in_degree(spark, d):
+    edges = _edges(spark, d)
+    return graph.in_degrees(edges, graph.neighbours(edges, "s1"))
+
+
+@_query(
+    f"WITH {_V}, q AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qv FROM embeddings WHERE vec_id % 100 = 0), hits AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(v, qv) DESC, id) AS rank FROM e, q) SELECT qid, id, CAST(rank AS INT) AS rank, CAST(label AS VARCHAR) AS namespace FROM hits JOIN embeddings ON CAST(vec_id AS VARCHAR) = id WHERE rank <= 5"
+)
+def lookup_hits(spark, d):
+    q = _read(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    hits = vectors.search(q, _vectors(spark, d), 5).select("qid", "id", "rank")
+    return joins.lookup_chunks(hits, _vectors(spark, d).select("id", "namespace")).select("qid", "id", "rank", "namespace")
+
+
+@_query("SELECT label, count(*) AS n, round(count(*) * 64 * 4 / 1073741824.0, 12) AS gb, CAST(floor(label * 1073741824.0 / (64 * 4)) AS BIGINT) AS vectors FROM embeddings GROUP BY 1")
+def vector_storage(spark, d):
+    rows = _read(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return rows.select("label", "n", F.round(stats.storage_gb(F.col("n"), F.lit(64)), 12).alias("gb"), stats.vectors_in(F.col("label"), F.lit(64)).alias("vectors"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (50 - l_quantity) / l_quantity, 6) AS eta, round(l_extendedprice / l_quantity, 6) AS ratio FROM lineitem")
+def progress_arithmetic(spark, d):
+    eta = T.eta_seconds(F.col("l_quantity"), F.lit(50), F.col("l_extendedprice"))
+    return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(eta, 6).alias("eta"), F.round(T.compression_ratio(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("ratio"))

@@ -175,5 +175,10 @@ def l2_normalized(a: Column) -> Column:
 
 
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
-    """Time left at the pace so far."""
-    return elapsed * (total - done) / done
+    """Time left at the pace so far; null before the first is done."""
+    return F.try_divide(elapsed * (total - done), done)
+
+
+def compression_ratio(raw: Column, packed: Column) -> Column:
+    """How many times smaller the packed size is; null for none."""
+    return F.try_divide(raw, packed)

@@ -55,6 +55,13 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.col("src") == node).select("dst")
 
 
+def in_degrees(edges: DataFrame, chosen: DataFrame, node: str = "dst") -> DataFrame:
+    """The chosen nodes with the number of links to each."""
+    links = edges.join(chosen.select(F.col(node).alias("dst")).distinct(), "dst", "left_semi")
+    found = links.groupBy(F.col("dst").alias(node)).agg(F.count("*").alias("in_degree"))
+    return chosen.join(found, node, "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0).cast("long")))
+
+
 def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Edges with both ends among the chosen nodes."""
     return edges.join(chosen.select(F.col("node").alias("src")), "src", "left_semi").join(chosen.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")

@@ -84,6 +84,13 @@ def batches(df: DataFrame, key: str, size: int, blocks: int = 64) -> DataFrame:
     return df.join(counted.select(key, F.floor(F.col("before") / size).alias("batch")), key)
 
 
+def placed(df: DataFrame, out: str, *order: str, blocks: int = 64) -> DataFrame:
+    """Number each row, from 0, in the order of columns that are unique together; no task sees all rows."""
+    key = F.struct(*order)
+    counted = _running(df.groupBy(key.alias("_key")).agg(F.count("*").alias("k")), "_key", False, blocks)
+    return df.join(counted.select("_key", F.col("before").alias(out)), key == F.col("_key")).drop("_key")
+
+
 def row_at(df: DataFrame, order: list[Column], index: int) -> DataFrame:
     """The row at a place (from 0) of a total order."""
     return df.orderBy(*order).offset(index).limit(1)

@@ -15,6 +15,28 @@ def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"), F.count("*").alias("n")).orderBy(key)
 
 
+def leading(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows in an order; Spark keeps n rows a task, so none sees all."""
+    return df.orderBy(*order).limit(n)
+
+
+def transposed(df: DataFrame, key: str) -> DataFrame:
+    """A row for each row's field: (key, field, value), values as text."""
+    others = [c for c in df.columns if c != key]
+    return df.select(key, *[F.col(c).cast("string").alias(c) for c in others]).unpivot(key, others, "field", "value")
+
+
+def schema_rows(df: DataFrame) -> DataFrame:
+    """The columns of df and their types, in order."""
+    return df.sparkSession.createDataFrame([(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)], "place int, field string, type string")
+
+
+def chunk_sizes(df: DataFrame, key: str, counts: str) -> DataFrame:
+    """How many chunks each row has, words of the least and of the largest, and of all; rows without chunks are left out."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
+    return df.where(F.size(counts) > 0).select(key, F.size(counts).alias("n_chunks"), F.array_min(counts).alias("least"), F.array_max(counts).alias("most"), total.alias("words"))
+
+
 def prefix_histogram(df: DataFrame, title: str = "title", top: int = 25) -> DataFrame:
     """The most frequent prefixes before a colon."""
     found = df.where(F.instr(title, ":") > 0).groupBy(F.substring_index(title, ":", 1).alias("prefix")).agg(F.count("*").alias("n"))
