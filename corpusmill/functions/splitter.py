@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .html_text import html_text_column
-from .text import SPACE, normalize_whitespace
+from .text import SPACE, normalize_whitespace, strip
 
 #: Where a text is split, best first; the empty one stands for every character.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -81,16 +81,16 @@ def discard_short(chunks: Column, least_words: int) -> Column:
 
 
 def combine_short(chunks: Column, min_words: int) -> Column:
-    """Short chunks join the chunk before them, leading ones the first long chunk; all short ones become one."""
+    """Short chunks join the chunk before them, leading ones (stripped as a whole) the first long chunk; all short ones become one."""
     state = "struct<done:array<string>,open:string,long:boolean>"
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(False).alias("long")).cast(state)
 
     def step(s: Column, c: Column) -> Column:
         is_long = _word_count(c) >= min_words
         closes = is_long & s["long"]
-        return F.struct(F.when(closes, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.when(closes | s["open"].isNull(), c).otherwise(F.concat_ws(" ", s["open"], c)).alias("open"), (s["long"] | is_long).alias("long")).cast(state)
+        return F.struct(F.when(closes, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"), F.when(closes | s["open"].isNull(), c).otherwise(F.concat_ws(" ", F.when(is_long, strip(s["open"])).otherwise(s["open"]), c)).alias("open"), (s["long"] | is_long).alias("long")).cast(state)
 
-    return F.aggregate(chunks, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return F.aggregate(chunks, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.when(s["long"], s["open"]).otherwise(strip(s["open"]))))))
 
 
 def split_text(text: Column, chunk_size: Column | int, chunk_overlap: int, discard_chunk_n_words_cutoff: int = 0, clean_whitespace: bool = True, clean_html: bool = False, min_words_per_chunk: int = 0) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks import VectorTable, append_checkpoint
+from ..sinks import VectorTable, append_checkpoint, read_or_empty
 from .chunks import prepare_chunks
 from .vectors import vector_records
 
@@ -52,14 +52,21 @@ def embed(text: Column, provider: Provider, batch_size: int = 64) -> Column:
     return run(text)
 
 
-def embed_articles(articles: DataFrame, table: VectorTable, namespace: str, checkpoint_path: str, provider: Provider, batch_size: int = 50, safe_ids: bool = True) -> int:
-    """Embed what the checkpoint does not list; first the vectors are written, then the checkpoint, so a run that breaks off is repeated safely. Returns the number of chunks."""
-    spark = articles.sparkSession
-    from ..sinks import read_or_empty
+def embed_articles(articles: DataFrame, table: VectorTable, namespace: str, checkpoint_path: str, provider: Provider, batch_size: int = 50, safe_ids: bool = True, articles_per_batch: int = 100_000) -> int:
+    """Embed what the checkpoint does not list. Returns the number of chunks.
 
-    done = read_or_empty(spark, checkpoint_path, "title_match string, chunk_idx int")
-    chunks = prepare_chunks(articles, done)
-    embedded = chunks.withColumn("vector", embed(F.col("chunk_text"), provider, batch_size))
-    written = table.upsert(namespace, vector_records(embedded, safe_ids))
-    append_checkpoint(chunks.select("title_match", "chunk_idx"), checkpoint_path)
+    Articles are dealt by a hash of their title_match to batches of about `articles_per_batch`. Each batch writes its vectors, then its checkpoint, so a run
+    that breaks off loses one batch at most and is repeated safely; batches of which all is done are passed over.
+    """
+    spark = articles.sparkSession
+    n_batches = -(-articles.count() // articles_per_batch)
+    written = 0
+    for i in range(n_batches):
+        batch = articles.where(F.pmod(F.xxhash64("title_match"), F.lit(n_batches)) == i)
+        chunks = prepare_chunks(batch, read_or_empty(spark, checkpoint_path, "title_match string, chunk_idx int"))
+        if chunks.isEmpty():
+            continue
+        embedded = chunks.withColumn("vector", embed(F.col("chunk_text"), provider, batch_size))
+        written += table.upsert(namespace, vector_records(embedded, safe_ids))
+        append_checkpoint(chunks.select("title_match", "chunk_idx"), checkpoint_path)
     return written

@@ -16,7 +16,28 @@ from .vectors import search
 SOURCE = "\n        ```\n        source_id: {}\n        source_text: {}\n        ```\n        "
 PROMPT = "\nYou will be given a message from a user and a list of sources, \nthat may be relevant to answering the question.\nYour job is to answer the question.\n\nHere is the question:\n{}\n\nSources:\n{}\n"
 
-#: Fixed value: the schema of an answer.
+#: Fixed value: what the model is told before the prompt.
+SYSTEM = """
+You are a helpful assistant.
+
+You are given a message from a user and a list of citations.
+If the citations are relevant to the message, you should use them to answer the question.
+
+ONLY RESPOND IN JSON.
+
+Please respond in the same language as the message from the user.
+"""
+
+#: The fields of an answer, as a JSON schema for the model and as Spark's schema.
+RESPONSE_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "response": {"type": "string"},
+        "source_ids": {"type": "array", "items": {"type": "string"}},
+        "highlighted_response": {"type": "array", "items": {"type": "object", "additionalProperties": {"type": "string"}}},
+    },
+    "required": ["response", "source_ids", "highlighted_response"],
+}
 RESPONSE = "response STRING, source_ids ARRAY<STRING>, highlighted_response ARRAY<MAP<STRING,STRING>>"
 
 
@@ -59,13 +80,17 @@ def highlight(response: Column, spans: Column, names: Column) -> Column:
 
 @dataclass
 class Engine:
-    """Questions to answers over a table of vectors and one of chunks. llm: from prompts to answers as JSON, one for each."""
+    """Questions to answers over a table of vectors and one of chunks.
+
+    llm: from conversations (lists of messages with role and content) and the JSON schema of an answer to answers as JSON, one for each.
+    """
 
     vectors: DataFrame
     chunks: DataFrame
     embedder: Provider
-    llm: Callable[[list[str]], list[str]]
+    llm: Callable[[list[list[dict[str, str]]], dict], list[str]]
     languages: tuple[str, ...] = ("icelandic",)
+    system: str = SYSTEM
 
     def answer(self, questions: DataFrame, language: str, namespace: str | None = None, top_k: int = 5) -> DataFrame:
         """(qid, question, answer struct, chunks array) for (qid, question)."""
@@ -74,13 +99,16 @@ class Engine:
         vectors = questions.select("qid", embed(F.col("question"), self.embedder).alias("vector"))
         hits = search(vectors, self.vectors, top_k, namespace).join(self.chunks, "id")
         asked = prompts(hits, questions)
-        llm = self.llm
+        llm, system = self.llm, {"role": "system", "content": self.system}
 
         @F.arrow_udf("string")
         def complete(batch):
             import pyarrow as pa
 
-            return pa.array(llm(batch.to_pylist()), pa.string())
+            found = llm([[system, {"role": "user", "content": prompt}] for prompt in batch.to_pylist()], RESPONSE_SCHEMA)
+            if len(found) != len(batch):
+                raise ValueError(f"{len(found)} answers for {len(batch)} prompts")
+            return pa.array(found, pa.string())
 
         answers = asked.select("qid", parse_response(complete("prompt")).alias("answer"))
         used = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "chunk_text", "score"))).alias("chunks"))
@@ -88,14 +116,14 @@ class Engine:
 
 
 class EchoModel:
-    """An offline stand-in for a language model: cites every source of the prompt."""
+    """An offline stand-in for a language model: cites every source of the last message."""
 
-    def __call__(self, prompts: list[str]) -> list[str]:
+    def __call__(self, conversations: list[list[dict[str, str]]], schema: dict) -> list[str]:
         import json
 
         out = []
-        for prompt in prompts:
-            ids = re.findall(r"source_id: (\S+)", prompt)
+        for messages in conversations:
+            ids = re.findall(r"source_id: (\S+)", messages[-1]["content"])
             out.append(json.dumps({"response": "See the sources.", "source_ids": ids, "highlighted_response": [{i: "sources"} for i in ids[:1]]}))
         return out
 

@@ -1,10 +1,12 @@
 import bz2
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill import sinks
+from corpusmill.functions import splitter
 from corpusmill.operators import chunks, embedding, filters, graph, joins, popularity, rag, stats, vectors
 from corpusmill.sources import pageviews, web, wikidump
 
@@ -90,6 +92,44 @@ def test_embed_resumes(spark, tmp_path):
         sinks.create_index(spark, str(tmp_path / "reg"), str(tmp_path / "ix"), "is-index", 8)
 
 
+class _FailsOnce:
+    """A provider that fails on texts with a word, as long as a file is there."""
+
+    def __init__(self, word, flag):
+        self.word, self.flag, self.given = word, flag, embedding.HashProvider(16)
+
+    def __call__(self, texts):
+        import os
+
+        if os.path.exists(self.flag) and any(self.word in t for t in texts):
+            raise RuntimeError("service is away")
+        return self.given(texts)
+
+
+def test_embed_keeps_batches_before_a_failure(spark, tmp_path):
+    rows = [(f"t{i}", f"T{i}", "u", 2, f"word{i} end") for i in range(6)]
+    articles = chunks.chunk_articles(spark.createDataFrame(rows, "title_match string, title string, url string, word_count int, text string"), "text", 30, 5, 0, 0)
+    batch = {r.title_match: r.b for r in articles.select("title_match", F.pmod(F.xxhash64("title_match"), F.lit(3)).alias("b")).collect()}
+    last = max(batch, key=batch.get)
+    table = sinks.create_index(spark, str(tmp_path / "reg"), str(tmp_path / "ix"), "is-index", 16)
+    flag, path = tmp_path / "away", str(tmp_path / "ck")
+    flag.touch()
+    provider = _FailsOnce("word" + last[1:], str(flag))
+    with pytest.raises(Exception, match="away"):
+        embedding.embed_articles(articles, table, "n", path, provider, articles_per_batch=2)
+    before = sum(b < batch[last] for b in batch.values())
+    assert 0 < before == spark.read.parquet(path).count() == table.read("n").count()
+    flag.unlink()
+    assert embedding.embed_articles(articles, table, "n", path, provider, articles_per_batch=2) == len(rows) - before
+    assert table.read("n").count() == spark.read.parquet(path).distinct().count() == len(rows)
+
+
+def test_leading_short_chunks_are_stripped_as_a_whole(spark):
+    df = spark.createDataFrame([([" a ", "b\t", "l o n g", "c ", "l o n g e r"],), ([" a ", " b "],), ([],)], "c array<string>")
+    got = [r[0] for r in df.select(splitter.combine_short(F.col("c"), 3)).collect()]
+    assert got == [["a  b l o n g c ", "l o n g e r"], ["a   b"], []]
+
+
 def test_engine(spark):
     p = embedding.HashProvider(16)
     docs = spark.createDataFrame([("1", "red apple"), ("2", "green pear"), ("3", "blue sky")], "id string, chunk_text string")
@@ -97,6 +137,9 @@ def test_engine(spark):
     engine = rag.Engine(v, docs, p, rag.EchoModel())
     row = engine.answer(spark.createDataFrame([(1, "red apple")], "qid int, question string"), "icelandic", top_k=2).first()
     assert row.chunks[0].id == "1" and row.answer.source_ids[0] == "1" and len(row.chunks) == 2
+    told = rag.Engine(v, docs, p, lambda c, schema: [json.dumps({"response": m[0]["role"] + m[0]["content"] + m[1]["role"], "source_ids": schema["required"], "highlighted_response": []}) for m in c])
+    row = told.answer(spark.createDataFrame([(1, "red apple")], "qid int, question string"), "icelandic").first()
+    assert row.answer.response == "system" + rag.SYSTEM + "user" and row.answer.source_ids == ["response", "source_ids", "highlighted_response"]
     with pytest.raises(ValueError, match="Unsupported"):
         engine.answer(docs, "danish")
     with pytest.raises(Exception, match="lacks a field|JSON|json"):
