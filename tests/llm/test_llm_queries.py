@@ -12,7 +12,7 @@ def test_query_equals_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op12_late_sessions", "op13_collocations"}))
 def test_a_row_for_each_row(name, spark):
     got = queries.QUERIES[name](spark, f"{DATA}/sf0.001")
     source = "pages" if "page_id" in got.columns else "documents"
