@@ -16,7 +16,8 @@ from .functions import text as T
 from .operators import chunks, filters, graph, joins, popularity, rag, stats, vectors
 from .plans.popular import curated_corpus as curated
 from .plans.popular import popular_articles
-from .sources import pageviews
+from .sources import multistream, pageviews, sqldump, wikidump
+from .sources.store import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -703,3 +704,78 @@ def vector_storage(spark, d):
 def progress_arithmetic(spark, d):
     eta = T.eta_seconds(F.col("l_quantity"), F.lit(50), F.col("l_extendedprice"))
     return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(eta, 6).alias("eta"), F.round(T.compression_ratio(F.col("l_extendedprice"), F.col("l_quantity")), 6).alias("ratio"))
+
+
+# from raw files: dumps, SQL dumps and pageview lines that Spark writes from the tables first
+
+
+def _dump(spark, d, text):
+    """documents as a multistream dump in the shared folder: (folder, index files)."""
+    i, path = F.col("doc_id"), scratch(spark, "dump")
+    title, redirect = F.concat(F.lit("Page <"), i.cast("string"), F.lit(">")), F.when(i % 17 == 0, F.lit('Page "A" & B'))
+    element = multistream.page_element(title, F.when(i % 19 == 0, 1).otherwise(0), i, text, redirect, F.lit("2024-09-01T12:34:56Z"))
+    multistream.write_dump(_read(spark, d, "documents").where("doc_id is not null").select(i.alias("page_id"), title.alias("title"), element.alias("record")), path)
+    return path, f"{path}/*-index.txt.bz2"
+
+
+_PLAIN = r"trim(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F]+', ' ', 'g'))"
+
+
+@_query(
+    f"""SELECT doc_id AS page_id, 'Page <' || doc_id || '>' AS title, CASE WHEN doc_id % 19 = 0 THEN '1' ELSE '0' END AS ns, doc_id % 17 = 0 AS is_redirect,
+    CASE WHEN doc_id % 17 = 0 THEN 'Page "A" & B' END AS redirect, sha256({_PLAIN}) AS text_sha256 FROM documents WHERE doc_id IS NOT NULL"""
+)
+def multistream_pages(spark, d):
+    """Documents as a dump, written, and read again stream by stream at the index's offsets."""
+    path, index = _dump(spark, d, F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x1F\x7F]+", " ")))
+    pages = wikidump.read_pages_by_offset(spark, path, index, 4 << 20)
+    return pages.select("page_id", "title", "ns", "is_redirect", "redirect", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+@_query(
+    r"""WITH a AS (SELECT doc_id AS i, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) AS words FROM documents WHERE doc_id IS NOT NULL AND doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND doc_id % 13 <> 0)
+    SELECT i AS page_id, 'https://en.wikipedia.org/wiki/Page_<' || i || '>' AS url, CAST(words + 2 * (i % 4) + CASE WHEN i % 11 = 0 THEN 2 ELSE 0 END AS INT) AS word_count,
+           CAST(i % 4 + i % 3 + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN i % 7 = 0 THEN 2 ELSE 0 END AS INT) AS outlink_count, CAST(i % 3 AS INT) AS category_count, array_to_string(list_transform(range(i % 3), lambda k: 'Cat ' || k), '|') AS categories,
+           CAST(CASE WHEN i % 3 = 0 THEN 2 ELSE 0 END + i % 2 + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS INT) AS template_count, CAST(i % 2 AS INT) AS external_link_count FROM a"""
+)
+def dump_articles(spark, d):
+    """Articles of a dump whose pages hold links, templates, tables, files, refs and unmarked text; talk pages, redirects and disambiguations go."""
+    i = F.col("doc_id")
+    some = lambda n, text: F.repeat(F.lit(text), n.cast("int"))
+    when = lambda test, text: F.when(test, F.lit(text)).otherwise("")
+    category = lambda k: F.when(k < i % 3, F.concat(F.lit("\n[[Category:Cat "), k.cast("string"), F.lit("|key]]"))).otherwise("")
+    text = F.concat(
+        when(i % 3 == 0, "{{Infobox\n|name={{nowrap|x [[}}|y}}\n"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "), some(i % 4, " [[Page 1#Part|'''shown''' words]]"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), category), ""), some(i % 2, " <ref name=a>see [http://example.org/a b] {{cite|t=[x]}}</ref><ref name=a />"),
+        when(i % 5 == 0, '\n{| class="x"\n|-\n| [[Page 9]] || {{flag}}\n|}\n'), when(i % 7 == 0, "\n[[File:x.jpg|thumb|a [[Page 2|b]] c]]"),
+        when(i % 11 == 0, " <nowiki>[[no]] {{no}}</nowiki> <!-- [[no]] -->"), when(i % 13 == 0, "\n{{Disambiguation}}"),
+    )
+    path, index = _dump(spark, d, text)
+    pages = wikidump.read_pages_by_offset(spark, path, index, 4 << 20)
+    return wikidump.articles(pages).select("page_id", "url", "word_count", "outlink_count", "category_count", "categories", "template_count", "external_link_count")
+
+
+@_query("SELECT lang || 'wiki' AS schema, lang, CAST(doc_id AS VARCHAR) AS page_id, source, CAST(length(text) AS INT) AS n, sha256(text) AS text_sha256 FROM documents WHERE lang IN ('de', 'fr')")
+def sql_dump_rows(spark, d):
+    """Documents as SQL dumps by language, with line ends, semicolons and quotes in values; one of two tables is read again, of two languages."""
+    path = scratch(spark, "sqldump")
+    docs = _read(spark, d, "documents").where("lang is not null")
+    sqldump.write_sql_dumps(docs, path, "page", "lang", ["doc_id", "source", "text"])
+    sqldump.write_sql_dumps(docs, path, "pagelinks", "lang", ["doc_id", "lang", "n_chars"])
+    rows = sqldump.read_sql_dumps(spark, path, "page", ["page_id", "source", "text"], ["de", "fr"], 1 << 20, "*.txt")
+    return rows.select("schema", "lang", "page_id", "source", F.length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@_query(
+    _CTE
+    + """SELECT month, wiki_code, article_title, CAST(sum(views) AS BIGINT) AS views, array_to_string(list_sort(list_distinct(list(page_id))), ',') AS page_ids
+    FROM lines WHERE page_id IS NOT NULL AND wiki_code IN ('view', 'click') AND views % 10 <> 0 AND views % 11 <> 0 GROUP BY ALL"""
+)
+def pageviews_from_lines(spark, d):
+    """Monthly views from pageview lines in bz2 files by month; lines of five parts and lines without a number are skipped, other languages left out."""
+    path, v = scratch(spark, "pageviews"), F.col("views")
+    total = F.when(v % 11 == 0, F.lit("x")).otherwise(v.cast("string"))
+    parts = F.concat_ws(" ", "wiki_code", "article_title", F.when(v % 10 != 0, F.col("page_id")), F.lit("mobile-web"), total, F.lit("A1B2"))
+    _lines(spark, d).select("month", parts.alias("value")).write.partitionBy("month").option("compression", "bzip2").text(path)
+    lines = pageviews.read_lines(spark, path, "part-*.bz2", month_of_folder=True)
+    return popularity.monthly_views(pageviews.parse(lines, ["view", "click"], "month"), "month").withColumn("page_ids", F.array_join("page_ids", ","))

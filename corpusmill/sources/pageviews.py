@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 WIKI_CODES = ["is.wikipedia", "no.wikipedia", "nn.wikipedia", "de.wikipedia", "en.wikipedia", "fo.wikipedia", "nl.wikipedia", "se.wikipedia", "dk.wikipedia", "lu.wikipedia"]
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*-user.bz2") -> DataFrame:
-    """Lines of the files that fit the pattern, with the month in the file's name if there is one."""
+def read_lines(spark: SparkSession, path: str, pattern: str = "*-user.bz2", month_of_folder: bool = False) -> DataFrame:
+    """Lines of the files that fit the pattern, with the month in the file's name if there is one, or of their folders `month=...`."""
     lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    if month_of_folder:
+        return lines.withColumn("month", F.col("month").cast("string"))
     return lines.withColumn("month", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{6})", 1))
 
 

@@ -1,4 +1,4 @@
-"""Scraped pages, settings, SQL dumps and databases."""
+"""Scraped pages, settings and databases."""
 
 from __future__ import annotations
 
@@ -65,44 +65,6 @@ def _scalar(value: str):
     return value
 
 
-def read_sql_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Rows of a table's INSERT statements, as strings."""
-    statements = spark.read.option("lineSep", ";\n").text(path).where(F.col("value").rlike(rf"(?is)\bINSERT INTO `?{table}`?\s"))
-
-    @F.arrow_udf("array<array<string>>")
-    def tuples(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([sql_tuples(s) for s in b.to_pylist()], pa.list_(pa.list_(pa.string())))
-
-    rows = statements.select(F.explode(tuples(F.col("value"))).alias("t"))
-    return rows.select(*[F.col("t")[i].alias(c) for i, c in enumerate(columns)])
-
-
-_VALUE = re.compile(r"\s*(?:'((?:[^'\\]|\\.|'')*)'|([^,()']+))\s*([,)])", re.S)
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
-
-
-def sql_tuples(statement: str) -> list[list[str | None]]:
-    """The value lists of an INSERT statement."""
-    out: list[list[str | None]] = []
-    at = re.search(r"\bVALUES\b", statement, re.I)
-    pos = statement.find("(", at.end() if at else 0)
-    while pos >= 0:
-        row: list[str | None] = []
-        pos += 1
-        while m := _VALUE.match(statement, pos):
-            pos = m.end()
-            if m.group(1) is not None:
-                row.append(re.sub(r"\\(.)|''", lambda e: _ESCAPES.get(e.group(1), e.group(1)) if e.group(1) else "'", m.group(1), flags=re.S))
-            else:
-                row.append(None if m.group(2).strip().upper() == "NULL" else m.group(2).strip())
-            if m.group(3) == ")":
-                break
-        out.append(row)
-        pos = statement.find("(", pos)
-    return out
-
-
 def read_table(spark: SparkSession, url: str, table: str, limit: int | None = None, **options: str) -> DataFrame:
     """A database table over JDBC."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()

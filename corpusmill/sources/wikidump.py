@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.wikitext import wikitext_column
 from ..operators.filters import is_disambiguation, main_articles
+from . import multistream
+from .store import scratch
 
 #: Fixed value: the elements of a page that are read.
 PAGE = "title STRING, ns STRING, id BIGINT, redirect STRUCT<_title: STRING>, revision STRUCT<id: BIGINT, timestamp: STRING, contributor: STRUCT<username: STRING, id: BIGINT>, text: STRING>"
@@ -24,11 +26,22 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "</page>").text(path)
     begins = F.instr("value", "<page>")
     record = F.concat(F.expr("substring(value, instr(value, '<page>'))"), F.lit("</page>"))
-    page = F.from_xml(record, PAGE, {"rowTag": "page", "mode": "PERMISSIVE"})
-    rows = records.where(begins > 0).select(page.alias("p"))
+    return pages_of(records.where(begins > 0).select(record.alias("record")))
+
+
+def pages_of(records: DataFrame) -> DataFrame:
+    """Pages of their elements in column `record`."""
+    rows = records.select(F.from_xml("record", PAGE, {"rowTag": "page", "mode": "PERMISSIVE"}).alias("p"))
     return rows.select("p.title", "p.ns", F.col("p.id").alias("page_id"), F.col("p.redirect._title").alias("redirect"), F.col("p.redirect").isNotNull().alias("is_redirect"), F.col("p.revision.id").alias("revision_id"), F.col("p.revision.timestamp").alias("timestamp"), F.col("p.revision.text").alias("text"))
 
 
+def read_pages_by_offset(spark: SparkSession, path: str, index_path: str, range_bytes: int = 32 << 20) -> DataFrame:
+    """Pages of multistream files, each stream read at the offset that the index gives; damaged streams are passed over (see multistream.read_records)."""
+    offsets = scratch(spark, "offsets")
+    multistream.write_offsets(spark, index_path, offsets)
+    return pages_of(multistream.read_records(spark, path, offsets, range_bytes).where("record is not null"))
+
+
 def articles(pages: DataFrame, lang: str = "en", category_prefix: str = "Category:", keep_text: bool = False, quote_url: bool = False) -> DataFrame:
     """Article rows of the main namespace: no redirects, no disambiguation pages. The page's own id is the id."""
     main = main_articles(pages.withColumn("redirect", F.when(F.col("is_redirect"), F.coalesce("redirect", F.lit("")))))

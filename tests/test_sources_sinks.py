@@ -49,9 +49,6 @@ def test_dump(spark, tmp_path):
 def test_web(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"name": "é", "url": "u", "main_text": "t"}]')
     assert tuple(web.read_json_array(spark, str(tmp_path / "a.json")).first()) == ("é", "u", "t")
-    assert web.sql_tuples("INSERT INTO `t` VALUES (1,'a\\'b,(c)',NULL),(2,'it''s',3.5);") == [["1", "a'b,(c)", None], ["2", "it's", "3.5"]]
-    (tmp_path / "t.sql").write_text("CREATE TABLE t (a int);\nINSERT INTO `t` VALUES (1,'x'),(2,'y');\n")
-    assert [tuple(r) for r in web.read_sql_dump(spark, str(tmp_path / "t.sql"), "t", ["a", "b"]).orderBy("a").collect()] == [("1", "x"), ("2", "y")]
     (tmp_path / "s.yaml").write_text('a:\n  b:\n    dimension: 1536  \n    is_local: false\n    n: "x y"\nc: 1.5 # note\n')
     assert web.settings(str(tmp_path / "s.yaml")) == {"a": {"b": {"dimension": 1536, "is_local": False, "n": "x y"}}, "c": 1.5}
     df = spark.createDataFrame([("u1",), (None,)], "url string").select(web.fetched(F.col("url"), lambda u: u.upper()).alias("b"))
