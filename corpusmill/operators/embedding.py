@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks import VectorTable, append_checkpoint, read_or_empty
+from ..sinks import VectorTable, append_checkpoint, read_or_empty, written
 from .chunks import prepare_chunks
-from .vectors import vector_records
+from .vectors import vector_id, vector_records
 
 #: A function from texts to vectors, one for each, in order.
 Provider = Callable[[list[str]], list[list[float]]]
@@ -55,18 +55,17 @@ def embed(text: Column, provider: Provider, batch_size: int = 64) -> Column:
 def embed_articles(articles: DataFrame, table: VectorTable, namespace: str, checkpoint_path: str, provider: Provider, batch_size: int = 50, safe_ids: bool = True, articles_per_batch: int = 100_000) -> int:
     """Embed what the checkpoint does not list. Returns the number of chunks.
 
-    Articles are dealt by a hash of their title_match to batches of about `articles_per_batch`. Each batch writes its vectors, then its checkpoint, so a run
-    that breaks off loses one batch at most and is repeated safely; batches of which all is done are passed over.
+    What is pending is written once, in batches of whole buckets of the vector table and about `articles_per_batch` articles, so each bucket is rewritten by one
+    batch. A batch writes its vectors, then its checkpoint: a run that breaks off loses one batch at most and is repeated safely.
     """
-    spark = articles.sparkSession
-    n_batches = -(-articles.count() // articles_per_batch)
-    written = 0
-    for i in range(n_batches):
-        batch = articles.where(F.pmod(F.xxhash64("title_match"), F.lit(n_batches)) == i)
-        chunks = prepare_chunks(batch, read_or_empty(spark, checkpoint_path, "title_match string, chunk_idx int"))
-        if chunks.isEmpty():
-            continue
-        embedded = chunks.withColumn("vector", embed(F.col("chunk_text"), provider, batch_size))
-        written += table.upsert(namespace, vector_records(embedded, safe_ids))
-        append_checkpoint(chunks.select("title_match", "chunk_idx"), checkpoint_path)
-    return written
+    spark, vectors = articles.sparkSession, table.of(namespace)
+    n_batches = max(1, min(table.buckets, -(-articles.count() // articles_per_batch)))
+    chunks = prepare_chunks(articles, read_or_empty(spark, checkpoint_path, "title_match string, chunk_idx int"))
+    batch = F.floor(vectors.bucket(vector_id(safe_ids)) * n_batches / table.buckets).cast("int")
+    total = 0
+    with written(chunks.withColumn("batch", batch), "pending", "batch") as pending:
+        for i in sorted(r.batch for r in pending.select("batch").distinct().collect()):
+            own = pending.where(F.col("batch") == i).drop("batch")
+            total += table.upsert(namespace, vector_records(own.withColumn("vector", embed(F.col("chunk_text"), provider, batch_size)), safe_ids))
+            append_checkpoint(own.select("title_match", "chunk_idx"), checkpoint_path)
+    return total

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sinks import written
+from ..sources.store import scratch
 
-#: Queries whose vectors are sent to every task are at most so many MB; more are dealt with the join below.
-QUERY_MB = 64
+#: Bytes of the queries' vectors that are sent to every task at once; more queries are searched in blocks of that size.
+QUERY_BYTES = 64 << 20
+
+
+def vector_id(safe_ids: bool) -> Column:
+    """A chunk's id: its article's name and its number."""
+    return T.safe_vector_id(F.col("title_match"), F.col("chunk_idx")) if safe_ids else F.concat_ws("_", "title_normalized", F.col("chunk_idx").cast("string"))
 
 
 def vector_records(chunks: DataFrame, safe_ids: bool = False) -> DataFrame:
     """(id, values, metadata) of embedded chunks."""
-    vid = T.safe_vector_id(F.col("title_match"), F.col("chunk_idx")) if safe_ids else F.concat_ws("_", "title_normalized", F.col("chunk_idx").cast("string"))
-    return chunks.select(vid.alias("id"), F.col("vector").cast("array<float>").alias("values"), F.struct("title", "url", "chunk_idx", "chunk_text").alias("metadata"))
+    return chunks.select(vector_id(safe_ids).alias("id"), F.col("vector").cast("array<float>").alias("values"), F.struct("title", "url", "chunk_idx", "chunk_text").alias("metadata"))
 
 
 def last_write(rows: DataFrame, key: list[str], *latest: Column) -> DataFrame:
@@ -36,14 +42,25 @@ def check_dimension(vectors: DataFrame, dimension: int, col: str = "values") ->
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, namespace: str | None = None) -> DataFrame:
     """Exact cosine top k of each query: (qid, id, score, rank).
 
-    queries: (qid, vector), a stated and small set. Their number is checked; vectors stay where they are, each task keeps its k best of each query before
-    anything is shuffled (a window with a group limit), so what moves is k rows for each query and task.
+    queries: (qid, vector), a stated set. Their size is checked: up to QUERY_BYTES they are sent to all tasks, and vectors stay where they are; each task keeps
+    its k best of each query before anything is shuffled (a window with a group limit), so what moves is k rows for each query and task. More queries are
+    dealt by a hash of their ids to blocks of that size, which are searched one after the other; each writes its k rows a query, and none holds the others' broadcast.
     """
     if namespace is not None:
         vectors = vectors.where(F.col("namespace") == namespace)
     n, dim = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    if n * (dim or 0) * 4 > QUERY_MB << 20:
-        raise ValueError("too many queries for one search; search them in blocks")
+    blocks = -(-n * (dim or 0) * 4 // QUERY_BYTES)
+    if blocks <= 1:
+        return _search_block(queries, vectors, k)
+    blocks += blocks // 8 + 1  # a hash fills them unevenly
+    path, spark = scratch(queries.sparkSession, "hits"), queries.sparkSession
+    with written(queries.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block")), "queries", "block") as dealt:
+        for i in range(blocks):
+            _search_block(dealt.where(F.col("block") == i).drop("block"), vectors, k).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _search_block(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     q = queries.select("qid", T.l2_normalized(F.col("vector")).alias("_q"))
     v = vectors.select("id", T.l2_normalized(F.col("values")).alias("_v"))
     scored = v.join(F.broadcast(q), F.lit(True)).select("qid", "id", T.dot(F.col("_q"), F.col("_v")).alias("score"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.store import remove, scratch
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path; empty if there is none yet."""
@@ -64,79 +67,122 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 @dataclass
-class VersionedTable:
-    """A parquet table that is replaced as a whole: a version is written beside the others, then a pointer file names it. Readers keep the version they began with."""
+class BucketTable:
+    """A Parquet table in folders by a hash of the key, so that a change rewrites the buckets it touches and no others.
+
+    Changes go through Spark's dynamic partition overwrite: new files are staged and put in the place of the buckets' folders when the job commits, so a repeated
+    change gives the same table. A bucket that loses its last row keeps a row of nulls as its mark; rows without a key are not kept. Writers of
+    different buckets do not meet; of two that change one bucket at once, the later commit stays.
+    """
 
     spark: SparkSession
     path: str
     schema: str
     key: tuple[str, ...] = ("id",)
+    buckets: int = 64
 
-    def _pointer(self) -> str | None:
-        found = read_or_empty(self.spark, f"{self.path}/_current", "version string, at timestamp").orderBy(F.desc("at"), F.desc("version")).limit(1).collect()
-        return found[0].version if found else None
+    def bucket(self, *key: Column) -> Column:
+        """The bucket of a key."""
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
 
-    def read(self) -> DataFrame:
-        version = self._pointer()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}") if version else self.spark.createDataFrame([], self.schema)
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.dropna(subset=list(self.key)).withColumn("bucket", self.bucket(*map(F.col, self.key)))
 
-    def replace(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.path}/_current")
+    def _stored(self, touched: list[int] | None = None) -> DataFrame:
+        found = read_or_empty(self.spark, self.path, f"{self.schema}, bucket INT").dropna(subset=list(self.key))
+        return found if touched is None else found.where(F.col("bucket").isin(touched))
 
-    def insert(self, rows: DataFrame) -> None:
-        """Rows in place of those with their keys; of several with one key, one."""
-        old = self.read()
-        fresh = rows.dropDuplicates(list(self.key))
-        self.replace(old.join(fresh.select(*self.key), list(self.key), "left_anti").unionByName(fresh.select(*old.columns)))
+    def read(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def _replace(self, rows: DataFrame, touched: list[int] = ()) -> None:
+        """Put rows in the place of their buckets, and of the touched ones that have none."""
+        if touched:
+            rows = rows.unionByName(self.spark.createDataFrame([(b,) for b in touched], "bucket int"), allowMissingColumns=True)
+        rows.repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(self.path)
+
+    def upsert(self, rows: DataFrame, *latest: Column) -> int:
+        """Rows in place of those with their keys; of several with one key the latest. Returns their number before that; rows are evaluated once."""
+        from .operators.vectors import last_write
+
+        with written(self._bucketed(rows), "upsert") as fresh:
+            n, touched = fresh.agg(F.count("*"), F.collect_set("bucket")).first()  # at most `buckets` numbers
+            if n:
+                old = self._stored(touched)
+                new = last_write(fresh, list(self.key), *latest) if latest else fresh.dropDuplicates(list(self.key))
+                self._replace(old.join(fresh.select("bucket", *self.key), ["bucket", *self.key], "left_anti").select(*old.columns).unionByName(new.select(*old.columns)))
+        return n
 
     def delete(self, keys: DataFrame) -> None:
-        self.replace(self.read().join(keys.select(*self.key).distinct(), list(self.key), "left_anti"))
+        with written(self._bucketed(keys.select(*self.key)), "delete") as gone:
+            touched = gone.agg(F.collect_set("bucket")).first()[0]
+            if touched:
+                self._replace(self._stored(touched).join(gone, ["bucket", *self.key], "left_anti"), touched)
+
+    def clear(self) -> None:
+        """Delete all rows."""
+        touched = self._stored().agg(F.collect_set("bucket")).first()[0]
+        if touched:
+            self._replace(self._stored(touched).limit(0), touched)
+
+
+@contextlib.contextmanager
+def written(df: DataFrame, name: str, *by: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, in folders by some columns, while it is used more than once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
 
 
 #: Fixed value: the columns of the chunk store.
 CHUNK_STORE = "id STRING, language STRING, index_name STRING, namespace STRING, chunk_text STRING, chunk_index INT, source_title STRING, source_url STRING, created_at TIMESTAMP"
 
 
-def chunk_store(spark: SparkSession, path: str) -> VersionedTable:
-    return VersionedTable(spark, path, CHUNK_STORE)
+def chunk_store(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    return BucketTable(spark, path, CHUNK_STORE, buckets=buckets)
 
 
-def insert_chunks(store: VersionedTable, chunks: DataFrame) -> None:
-    store.insert(chunks.drop("vector").withColumn("created_at", F.current_timestamp()))
+def insert_chunks(store: BucketTable, chunks: DataFrame) -> None:
+    store.upsert(chunks.drop("vector").withColumn("created_at", F.current_timestamp()))
 
 
 #: Fixed value: the columns of a vector record.
 VECTORS = "id STRING, values ARRAY<FLOAT>, metadata STRUCT<title: STRING, url: STRING, chunk_idx: INT, chunk_text: STRING>"
 
 
+class _VectorBuckets(BucketTable):
+    """Vectors of one article (ids that differ in the number at their end) share a bucket."""
+
+    def bucket(self, *key: Column) -> Column:
+        return super().bucket(F.regexp_replace(key[0], r"_\d+$", ""))
+
+
 @dataclass
 class VectorTable:
-    """One index: a version table for each namespace, vectors of one dimension."""
+    """One index: a bucket table for each namespace, vectors of one dimension."""
 
     spark: SparkSession
     path: str
     dimension: int
+    buckets: int = 64
 
-    def _of(self, namespace: str) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.path}/namespace={namespace}", VECTORS)
+    def of(self, namespace: str) -> BucketTable:
+        return _VectorBuckets(self.spark, f"{self.path}/namespace={namespace}", VECTORS, buckets=self.buckets)
 
     def read(self, namespace: str) -> DataFrame:
-        return self._of(namespace).read()
+        return self.of(namespace).read()
 
     def upsert(self, namespace: str, records: DataFrame) -> int:
-        """The last write of an id wins. Returns the number of records."""
-        from .operators.vectors import check_dimension, last_write
+        """The last write of an id wins; only the buckets of the records' articles are rewritten. Returns the number of records."""
+        from .operators.vectors import check_dimension
 
-        table = self._of(namespace)
-        fresh = last_write(check_dimension(records, self.dimension), ["id"], F.desc("metadata.title"), F.desc("metadata.chunk_idx"))
-        old = table.read()
-        table.replace(old.join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
-        return records.count()
+        return self.of(namespace).upsert(check_dimension(records, self.dimension), F.desc("metadata.title"), F.desc("metadata.chunk_idx"))
 
     def delete_all(self, namespace: str) -> None:
-        self._of(namespace).replace(self.spark.createDataFrame([], VECTORS))
+        self.of(namespace).clear()
 
 
 def create_index(spark: SparkSession, registry: str, base: str, name: str, dimension: int, metric: str = "cosine") -> VectorTable:

@@ -106,9 +106,10 @@ class _FailsOnce:
 def test_embed_keeps_batches_before_a_failure(spark, tmp_path):
     rows = [(f"t{i}", f"T{i}", "u", 2, f"word{i} end") for i in range(6)]
     articles = chunks.chunk_articles(spark.createDataFrame(rows, "title_match string, title string, url string, word_count int, text string"), "text", 30, 5, 0, 0)
-    batch = {r.title_match: r.b for r in articles.select("title_match", F.pmod(F.xxhash64("title_match"), F.lit(3)).alias("b")).collect()}
-    last = max(batch, key=batch.get)
     table = sinks.create_index(spark, str(tmp_path / "reg"), str(tmp_path / "ix"), "is-index", 16)
+    bucket = table.of("n").bucket(vectors.vector_id(True))
+    batch = {r.title_match: r.b for r in articles.withColumn("chunk_idx", F.lit(0)).select("title_match", F.floor(bucket * 3 / table.buckets).alias("b")).collect()}
+    last = max(batch, key=batch.get)
     flag, path = tmp_path / "away", str(tmp_path / "ck")
     flag.touch()
     provider = _FailsOnce("word" + last[1:], str(flag))
@@ -208,3 +209,67 @@ def test_streaming(spark, tmp_path):
     q = stream_upserts(spark, str(tmp_path / "in"), rows.schema.simpleString()[7:-1].replace(":", " "), table, "n", embedding.HashProvider(16), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert table.read("n").count() == rows.count()
+
+
+def _bucket_files(path):
+    found = {}
+    for f in sorted(path.rglob("*.parquet")):
+        found.setdefault(f.parent.name, []).append(f.name)
+    return found
+
+
+def test_an_upsert_rewrites_the_buckets_of_its_ids_only(spark, tmp_path):
+    schema = "id string, v int"
+    table = sinks.BucketTable(spark, str(tmp_path / "t"), schema, buckets=32)
+    rows = [(f"k{i}", i) for i in range(500)]
+    assert table.upsert(spark.createDataFrame(rows, schema)) == 500
+    before = _bucket_files(tmp_path / "t")
+    assert len(before) == 32 and all(len(f) == 1 for f in before.values())
+    change = spark.createDataFrame([("k1", -1), ("k2", -2), ("new", 0), (None, 9)], schema)
+    for _ in range(2):  # a repeated change gives the same table
+        assert table.upsert(change) == 3
+        after = _bucket_files(tmp_path / "t")
+        assert 1 <= sum(after[b] != before[b] for b in before) <= 3
+        assert {r.id: r.v for r in table.read().collect()} == dict(rows) | {"k1": -1, "k2": -2, "new": 0}
+        assert table.read().count() == 501
+    before = _bucket_files(tmp_path / "t")
+    table.delete(spark.createDataFrame([("k5", 0), ("none", 0)], schema))
+    assert sum(f != before[b] for b, f in _bucket_files(tmp_path / "t").items()) <= 2 and table.read().count() == 500
+    table.clear()
+    assert table.read().count() == 0
+    table.clear()
+    assert table.upsert(spark.createDataFrame([], schema)) == 0 and table.read().columns == ["id", "v"]
+    assert table.upsert(spark.createDataFrame([("a", 1), ("a", 3), ("a", 2)], schema), F.desc("v")) == 3
+    assert [tuple(r) for r in table.read().collect()] == [("a", 3)]
+
+
+def test_a_bucket_that_loses_its_rows_is_empty(spark, tmp_path):
+    table = sinks.BucketTable(spark, str(tmp_path / "t"), "id string, v int", buckets=4)
+    table.upsert(spark.createDataFrame([("a", 1)], "id string, v int"))
+    table.delete(spark.createDataFrame([("a", 1)], "id string, v int"))
+    assert table.read().count() == 0
+    table.upsert(spark.createDataFrame([("a", 2)], "id string, v int"))
+    assert [r.v for r in table.read().collect()] == [2]
+
+
+def test_an_articles_vectors_share_a_bucket_and_a_run_rewrites_each_once(spark, tmp_path):
+    rows = [(f"t{i}", f"T{i}", "u", 2, f"word{i} end") for i in range(12)]
+    articles = chunks.chunk_articles(spark.createDataFrame(rows, "title_match string, title string, url string, word_count int, text string"), "text", 30, 5, 0, 0)
+    table = sinks.VectorTable(spark, str(tmp_path / "ix"), 16, buckets=8)
+    assert embedding.embed_articles(articles, table, "n", str(tmp_path / "ck"), embedding.HashProvider(16), articles_per_batch=3) == 12
+    assert all(len(f) == 1 for f in _bucket_files(tmp_path / "ix").values()) and table.read("n").count() == 12
+    of = table.of("n")
+    same = spark.createDataFrame([("ab_1",), ("ab_22",)], "id string").select(of.bucket(F.col("id")).alias("b")).distinct().count()
+    assert same == 1
+
+
+def test_search_in_blocks_of_queries(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    v = spark.createDataFrame([(str(i), [rng.gauss(0, 1) for _ in range(8)]) for i in range(200)], "id string, values array<float>")
+    q = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(50)], "qid int, vector array<float>")
+    want = sorted((r.qid, r["rank"], r.id, round(r.score, 6)) for r in vectors.search(q, v, 3).collect())
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 500)
+    got = vectors.search(q, v, 3)
+    assert sorted((r.qid, r["rank"], r.id, round(r.score, 6)) for r in got.collect()) == want and len(want) == 150
