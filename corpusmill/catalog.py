@@ -497,9 +497,17 @@ def pagerank_fixed_iters(spark, d):
     return graph.pagerank(_edges(spark, d), fixed=3).withColumn("rank", F.round("rank", 9))
 
 
-@_query()
+# rounds until nothing changes in the digits that are shown
+_RANKS = f"""WITH RECURSIVE {_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nodes), links AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS out FROM edges),
+    r(i, node, rank) AS (SELECT 0, node, 1 / n FROM nodes, c UNION ALL
+        SELECT i + 1, x.node, (0.15 + 0.85 * held) / c.n + 0.85 * coalesce(g.got, 0) FROM c, r x LEFT JOIN (SELECT dst, sum(rank / out) AS got FROM links JOIN r ON src = node GROUP BY dst) g ON g.dst = x.node,
+             (SELECT coalesce(sum(rank), 0) AS held FROM r WHERE node NOT IN (SELECT src FROM edges)) WHERE i < 100),
+    last AS (SELECT node, round(rank, 8) AS rank FROM r WHERE i = 100)"""
+
+
+@_query(_RANKS + " SELECT node, rank FROM last")
 def pagerank_converged(spark, d):
-    return graph.pagerank(_edges(spark, d)).withColumn("rank", F.round("rank", 9))
+    return graph.pagerank(_edges(spark, d), tol=1e-13).withColumn("rank", F.round("rank", 8))
 
 
 _REACH = f"WITH RECURSIVE {_EDGES}, nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
@@ -668,13 +676,13 @@ def top_centrality(spark, d):
 
 
 @_query(
-    _RANK0
-    + "".join(_STEP.format(i + 1, i) for i in range(3))
-    + """, r AS (SELECT node, round(rank, 9) AS rank FROM r3) SELECT 'top' AS side, node, rank FROM (FROM r ORDER BY rank DESC, node LIMIT 10)
-    UNION ALL SELECT 'bottom', node, rank FROM (FROM r ORDER BY rank, node LIMIT 3)"""
+    _RANKS
+    + """ SELECT 'top' AS side, node, rank FROM (FROM last ORDER BY rank DESC, node LIMIT 10)
+    UNION ALL SELECT 'bottom', node, rank FROM (FROM last ORDER BY rank, node LIMIT 3)"""
 )
 def pagerank_ends(spark, d):
-    ranks = graph.pagerank(_edges(spark, d), fixed=3).withColumn("rank", F.round("rank", 9))
+    """The first and last nodes by converged ranks."""
+    ranks = graph.pagerank(_edges(spark, d), tol=1e-13).withColumn("rank", F.round("rank", 8))
     side = lambda name, n, order: stats.leading(ranks, n, order, F.col("node")).select(F.lit(name).alias("side"), "node", "rank")
     return side("top", 10, F.desc("rank")).unionByName(side("bottom", 3, F.asc("rank")))
 

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import remove, scratch
+
 
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="corpusmill-graph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class _Buckets:
+    """Tables bucketed by one column into as many buckets as shuffles have partitions, so joins on it move neither side."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(self, df: DataFrame, by: str) -> tuple[str, str]:
+        """The table's name and path."""
+        name, path = f"graph_{uuid.uuid4().hex}", scratch(self.spark, "graph")
+        df.write.option("path", path).bucketBy(self.n, by).sortBy(by).saveAsTable(name)
+        return name, path
+
+    def drop(self, name: str, path: str | None = None) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        if path:
+            remove(self.spark, path)
 
 
 def link_edges(pages: DataFrame, title: str, targets: str) -> DataFrame:
@@ -67,26 +79,45 @@ def induced(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return edges.join(chosen.select(F.col("node").alias("src")), "src", "left_semi").join(chosen.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def _pagerank_round(links: DataFrame, ranks: DataFrame, alpha: float, base: float) -> DataFrame:
+    """New ranks (node, out, old, rank). links are in buckets of src and ranks of node, so only sums for each target are shuffled."""
+    shares = ranks.where("out > 0").select("node", (F.col("rank") / F.col("out")).alias("share"))
+    given = links.join(shares, links.src == shares.node).groupBy("dst").agg(F.sum("share").alias("got"))
+    return ranks.join(given, ranks.node == given.dst, "left").select("node", "out", F.col("rank").alias("old"), (F.lit(base) + F.lit(alpha) * F.coalesce("got", F.lit(0.0))).alias("rank"))
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100, fixed: int | None = None) -> DataFrame:
-    """(node, rank); what nodes without links hold is shared by all. Stops below tol * n of change, or after `fixed` rounds."""
-    links = _written(edges.distinct().join(edges.distinct().groupBy("src").agg(F.count("*").alias("out")), "src"))
-    every = _written(nodes(edges))
-    n = every.count()
+    """(node, rank); what nodes without links hold is shared by all. Stops below tol * n of change, or after `fixed` rounds.
+
+    Links are written once, in buckets of src; ranks are kept in the same buckets. A round is one job that writes the new ranks and tells, by observed
+    sums, how much they changed and what sinks now hold; the round before is deleted.
+    """
+    spark = edges.sparkSession
+    buckets = _Buckets(spark)
+    known = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    links_at = buckets.write(known, "src")
+    links = spark.table(links_at[0])
+    outs = links.groupBy("src").agg(F.count("*").alias("out"))
+    every = nodes(links).join(outs, F.col("node") == F.col("src"), "left").select("node", F.coalesce("out", F.lit(0).cast("long")).alias("out"))
+    every = _written(every)
+    n, held = every.agg(F.count("*"), F.count_if(F.col("out") == 0)).first()
     if not n:
-        return every.withColumn("rank", F.lit(0.0))
-    sinks = _written(every.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
-    ranks = every.withColumn("rank", F.lit(1.0 / n))
+        buckets.drop(*links_at)
+        return every.select("node", F.lit(0.0).alias("rank"))
+    at, held = buckets.write(every.select("node", "out", F.lit(1.0 / n).alias("rank")), "node"), held / n
     for _ in range(fixed or max_iter):
-        held = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        given = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        base = (1 - alpha) / n + alpha * held / n
-        new = ranks.withColumnRenamed("rank", "old").join(given, F.col("node") == F.col("dst"), "left").select("node", "old", (F.lit(base) + F.lit(alpha) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        new = _written(new)
-        change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new.select("node", "rank")
-        if fixed is None and change < n * tol:
+        seen = Observation(f"pagerank-{uuid.uuid4().hex}")
+        new = _pagerank_round(links, spark.table(at[0]), alpha, (1 - alpha) / n + alpha * held / n)
+        new = new.observe(seen, F.sum(F.when(F.col("out") == 0, F.col("rank"))).alias("held"), F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"))
+        before, at = at, buckets.write(new.drop("old"), "node")
+        buckets.drop(*before)
+        held = seen.get["held"] or 0.0
+        if fixed is None and seen.get["change"] < n * tol:
             break
-    return ranks
+    buckets.drop(*links_at)
+    schema = spark.table(at[0]).schema
+    buckets.drop(at[0])
+    return spark.read.schema(schema).parquet(at[1]).select("node", "rank")
 
 
 def _reach(edges: DataFrame, start: DataFrame, alive: DataFrame) -> DataFrame:

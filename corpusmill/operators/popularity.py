@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import remove, scratch
+
 
 def monthly_views(lines: DataFrame, *extra: str) -> DataFrame:
     """Views and page ids of each (wiki_code, title); `extra` columns such as the month join the key."""
@@ -42,33 +44,39 @@ def later_duplicates(df: DataFrame, key: list[str], *order: Column) -> DataFrame
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("rn > 1").drop("rn")
 
 
-def _running(histogram: DataFrame, value: str, descending: bool, blocks: int) -> DataFrame:
-    """For each distinct value: rows before it (`before`) and its own (`k`), without one task that holds all values.
+#: Distinct values of one range of a histogram, about.
+RANGE_VALUES = 100_000
+
+
+def _running(histogram: DataFrame, value: str, descending: bool, range_values: int = RANGE_VALUES) -> tuple[DataFrame, int]:
+    """For each distinct value: rows before it (`before`) and its own (`k`), without one task that holds all values; and the rows in all.
 
-    Values are dealt to ranges; the ranges' sums, at most `blocks` rows, are accumulated, then values within their range.
+    The histogram is evaluated once. Values are dealt to ranges by their number; the ranges' sums, a row each, are accumulated, then values within their range.
     """
+    spark, paths = histogram.sparkSession, [scratch(histogram.sparkSession, n) for n in ("histogram", "ranges")]
+    histogram.write.parquet(paths[0])
+    stored = spark.read.schema(histogram.schema).parquet(paths[0])
+    n, total = stored.agg(F.count("*"), F.coalesce(F.sum("k"), F.lit(0))).first()
     order = F.desc(value) if descending else F.asc(value)
-    ranged = histogram.repartitionByRange(blocks, order).withColumn("_range", F.spark_partition_id()).persist()
+    stored.repartitionByRange(max(1, -(-n // range_values)), order).withColumn("_range", F.spark_partition_id()).write.parquet(paths[1])
+    remove(spark, paths[0])
+    ranged = spark.read.parquet(paths[1])
     sums = ranged.groupBy("_range").agg(F.sum("k").alias("_sum"))
     offset = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
     within = F.coalesce(F.sum("k").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("_within", within).join(F.broadcast(offset), "_range").select(value, "k", (F.col("_offset") + F.col("_within")).alias("before"))
+    return ranged.withColumn("_within", within).join(F.broadcast(offset), "_range").select(value, "k", (F.col("_offset") + F.col("_within")).alias("before")), total
 
 
-def percent_rank_scalable(df: DataFrame, value: str, out: str, blocks: int = 64) -> DataFrame:
+def percent_rank_scalable(df: DataFrame, value: str, out: str, range_values: int = RANGE_VALUES) -> DataFrame:
     """percent_rank() over all rows, most first, from a histogram of the values; the rows themselves are not gathered."""
-    histogram = df.groupBy(value).agg(F.count("*").alias("k"))
-    ranks = _running(histogram, value, True, blocks)
-    total = df.count()
+    ranks, total = _running(df.groupBy(value).agg(F.count("*").alias("k")), value, True, range_values)
     ranks = ranks.select(F.col(value).alias("_v"), (F.col("before") / F.lit(max(total - 1, 1))).cast("double").alias(out))
     return df.join(ranks, df[value].eqNullSafe(ranks["_v"])).drop("_v")
 
 
-def average_percent_rank(df: DataFrame, value: str, out: str, blocks: int = 64) -> DataFrame:
+def average_percent_rank(df: DataFrame, value: str, out: str, range_values: int = RANGE_VALUES) -> DataFrame:
     """Share of the rows at or below a value, ties at their mean, 1.0 for the most; null values stay null and do not count."""
-    known = df.where(F.col(value).isNotNull())
-    ranks = _running(known.groupBy(value).agg(F.count("*").alias("k")), value, False, blocks)
-    total = known.count()
+    ranks, total = _running(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k")), value, False, range_values)
     ranks = ranks.select(F.col(value).alias("_v"), ((F.col("before") + (F.col("k") + 1) / 2.0) / F.lit(max(total, 1))).cast("double").alias(out))
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
@@ -78,16 +86,16 @@ def random_chunk_size(key: Column, low: int = 1000, high: int = 2000, seed: int
     return (F.lit(low) + F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(high - low + 1))).cast("int")
 
 
-def batches(df: DataFrame, key: str, size: int, blocks: int = 64) -> DataFrame:
+def batches(df: DataFrame, key: str, size: int, range_values: int = RANGE_VALUES) -> DataFrame:
     """Number of the batch of `size` rows that each row falls in, in the order of a unique key."""
-    counted = _running(df.groupBy(key).agg(F.count("*").alias("k")), key, False, blocks)
+    counted, _ = _running(df.groupBy(key).agg(F.count("*").alias("k")), key, False, range_values)
     return df.join(counted.select(key, F.floor(F.col("before") / size).alias("batch")), key)
 
 
-def placed(df: DataFrame, out: str, *order: str, blocks: int = 64) -> DataFrame:
+def placed(df: DataFrame, out: str, *order: str, range_values: int = RANGE_VALUES) -> DataFrame:
     """Number each row, from 0, in the order of columns that are unique together; no task sees all rows."""
     key = F.struct(*order)
-    counted = _running(df.groupBy(key.alias("_key")).agg(F.count("*").alias("k")), "_key", False, blocks)
+    counted, _ = _running(df.groupBy(key.alias("_key")).agg(F.count("*").alias("k")), "_key", False, range_values)
     return df.join(counted.select("_key", F.col("before").alias(out)), key == F.col("_key")).drop("_key")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order_stats import exact_quantiles
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """How often each value comes, without nulls, most often first."""
@@ -12,7 +14,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min"), F.count("*").alias("n")).orderBy(key)
+    """Mean, exact median, most, least and number of rows of each key; a key's rows are nowhere together."""
+    known = df.where(F.col(key).isNotNull())
+    sums = known.groupBy(key).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.count("*").alias("n"))
+    return sums.join(exact_quantiles(known, [key], value, {"median": 0.5}), key, "left").select(key, "mean", "median", "max", "min", "n").orderBy(key)
 
 
 def leading(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -50,9 +55,10 @@ def invert_page_ids(views: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample deviation, least, exact interpolated quartiles, most."""
-    q = lambda p: F.percentile(F.col(col), F.lit(p))
-    return df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(col).cast("double").alias("max"))
+    """Count, mean, sample deviation, least, exact interpolated quartiles, most; no task sees all values."""
+    sums = df.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
+    quartiles = exact_quantiles(df, [], col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return sums.join(quartiles, F.lit(True), "left").select("n", "mean", "std", "min", "q25", "q50", "q75", "max")  # one row each
 
 
 def array_stats(df: DataFrame, key: str, values: str) -> DataFrame:
