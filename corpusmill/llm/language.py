@@ -103,7 +103,7 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     size = len(languages)
     made = ("language", "probability", "text_language", "und_probability")
-    kept = [c for c in rows.columns if c != text_col and c not in made]
+    kept = [c for c in rows.columns if c != text_col and c.lower() not in made]
 
     @F.arrow_udf("struct<logs:array<double>,soft:array<double>>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -128,7 +128,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 3, span_words: int = 20, long_words: int = 7) -> DataFrame:
     """docs with the repeated spans removed from the text, n_removed (units) and removed_chars."""
-    kept = [c for c in docs.columns if c not in ("n_removed", "removed_chars")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_removed", "removed_chars")]
     # the input's columns travel in one, so that their names do not matter
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key1"), F.xxhash64(text).alias("key2"))

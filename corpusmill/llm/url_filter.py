@@ -93,4 +93,6 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: s
 
     names = {"host", "path", "rule", "verdict"}
     kept = [c for c in df.columns if c.lower() not in names]
-    return df.select(*[F.col(f"`{c}`") for c in kept], judge(F.col(url_col)).alias("_judged")).select(*[F.col(f"`{c}`") for c in kept], "_judged.*")
+    # the input's columns travel in one, so that their names do not matter
+    done = df.select(F.struct(*([F.col(f"`{c}`") for c in kept] or [F.lit(0)])).alias("row"), judge(F.col(url_col)).alias("judged"))
+    return done.select(*[F.col("row")[c].alias(c) for c in kept], "judged.*")
