@@ -7,8 +7,8 @@ full content (compressed, which is one-to-one) and not digests alone:
 2. those winners meet by (digest, salt), so a digest with a third of all rows is spread over `salts` tasks;
 3. the winners of the salts meet by digest: at most `salts` rows for each content.
 
-Only winners carry content; members travel as ids and are joined to the result of stage 3 by the small id of
-their salt group.
+Only winners carry content; members travel as one list of ids for each local group, which is joined to the result of stage 3
+by the small id of its salt group.
 
 Of equal texts the row with the most code points in the original stays, then the smallest id (a null id comes
 last), then one of the repeated rows. Null and empty texts are equal to each other. Every input row gives one
@@ -141,6 +141,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = materialize(salted.mapInArrow(_combine_salted, _DDL["salted"]), "dedup")
     winners = salted.where("gid is null").select("class2", "win_gid", "best_id", "n_chars", "size", "sha", "content")
     final = winners.repartition("sha").sortWithinPartitions("sha").mapInArrow(_combine_global, _DDL["final"])
-    members = salted.where("gid is not null").select("gid", "class2", "best_pos", F.posexplode("members").alias("pos", "doc_id"))
+    # a row for each local group is joined, and its members are told apart afterwards, where the group is
+    groups = salted.where("gid is not null").select("gid", "class2", "best_pos", "members").join(final, "class2")
+    members = groups.select("gid", "best_pos", "keep_gid", "keep_id", "group_size", "text_sha256", F.posexplode("members").alias("pos", "doc_id"))
     kept = (F.col("gid") == F.col("keep_gid")) & (F.col("pos") == F.col("best_pos"))
-    return members.join(final, "class2").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

@@ -635,3 +635,22 @@ def test_patterns_hold_all_and_waste_little(seed):
     assert (sum(p * n for p, n in patterns) == counts).all()
     assert sum(n for _, n in patterns) <= 1.02 * (counts * width).sum() / 64 + 70
     assert packing.solve_patterns(np.zeros(8, int)) == []
+
+
+def test_hot_copies_meet_one_row_a_group(spark):
+    """A third of all rows are equal: before the last join there is a row for each group that a task has combined, not for each copy."""
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i}") for i in range(6000)]
+    got = exact_dedup.exact_dedup(table(spark, rows).repartition(4))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # above it in the plan
+    hot = got.where("group_size = 2000").collect()
+    assert len(hot) == 2000 and {r.keep_id for r in hot} == {0} and got.count() == 6000
+
+
+def test_names_of_outputs_in_another_case(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "a", "b", "c")], "page_id long, url string, _judged string, Host string, row string")
+    assert url_filter.filter_urls(pages, queries.URL_RULES).collect()[0]["_judged"] == "a"
+    docs = spark.createDataFrame([(1, "some text here", "x", 2, 3)], "doc_id long, text string, Language string, N_Removed int, row int")
+    assert substring_dedup.substring_dedup(docs).select("n_removed", "row").first() == (0, 3)
+    model = language.fit_trigrams(spark.createDataFrame([(1, "the text is here", "en"), (2, "le texte est ici", "fr")], "doc_id long, text string, lang string"), ["en", "fr"])
+    assert language.identify(docs, model, ["en", "fr"], "text").select("language", "N_Removed").first()["N_Removed"] == 2
