@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, skew_safe_join, tidy, windows
+from .common import batches_bounded, materialize, release, skew_safe_join, tidy, windows
 
 #: Bytes of text of one language in a shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 #: Bits of the map that tells which shorter phrases may be frequent.
 FILTER_BITS = 1 << 26
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -205,14 +205,16 @@ def _with_count(rows: DataFrame, grams: DataFrame, part: str, out: str, n: int)
 def mine_collocations(docs: DataFrame, most_words: int = 3, least: int = 10, share: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang", filter_bits: int = FILTER_BITS) -> DataFrame:
     """Each language's first phrases: lang, rank, phrase, a, l, r, n (all words of the language), score."""
     spark = docs.sparkSession
-    shard = materialize(shards(docs, text_col, lang_col), "shards")
-    words = materialize(_counted(shard, 1, None), "words")
+    with batches_bounded(spark):
+        shard = materialize(shards(docs, text_col, lang_col), "shards")
+        words = materialize(_counted(shard, 1, None), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     grams = [words.where(F.col("f") >= least)]
     for k in range(2, most_words + 1):
         packed = np.packbits(_filter(grams[-1], k - 1, filter_bits), bitorder="little")
         shared = spark.sparkContext.broadcast(packed)
-        grams.append(materialize(_counted(shard, k, shared).where(F.col("f") >= least), f"phrases-{k}"))
+        with batches_bounded(spark):
+            grams.append(materialize(_counted(shard, k, shared).where(F.col("f") >= least), f"phrases-{k}"))
         shared.destroy()
     everything = grams[0]
     for g in grams[1:]:

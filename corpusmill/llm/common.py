@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -67,6 +68,19 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) ->
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def batches_bounded(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) -> Iterator[None]:
+    """`bound_batches` for the jobs that run within; the session's own settings are there again afterwards."""
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    bound_batches(spark, size, rows)
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def text_bytes(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 in column `text` (null: empty)."""
     return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
