@@ -9,6 +9,8 @@ judged by its own text in the first two stages and the Jaccard join keeps those
 Null and empty texts: the source decides on their language, one of them stays in exact dedup, and it is packed as the end id alone. A null id
 is no reason to go; its row links with nothing. Very long texts are handled whole in each stage. Ties go to the smallest doc_id. Extra
 columns of documents are not carried: each stage but the last returns the columns of documents. An empty table gives no piece.
+
+A stage's result is evaluated by whoever writes it, so the stages leave the bounds of Arrow batches (4 MB, 2000 rows) in the session's settings.
 """
 
 from __future__ import annotations
@@ -19,20 +21,15 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import exact_dedup as exact
 from corpusmill.llm import jaccard_join, language, packing, substring_dedup
-from corpusmill.llm.common import bound_batches, materialize
+from corpusmill.llm.common import bound_batches, discard, materialize
 from corpusmill.llm.queries import LANGUAGES
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows of (id, hash) that may be broadcast; beyond, the join is by shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """docs whose keys are not in gone. The ids are broadcast only where a count shows that they are few."""
-    gone = materialize(gone.distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, keys, "left_anti")
+    """docs whose keys are not in gone, by one join at any size; Spark alone may send a side that its own limit takes for small to all tasks."""
+    return docs.join(materialize(gone.distinct(), "gone"), keys, "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,6 +84,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
