@@ -294,12 +294,12 @@ def title_overlap_counts(spark, d):
     return stats.overlap_counts(_keyed(spark, d), _views(spark, d), "title_match")
 
 
-@_query("SELECT dim, round(n * 1000.0 * dim * 4 / 1073741824, 9) AS gb_1k, round(n * 1000000.0 * dim * 4 / 1073741824, 9) AS gb_1m FROM (VALUES (384), (768), (1024), (1536)) t(dim), (SELECT count(*) AS n FROM region)")
+@_query("SELECT dim, round(a * dim * 4 / 1073741824, 9) AS gb_documents, round(b * dim * 4 / 1073741824, 9) AS gb_events FROM (VALUES (384), (768), (1024), (1536)) t(dim), (SELECT (SELECT count(*) FROM documents) AS a, (SELECT count(*) FROM events) AS b)")
 def size_grid_pivot(spark, d):
-    n = _read(spark, d, "region").count()
+    """GB of the vectors that all rows of two tables would make, by dimension."""
     dims = spark.createDataFrame([(x,) for x in (384, 768, 1024, 1536)], "dim long")
-    counts = spark.createDataFrame([("gb_1k", n * 1000), ("gb_1m", n * 1_000_000)], "name string, n_vectors long")
-    return joins.size_grid(dims, counts).groupBy("dim").pivot("name", ["gb_1k", "gb_1m"]).agg(F.round(F.first("gb"), 9))
+    count = lambda t: _read(spark, d, t).agg(F.count("*").alias("n_vectors")).select(F.lit(f"gb_{t}").alias("name"), "n_vectors")
+    return joins.size_grid(dims, count("documents").unionByName(count("events"))).groupBy("dim").pivot("name", ["gb_documents", "gb_events"]).agg(F.round(F.first("gb"), 9))
 
 
 @_query(_CTE + "SELECT CAST(sum(word_count) AS BIGINT) AS words, round(sum(word_count) * 1.35 / 1e6 * 0.008, 9) AS cost FROM keyed")
@@ -307,9 +307,10 @@ def embedding_cost(spark, d):
     return _keyed(spark, d).agg(F.sum("word_count").alias("words")).select("words", F.round(stats.embedding_cost(F.col("words"), 0.008), 9).alias("cost"))
 
 
-@_query("SELECT 'https://dumps.example.org/' || strftime(m, '%Y') || '/' || strftime(m, '%Y-%m') || '/pageviews-' || strftime(m, '%Y%m') || '-user.bz2' AS url FROM (SELECT unnest(generate_series(DATE '2023-10-01', DATE '2024-09-01', INTERVAL 1 MONTH)) AS m)")
+@_query("SELECT 'https://dumps.example.org/' || strftime(m, '%Y') || '/' || strftime(m, '%Y-%m') || '/pageviews-' || strftime(m, '%Y%m') || '-user.bz2' AS url FROM (SELECT unnest(generate_series(date_trunc('month', min(ts)), date_trunc('month', max(ts)), INTERVAL 1 MONTH)) AS m FROM events)")
 def month_urls(spark, d):
-    return pageviews.month_urls(spark, "https://dumps.example.org", 2023, 10, 2024, 9)
+    """The files that cover the months of all events."""
+    return pageviews.urls_of_months(_read(spark, d, "events"), "ts", "https://dumps.example.org")
 
 
 @_query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1")
@@ -445,10 +446,19 @@ def rag_prompt(spark, d):
     return rag.prompts(hits, questions).withColumn("prompt", F.md5(F.col("prompt").cast("binary")))
 
 
-@_query("SELECT conv_id, turn, text AS response, CAST(turn AS VARCHAR) AS source_ids, 1 AS n_spans FROM conversations")
+@_query("SELECT conv_id, turn, conv_id % 7 > 4 AS whole, CASE WHEN conv_id % 7 > 4 THEN text END AS response, CASE WHEN conv_id % 7 > 4 THEN CAST(turn AS VARCHAR) END AS source_ids, CASE WHEN conv_id % 7 > 4 THEN 1 END AS n_spans FROM conversations")
 def parse_llm_json(spark, d):
-    made = F.to_json(F.struct(F.col("text").alias("response"), F.array(F.col("turn").cast("string")).alias("source_ids"), F.array(F.create_map(F.col("turn").cast("string"), F.lit("x"))).alias("highlighted_response")))
-    return _read(spark, d, "conversations").select("conv_id", "turn", rag.parse_response(made).alias("a")).select("conv_id", "turn", "a.response", F.array_join("a.source_ids", ",").alias("source_ids"), F.size("a.highlighted_response").alias("n_spans"))
+    """Answers of which most are broken: cut off, prose, without a field, in a code fence, or with a field of another type; those have no fields."""
+    source, spans = F.array(F.col("turn").cast("string")), F.array(F.create_map(F.col("turn").cast("string"), F.lit("x")))
+    whole = F.to_json(F.struct(F.col("text").alias("response"), source.alias("source_ids"), spans.alias("highlighted_response")))
+    lacks = F.to_json(F.struct(F.col("text").alias("response"), spans.alias("highlighted_response")))
+    other = F.to_json(F.struct(F.col("text").alias("response"), F.lit("x").alias("source_ids"), spans.alias("highlighted_response")))
+    kinds = [F.expr("left(made, length(made) - 1)"), F.concat(F.lit("Sorry: "), "text"), F.col("lacks"), F.concat(F.lit("```json\n"), "made", F.lit("\n```")), F.col("other")]
+    answer = F.col("made")
+    for i, kind in enumerate(kinds):
+        answer = F.when(F.col("conv_id") % 7 == i, kind).otherwise(answer)
+    rows = _read(spark, d, "conversations").withColumns({"made": whole, "lacks": lacks, "other": other}).select("conv_id", "turn", rag.parse_response(answer, strict=False).alias("a"))
+    return rows.select("conv_id", "turn", F.col("a").isNotNull().alias("whole"), "a.response", F.array_join("a.source_ids", ",").alias("source_ids"), F.size("a.highlighted_response").alias("n_spans"))
 
 
 @_query("SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -651,9 +661,11 @@ def transposed_rows(spark, d):
     return stats.transposed(_read(spark, d, "nation"), "n_nationkey")
 
 
-@_query("SELECT * FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2, 'n_regionkey', 'int')) t(place, field, type)")
+@_query("SELECT * FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'bigint')) t(place, field, type) JOIN (UNPIVOT (SELECT count(doc_id) AS doc_id, count(text) AS text, count(lang) AS lang, count(source) AS source, count(n_chars) AS n_chars FROM documents) ON COLUMNS(*) INTO NAME field VALUE known) USING (field)")
 def table_schema(spark, d):
-    return stats.schema_rows(_read(spark, d, "nation"))
+    """Columns, their types and how many rows have a value."""
+    docs = _read(spark, d, "documents")
+    return stats.schema_rows(docs).join(stats.known_counts(docs), "field")
 
 
 @_query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 100")

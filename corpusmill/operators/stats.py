@@ -36,6 +36,12 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(i, name, kind) for i, (name, kind) in enumerate(df.dtypes)], "place int, field string, type string")
 
 
+def known_counts(df: DataFrame) -> DataFrame:
+    """(field, known): rows that have a value in each column, by one pass."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return counts.select(F.lit(0).alias("_one"), "*").unpivot("_one", df.columns, "field", "known").drop("_one")
+
+
 def chunk_sizes(df: DataFrame, key: str, counts: str) -> DataFrame:
     """How many chunks each row has, words of the least and of the largest, and of all; rows without chunks are left out."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)

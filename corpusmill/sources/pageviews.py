@@ -41,11 +41,26 @@ def parse_strict(lines: DataFrame, prefix: str | None = None) -> DataFrame:
     return out.withColumn("daily_total", F.col("daily_total").cast("bigint"))
 
 
+def _urls(months: DataFrame, base: str) -> DataFrame:
+    return months.select(F.concat(F.lit(base.rstrip("/") + "/"), F.date_format("d", "yyyy"), F.lit("/"), F.date_format("d", "yyyy-MM"), F.lit("/pageviews-"), F.date_format("d", "yyyyMM"), F.lit("-user.bz2")).alias("url"))
+
+
 def month_urls(spark: SparkSession, base: str, from_year: int, from_month: int, to_year: int, to_month: int) -> DataFrame:
     """Addresses of the monthly files of an inclusive range."""
     days = F.explode(F.sequence(F.make_date(F.lit(from_year), F.lit(from_month), F.lit(1)), F.make_date(F.lit(to_year), F.lit(to_month), F.lit(1)), F.expr("interval 1 month")))
-    months = spark.range(1).select(days.alias("d"))
-    return months.select(F.concat(F.lit(base.rstrip("/") + "/"), F.date_format("d", "yyyy"), F.lit("/"), F.date_format("d", "yyyy-MM"), F.lit("/pageviews-"), F.date_format("d", "yyyyMM"), F.lit("-user.bz2")).alias("url"))
+    return _urls(spark.range(1).select(days.alias("d")), base)
+
+
+def urls_of_months(df: DataFrame, time_col: str, base: str) -> DataFrame:
+    """Addresses of the monthly files from the first to the last month of a table's times."""
+    ends = df.agg(F.min(time_col).alias("first"), F.max(time_col).alias("last")).where("first is not null")
+    months = F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))
+    return _urls(ends.select(F.explode(months).alias("d")), base)
+
+
+def first_lines(lines: DataFrame, n: int = 10) -> DataFrame:
+    """A look at n lines; of large files no more is read than that takes."""
+    return lines.limit(n)
 
 
 def previous_month(year: int, month: int) -> tuple[int, int]:

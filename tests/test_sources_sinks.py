@@ -273,3 +273,59 @@ def test_search_in_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUERY_BYTES", 500)
     got = vectors.search(q, v, 3)
     assert sorted((r.qid, r["rank"], r.id, round(r.score, 6)) for r in got.collect()) == want and len(want) == 150
+
+
+def _deliver(folder, name, lines):
+    folder.mkdir(exist_ok=True, parents=True)
+    (folder / name).write_bytes(bz2.compress("".join(f"{line}\n" for line in lines).encode()))
+
+
+def test_late_and_repeated_pageview_files_give_the_table_of_the_batch_job(spark, tmp_path):
+    from corpusmill.streaming.views import read_streamed_views, stream_views
+
+    day = lambda k: [f"is.wikipedia T{i % 5} {'null' if i % 3 else i} desktop {i + k} A1" for i in range(20)] + ["is.wikipedia T short 3 A", "is.wikipedia T1 1 desktop x A", "fr.wikipedia T1 1 desktop 5 A"]
+    files = {f"pageviews-2024{m:02}{d:02}-user.bz2": day(10 * m + d) for m in (1, 2) for d in (1, 2, 3)}
+    names = sorted(files)
+    inbox, args = tmp_path / "in", (str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "ck"), ["is.wikipedia"])
+    rounds = [[(names[0], "a"), (names[4], "a")], [(names[1], "a"), (names[0], "again")], [(names[5], "b"), (names[5], "c"), (names[3], "a"), (names[2], "late")]]
+    for delivered in rounds:
+        for name, folder in delivered:
+            _deliver(inbox / folder, name, files[name])
+        assert stream_views(spark, *args).awaitTermination(120)
+    got = sorted((r.month, r.article_title, r.views, tuple(r.page_ids)) for r in read_streamed_views(spark, args[1]).collect())
+    for name, lines in files.items():
+        _deliver(tmp_path / "all", name, lines)
+    whole = popularity.monthly_views(pageviews.parse(pageviews.read_lines(spark, str(tmp_path / "all")), ["is.wikipedia"], "month"), "month")
+    assert got == sorted((r.month, r.article_title, r.views, tuple(r.page_ids)) for r in whole.collect()) and len(got) == 10
+    assert {r.wiki_code for r in read_streamed_views(spark, args[1]).collect()} == {"is.wikipedia"}
+
+
+def test_readers_of_prefixes_samples_and_months(spark, tmp_path):
+    (tmp_path / "x-user.bz2").write_bytes(bz2.compress(b"no.wikipedia A 1 desktop 2 A\nnov B 1 desktop 3 A\nis.wikipedia C 1 desktop 4 A\n"))
+    lines = pageviews.read_lines(spark, str(tmp_path))
+    assert sorted(r.article_title for r in pageviews.parse_strict(lines, "no").collect()) == ["A", "B"]
+    assert pageviews.first_lines(lines, 2).count() == 2
+    assert [r.url[-15:] for r in pageviews.month_urls(spark, "http://x/", 2023, 12, 2024, 1).collect()] == ["202312-user.bz2", "202401-user.bz2"]
+    assert pageviews.urls_of_months(lines.select(F.lit(None).cast("timestamp").alias("t")), "t", "x").collect() == []
+
+
+def test_articles_views_and_tables(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "page_id int, title string")
+    for lang in ("is", "no", "is"):
+        sinks.write_articles(rows, str(tmp_path / "a"), lang)
+    assert sorted((r.lang, r.page_id) for r in spark.read.parquet(str(tmp_path / "a")).collect()) == [("is", 1), ("no", 1)]
+    assert sinks.create_if_absent(rows, "once") and not sinks.create_if_absent(rows.limit(0), "once") and spark.table("once").count() == 1
+    sinks.create_view(rows, "seen")
+    assert spark.table("seen").count() == 1
+    for name in ("once", "seen", "once"):
+        sinks.drop(spark, name)
+    assert not spark.catalog.tableExists("once") and not spark.catalog.tableExists("seen")
+    assert sinks.set_columns(rows, title=F.upper("title")).first().title == "A"
+    sinks.write_json(spark.createDataFrame([("é",)], "t string"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().t == "é" and any("é" in f.read_text() for f in (tmp_path / "j").glob("*.json"))
+
+
+def test_first_of_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, 5, "b"), (1, 4, "c"), (2, None, "d"), (1, 4, "a")], "page_id int, revision_id int, title string")
+    assert sorted((r.page_id, r.title) for r in wikidump.distinct_pages(pages).collect()) == [(1, "a"), (2, "d")]
+    assert [tuple(r) for r in web.listing(spark.createDataFrame([('<div class="recent-answers"><a href="/a">A</a></div><a href="/b">B</a>',)], "h string"), "h").collect()] == [("A", "/a")]
