@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCHES = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 #: Bytes of text that one Python step holds at once.
 WINDOW_BYTES = 8 << 20
+#: Bytes of a row group of the tables that cut lineage; a task that writes texts holds one in memory.
+ROW_GROUP_BYTES = 16 << 20
 #: Keys that are broadcast because they are frequent are at most so many, by the choice of what counts as frequent.
 HOT_KEYS = 100_000
 
@@ -44,7 +47,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_SHUFFLES)
     spark.conf.set(_CLEAN_SHUFFLES, "true")  # the table replaces the shuffles that made it
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     made = spark.read.schema(df.schema).parquet(path)
@@ -61,8 +64,8 @@ def discard(made: DataFrame) -> None:
 
 
 def bound_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) -> None:
-    """Let Spark send batches of at most about `size` bytes and `rows` rows to Python; a session with lower bounds keeps them."""
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+    """Let Spark send batches of at most about `size` bytes and `rows` rows to Python, and read Parquet by rows / 4; a session with lower bounds keeps them."""
+    for key, most in zip(_BATCHES, (size, rows, rows // 4), strict=True):
         now = int(re.sub(r"\D", "", spark.conf.get(key)))
         if not 0 < now <= most:  # 0: no bound
             spark.conf.set(key, str(most))
@@ -71,13 +74,12 @@ def bound_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) ->
 @contextlib.contextmanager
 def batches_bounded(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) -> Iterator[None]:
     """`bound_batches` for the jobs that run within; the session's own settings are there again afterwards."""
-    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
-    before = [spark.conf.get(k) for k in keys]
+    before = [spark.conf.get(k) for k in _BATCHES]
     bound_batches(spark, size, rows)
     try:
         yield
     finally:
-        for k, v in zip(keys, before, strict=True):
+        for k, v in zip(_BATCHES, before, strict=True):
             spark.conf.set(k, v)
 
 
