@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from ..sources.store import remove, scratch
 
+#: Nodes that are broadcast because they have many links are at most so many, by the choice of what counts as many.
+HUBS = 100_000
+
 
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder."""
     path = scratch(df.sparkSession, "graph")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
 
 
 class _Buckets:
@@ -168,16 +173,52 @@ def largest_strong_component(edges: DataFrame) -> DataFrame:
     return strong_components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n").alias("size"))
 
 
+def _with_least(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Rows (a, b) with `least`, the least of a and all its b.
+
+    The table of least neighbours comes from partial sums. Nodes of more than max(1000, n_edges / HUBS) rows, of which there can be no more than HUBS,
+    are broadcast and their links stay where they are; all others meet in a shuffle in which no node is frequent.
+    """
+    most = max(1000, n_edges // HUBS)
+    table = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k")).select("a", F.least("a", "m").alias("least"), "k")
+    hubs = F.broadcast(table.where(F.col("k") > most).drop("k"))
+    others = edges.join(hubs.select("a"), "a", "left_anti").join(table.where(F.col("k") <= most).drop("k").hint("merge"), "a")
+    return edges.join(hubs, "a").unionByName(others)
+
+
+def _star_step(edges: DataFrame, large: bool) -> tuple[DataFrame, int]:
+    """One step of star contraction on links (a, b) with a > b: (written links, how many of them moved).
+
+    The large step hangs the larger neighbours of each node on the least of it and its neighbours, the small step its smaller neighbours and the node itself.
+    """
+    n = edges.count()
+    seen = Observation(f"stars-{uuid.uuid4().hex}")
+    if large:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rows = _with_least(both, 2 * n).where("b > a").observe(seen, F.count_if(F.col("least") != F.col("a")).alias("moved"))
+        new = rows.select(F.col("b").alias("a"), F.col("least").alias("b"))
+    else:
+        rows = _with_least(edges, n).observe(seen, F.count_if(F.col("least") != F.col("b")).alias("moved"))
+        ends = F.array(F.struct(F.col("a").alias("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        new = rows.select(F.inline(ends)).where("a <> b")
+    made = _written(new.distinct())
+    return made, seen.get["moved"]
+
+
 def weak_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node joined by links of any direction."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    both = _written(both)
-    labels = _written(nodes(edges).withColumn("label", F.col("node")))
-    while True:
-        heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, labels.node == heard.a, "left").select("node", "label", F.least("label", F.coalesce("heard", "label")).alias("next"))
-        jump = new.select(F.col("node").alias("at"), F.col("next").alias("far"))
-        new = _written(new.join(jump, new["next"] == jump["at"], "left").select("node", "label", F.least("next", F.coalesce("far", "next")).alias("next")))
-        if not new.where("next <> label").limit(1).count():
-            return new.select("node", F.col("next").alias("component"))
-        labels = new.select("node", F.col("next").alias("label"))
+    """(node, component): the least node joined by links of any direction.
+
+    Large and small star steps by turns, until neither moves a link; the number of rounds grows with the logarithm of the longest path, and no
+    node's links meet in one task. A null end is a node of its own that links with nothing; an empty table gives no rows.
+    """
+    spark = edges.sparkSession
+    known = edges.where("src is not null and dst is not null and src <> dst")
+    stars = _written(known.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    moved = 0 if stars.isEmpty() else 1
+    while moved:
+        moved = 0
+        for large in (True, False):
+            before, (stars, some) = stars, _star_step(stars, large)
+            remove(spark, before.written_to)
+            moved += some
+    return nodes(edges).join(stars, F.col("node") == F.col("a"), "left").select("node", F.coalesce("b", "node").alias("component"))

@@ -65,9 +65,50 @@ def _scalar(value: str):
     return value
 
 
-def read_table(spark: SparkSession, url: str, table: str, limit: int | None = None, **options: str) -> DataFrame:
-    """A database table over JDBC."""
-    df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, parts: int, **options: str) -> list[str]:
+    """At most `parts` conditions on a whole-number key, which hold of about as many rows each; every row, also one without a key, meets exactly one.
+
+    The database counts the rows of 16 * parts equal ranges, and again within each range that holds more than half a part, down to single keys;
+    neighbouring ranges are put together by these counts. Only a single key that very many rows have makes a larger part. An empty table has the one
+    condition that always holds.
+    """
+
+    def ask(sql: str) -> list:
+        return spark.read.format("jdbc").options(url=url, query=sql, **options).load().collect()
+
+    def counted(low: int, high: int, pieces: int) -> list[tuple[int, int, int]]:
+        """(least key, largest key, rows) of each of the ranges that holds any, ascending."""
+        inside = f"SELECT {key} AS k, FLOOR({key} / {(high + 1 - low) // pieces + 1}) AS place FROM {table} WHERE {key} >= {low} AND {key} <= {high}"
+        found = ask(f"SELECT place, MIN(k) AS low, MAX(k) AS high, COUNT(*) AS n FROM ({inside}) placed GROUP BY place")
+        return sorted((int(x), int(y), int(n)) for _, x, y, n in found)
+
+    low, high = ask(f"SELECT MIN({key}) AS low, MAX({key}) AS high FROM {table}")[0]
+    if low is None or parts < 2:
+        return ["1 = 1"]
+    counts = counted(int(low), int(high), 16 * parts)
+    total = sum(n for *_, n in counts)
+    while any(crowded := [2 * parts * n > total and x < y for x, y, n in counts]):
+        counts = [r for r, cut in zip(counts, crowded, strict=True) for r in (counted(r[0], r[1], 16) if cut else [r])]
+    held, bounds = 0, []
+    for (*_, n), (after, *_) in zip(counts, counts[1:], strict=False):
+        held += n
+        if held * parts >= total * (len(bounds) + 1) and len(bounds) < parts - 1:
+            bounds.append(after)
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{key} >= {x} AND {key} < {y}" for x, y in zip(bounds, bounds[1:], strict=False)]
+    return [f"{key} < {bounds[0]} OR {key} IS NULL", *inner, f"{key} >= {bounds[-1]}"]
+
+
+def read_table(spark: SparkSession, url: str, table: str, limit: int | None = None, key: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A database table over JDBC; with a whole-number `key` (as the database's SQL names it) in up to `parts` partitions of about as many rows.
+
+    Each partition is a query of its own with a condition of `key_ranges`; filters, chosen columns and aggregates are handed to the database as well.
+    """
+    if key is None:
+        df = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    else:
+        df = spark.read.jdbc(url, table, predicates=key_ranges(spark, url, table, key, parts, **options), properties=options)
     return df if limit is None else df.limit(limit)
 
 
