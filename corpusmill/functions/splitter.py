@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,59 +18,95 @@ from .text import SPACE, normalize_whitespace, strip
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Parts that begin with the separator, but for the first."""
-    if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in [first, *(separator + r for r in rest)] if p]
-
-
-def _packed(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Neighbouring pieces joined up to `size` characters; each chunk repeats at most `overlap` of the one before."""
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        if window and total + len(piece) > size:
-            yield "".join(window)
-            while window and (total > overlap or total + len(piece) > size):
-                total -= len(window.pop(0))
-        window.append(piece)
-        total += len(piece)
-    if window:
-        yield "".join(window)
+class _Text:
+    """A text whose parts are told by their places; nothing is cut out of it but the chunks."""
+
+    def __init__(self, text: str):
+        self.text, self.codes = text, np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def bounds(self, start: int, end: int, separator: str) -> np.ndarray | range:
+        """Where the parts of text[start:end] begin, and its end; a part begins with the separator, but for the first."""
+        if not separator:
+            return range(start, end + 1)
+        if len(separator) == 1:
+            found = np.flatnonzero(self.codes[start:end] == ord(separator)) + start
+        else:
+            found = np.fromiter((m.start() for m in re.compile(re.escape(separator)).finditer(self.text, start, end)), np.int64)
+        return np.concatenate([[start], found[found > start], [end]])
+
+    def chunks(self, start: int, end: int, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
+        """Chunks of text[start:end]; parts that are too long and can't be split stay as they are, all others are stripped."""
+        chosen = next((i for i, s in enumerate(separators) if not s or self.text.find(s, start, end) >= 0), len(separators) - 1)
+        bounds, finer = self.bounds(start, end, separators[chosen]), separators[chosen + 1 :]
+        if isinstance(bounds, range):
+            large = range(len(bounds) - 1) if size <= 1 else ()
+        else:
+            large = np.flatnonzero(np.diff(bounds) >= size).tolist()
+        first = 0
+        for i in (*large, len(bounds) - 1):
+            yield from self._packed(bounds, first, i, size, overlap)
+            if i < len(bounds) - 1:
+                if finer:
+                    yield from self.chunks(int(bounds[i]), int(bounds[i + 1]), size, overlap, finer)
+                else:
+                    yield self.text[bounds[i] : bounds[i + 1]]
+            first = i + 1
+
+    def _packed(self, bounds: np.ndarray | range, first: int, last: int, size: int, overlap: int) -> Iterator[str]:
+        """Neighbouring parts from first to last, each shorter than size, in chunks up to it; each repeats at most `overlap` of the one before. Ends are found by search."""
+        while first < last:
+            end = bisect_right(bounds, bounds[first] + size, first + 1, last + 1) - 1
+            if chunk := self.text[bounds[first] : bounds[end]].strip():
+                yield chunk
+            if end == last:
+                return
+            first = bisect_left(bounds, max(bounds[end] - overlap, bounds[end + 1] - size), first, end)
 
 
 def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of at most `size` characters where the text can be split, stripped, without empty ones."""
     if overlap > size:
         raise ValueError("the overlap is larger than the chunks")
-    chosen = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    finer = separators[chosen + 1 :]
-    out: list[str] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        out.extend(c for c in (p.strip() for p in _packed(held, size, overlap)) if c)
-        held.clear()
-
-    for piece in _pieces(text, separators[chosen]):
-        if len(piece) < size:
-            held.append(piece)
-            continue
-        flush()
-        out.extend(split_recursive(piece, size, overlap, finer) if finer else [piece])
-    flush()
-    return out
-
-
-def split_column(text: Column, size: Column | int, overlap: int) -> Column:
-    """Chunks of each text; the size may differ by row."""
-
-    @F.arrow_udf("array<string>")
+    return list(_Text(text).chunks(0, len(text), size, overlap, separators)) if text else []
+
+
+def finished(chunks: list[str], least_words: int, min_words: int) -> list[tuple[str, int]]:
+    """Chunks of `least_words` or more with their numbers of words, short ones joined as in `combine_short` where min_words is not 0; one pass."""
+    counted = [(c, n) for c in chunks if (n := len(c.split())) >= least_words]
+    if not min_words:
+        return counted
+    done: list[tuple[str, int]] = []
+    parts: list[str] = []
+    words, long = 0, False
+    for chunk, n in counted:
+        if n >= min_words and long:
+            done.append((" ".join(parts), words))
+            parts, words = [], 0
+        elif n >= min_words and parts:
+            parts = [" ".join(parts).strip()]
+        parts.append(chunk)
+        words, long = words + n, long or n >= min_words
+    if parts:
+        joined = " ".join(parts)
+        done.append((joined if long else joined.strip(), words))
+    return done
+
+
+def split_counted(text: Column, size: Column | int, overlap: int, least_words: int = 0, min_words: int = 0) -> Column:
+    """Of each text an array of (chunk, words): split, short chunks discarded, short ones joined, in one Python step. The size may differ by row; a null text has null."""
+
+    @F.arrow_udf("array<struct<chunk:string,words:int>>")
     def split(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("chunk", pa.string()), ("words", pa.int32())])
         for texts, sizes in batches:
-            yield pa.array([None if t is None else split_recursive(t, n, overlap) for t, n in zip(texts.to_pylist(), sizes.to_pylist(), strict=True)], pa.list_(pa.string()))
+            offsets, chunks, words = [0], [], []
+            for t, n in zip(texts, sizes, strict=True):
+                for chunk, k in finished(split_recursive(t.as_py(), n.as_py(), overlap), least_words, min_words) if t.is_valid else ():
+                    chunks.append(chunk)
+                    words.append(k)
+                offsets.append(len(chunks))
+            rows = pa.StructArray.from_arrays([pa.array(chunks, pa.string()), pa.array(words, pa.int32())], fields=list(kind))
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=texts.is_null())
 
     return split(text, size if isinstance(size, Column) else F.lit(size))
 
@@ -93,13 +132,15 @@ def combine_short(chunks: Column, min_words: int) -> Column:
     return F.aggregate(chunks, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(F.when(s["long"], s["open"]).otherwise(strip(s["open"]))))))
 
 
-def split_text(text: Column, chunk_size: Column | int, chunk_overlap: int, discard_chunk_n_words_cutoff: int = 0, clean_whitespace: bool = True, clean_html: bool = False, min_words_per_chunk: int = 0) -> Column:
-    """Strip markup, normalise white space, split, discard short chunks, join short ones."""
+def split_text_counted(text: Column, chunk_size: Column | int, chunk_overlap: int, discard_chunk_n_words_cutoff: int = 0, clean_whitespace: bool = True, clean_html: bool = False, min_words_per_chunk: int = 0) -> Column:
+    """Strip markup, normalise white space, split, discard short chunks, join short ones: an array of (chunk, words)."""
     if clean_html:
         text = html_text_column(text)
     if clean_whitespace:
         text = normalize_whitespace(text)
-    chunks = split_column(text, chunk_size, chunk_overlap)
-    if discard_chunk_n_words_cutoff:
-        chunks = discard_short(chunks, discard_chunk_n_words_cutoff)
-    return combine_short(chunks, min_words_per_chunk) if min_words_per_chunk else chunks
+    return split_counted(text, chunk_size, chunk_overlap, discard_chunk_n_words_cutoff, min_words_per_chunk)
+
+
+def split_text(*args, **options) -> Column:
+    """The chunks of `split_text_counted`."""
+    return split_text_counted(*args, **options)["chunk"]

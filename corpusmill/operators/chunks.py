@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.splitter import split_text
+from ..functions.splitter import split_text, split_text_counted
 
 
 def chunk_articles(articles: DataFrame, text_col: str, chunk_size: Column | int, overlap: int = 300, discard: int = 12, min_words: int = 45) -> DataFrame:
     """articles with chunk_size, split_text, n_chunks and n_words_per_chunk."""
     size = chunk_size if isinstance(chunk_size, Column) else F.lit(chunk_size)
     out = articles.withColumn("chunk_size", size.cast("int"))
-    out = out.withColumn("split_text", split_text(T.strip(F.col(text_col)), F.col("chunk_size"), overlap, discard, True, False, min_words))
-    return out.withColumns({"n_chunks": F.size("split_text"), "n_words_per_chunk": F.transform("split_text", T.word_count)})
+    out = out.withColumn("_split", split_text_counted(T.strip(F.col(text_col)), F.col("chunk_size"), overlap, discard, True, False, min_words))
+    return out.withColumns({"split_text": F.col("_split.chunk"), "n_chunks": F.size("_split"), "n_words_per_chunk": F.col("_split.words")}).drop("_split")
 
 
 def create_chunks(articles: DataFrame, language: str, index_name: str, namespace: str, title: str = "title", url: str = "url", text_col: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
