@@ -274,6 +274,11 @@ def first_short_chunk(spark, d):
     return stats.first_short_chunk(_line_chunks(spark, d), "doc_id", "n_words_per_chunk", 20)
 
 
+@_query(f"SELECT doc_id, CAST(min(pos) - 1 AS INT) AS place FROM (SELECT doc_id, pos, {_WC} AS words FROM (SELECT doc_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS pos FROM {_LINES})) WHERE words = 12 GROUP BY doc_id")
+def first_chunk_of_words(spark, d):
+    return stats.first_chunk_of(_line_chunks(spark, d), "doc_id", "n_words_per_chunk", 12)
+
+
 @_query(f"SELECT doc_id, CAST(min({_WC}) AS INT) AS least, CAST(max({_WC}) AS INT) AS most FROM (SELECT doc_id, unnest(parts) AS c FROM {_LINES}) GROUP BY 1")
 def chunk_extremes(spark, d):
     return stats.extremes(_line_chunks(spark, d), "doc_id", "n_words_per_chunk")
@@ -479,6 +484,15 @@ def citation_names(spark, d):
     return joins.with_source_names(_read(spark, d, "documents").select(F.col("doc_id").alias("id")), sources)
 
 
+@_query(
+    """SELECT d.doc_id AS id, coalesce(s.role, 'Unknown') AS source FROM documents d
+    LEFT JOIN (SELECT conv_id, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST) = 1) s ON d.doc_id = s.conv_id"""
+)
+def citation_names_in_order(spark, d):
+    sources = _read(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("ord"), F.col("role").alias("source"))
+    return joins.with_source_names(_read(spark, d, "documents").select(F.col("doc_id").alias("id")), sources)
+
+
 _EDGES = "edges AS (SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 's' || CAST(l_partkey % 97 AS VARCHAR) AS dst FROM lineitem)"
 
 

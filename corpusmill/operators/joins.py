@@ -48,8 +48,9 @@ def cited_chunks(answers: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def with_source_names(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations with the name of the first source of their id, or Unknown."""
-    first = sources.groupBy("id").agg(F.min_by("source", "ord").alias("source")) if "ord" in sources.columns else sources.groupBy("id").agg(F.min("source").alias("source"))
+    """Citations with the name of the first source of their id, or Unknown. First is the least `ord`, where sources have it (null: last), then the least name."""
+    order = [x for c in ("ord", "source") if c in sources.columns for x in (F.col(c).isNull(), F.col(c))]
+    first = sources.groupBy("id").agg(F.min_by("source", F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)])).alias("source"))
     return citations.join(first, "id", "left").withColumn("source", F.coalesce("source", F.lit("Unknown")))
 
 

@@ -105,6 +105,11 @@ def first_short_chunk(df: DataFrame, key: str, counts: str, below: int) -> DataF
     return rows.orderBy(key, "place").limit(1)
 
 
+def first_chunk_of(df: DataFrame, key: str, counts: str, words: int) -> DataFrame:
+    """Of each row that has one, the place of the first chunk with exactly that many words; a row's own list tells it, so nothing is shuffled."""
+    return df.select(key, (F.array_position(counts, words) - 1).cast("int").alias("place")).where("place >= 0")
+
+
 def extremes(df: DataFrame, key: str, counts: str) -> DataFrame:
     return df.select(key, F.array_min(counts).alias("least"), F.array_max(counts).alias("most"))
 
