@@ -4,7 +4,8 @@ Texts are equal when they are identical without the characters `[\\x20\\x09-\\x0
 full content (compressed, which is one-to-one) and not digests alone:
 
 1. every task combines the copies among the rows it has read (windows of bounded size);
-2. those winners meet by (digest, salt), so a digest with a third of all rows is spread over `salts` tasks;
+2. those winners meet by (digest, salt), so a digest with a third of all rows is spread over `salts` tasks, by default as many as
+   the session shuffles to (16 at least), so the spread of a hot text grows with the partitions that the data needs;
 3. the winners of the salts meet by digest: at most `salts` rows for each content.
 
 Only winners carry content; members travel as one list of ids for each local group, which is joined to the result of stage 3
@@ -134,8 +135,9 @@ def _combine_global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     return _batches(rows(), _FINAL)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    salts = salts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     local = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id")).mapInArrow(_combine_local, _DDL["local"])
     salted = local.withColumn("salt", F.pmod(F.xxhash64("gid"), F.lit(salts))).repartition("sha", "salt").sortWithinPartitions("sha").drop("salt")
     salted = materialize(salted.mapInArrow(_combine_salted, _DDL["salted"]), "dedup")

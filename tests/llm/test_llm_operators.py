@@ -275,6 +275,20 @@ def test_token_counts_equal_the_library(spark, odd):
     assert token_counts.token_counts(table(spark, []), path, []).collect() == []
 
 
+def test_frequent_long_pre_tokens_do_not_meet(spark):
+    """A rule of dashes in all rows, a longer one in two thirds: counted where they are read, so no line of theirs is shuffled."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(12)
+    rule, other = "-" * 80, "=" * 3000
+    rows = [(i, f"{words(rng, 3, 10**9)} {rule if i % 3 else other} {words(rng, 2)}\n{rule}") for i in range(1200)]
+    docs, encode = table(spark, rows).repartition(6), token_counts.tokenizer(path)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()}
+    assert got == {i: len(encode([t])[0]) for i, t in rows}
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    lines = token_counts.pre_token_lines(texts, path, token_counts._special([]).pattern, 2e-6, 150_000, 64)
+    assert lines.where("length(unit) > 64").isEmpty()
+    assert lines.groupBy("unit").count().where("unit is not null").agg(F.max("count")).first()[0] < 10
+
+
 # piece sampling
 
 
