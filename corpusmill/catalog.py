@@ -379,6 +379,35 @@ def outlinks_regex(spark, d):
     return _read(spark, d, "documents").select("doc_id", T.link_targets(w).alias("l")).select("doc_id", F.size("l").alias("outlinks"), F.array_join("l", ",").alias("targets"))
 
 
+_LINKED = "(SELECT doc_id, '[[' || lang || '|the language]] [[Category: ' || source || '|' || doc_id || ']] [[Category:' || lang || ' ]] ' || text AS w FROM documents)"
+
+
+@_query(
+    r"""SELECT doc_id, array_to_string(regexp_extract_all(w, '\[\[Category:(.*?)\]\]', 1), '#') AS with_keys, array_to_string(c, '|') AS categories, CAST(len(c) AS INT) AS n_categories
+    FROM (SELECT *, list_transform(list_filter(regexp_extract_all(w, '\[\[([^|\]]+)', 1), lambda x: starts_with(x, 'Category:')), lambda x: trim(substr(x, 10))) AS c FROM """
+    + _LINKED
+    + ")"
+)
+def category_links(spark, d):
+    """Category links by pattern, with their sort keys, and the categories among the links' titles."""
+    w = F.concat(F.lit("[["), "lang", F.lit("|the language]] [[Category: "), "source", F.lit("|"), F.col("doc_id").cast("string"), F.lit("]] [[Category:"), "lang", F.lit(" ]] "), "text")
+    found = _read(spark, d, "documents").select("doc_id", T.category_bodies(w).alias("b"), T.categories_of_links(T.link_targets(w)).alias("c"))
+    return found.select("doc_id", F.array_join("b", "#").alias("with_keys"), T.joined(F.col("c")).alias("categories"), F.size("c").alias("n_categories"))
+
+
+@_query("SELECT string_split(url, '/')[-2] AS folder, count(*) AS n, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
+def folders_of_paths(spark, d):
+    """The last folder of each page's address, as languages stand in the paths of dumps."""
+    return _read(spark, d, "pages").groupBy(T.path_language(F.col("url")).alias("folder")).agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+@_query(r"SELECT doc_id, length(t) AS n, sha256(t) AS text_sha256 FROM (SELECT doc_id, regexp_replace(chr(9) || ' ' || text || chr(13) || chr(10), '^\s+|\s+$', '', 'g') AS t FROM documents)")
+def stripped_articles(spark, d):
+    """Articles without white space at their ends, as they are before they are cut into chunks."""
+    t = T.strip(F.concat(F.lit("\t "), "text", F.lit("\r\n")))
+    return _read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
+
+
 @_query()
 def split_text_chunks(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", splitter.split_text(F.col("text"), popularity.random_chunk_size(F.col("doc_id")), 300, 12, True, False, 45).alias("c"))
@@ -813,3 +842,16 @@ def pageviews_from_lines(spark, d):
     _lines(spark, d).select("month", parts.alias("value")).write.partitionBy("month").option("compression", "bzip2").text(path)
     lines = pageviews.read_lines(spark, path, "part-*.bz2", month_of_folder=True)
     return popularity.monthly_views(pageviews.parse(lines, ["view", "click"], "month"), "month").withColumn("page_ids", F.array_join("page_ids", ","))
+
+
+@_query(
+    _CTE
+    + """SELECT wiki_code, article_title, page_id, 'mobile-web' AS access_method, views AS daily_total, 'A' || views || 'B2' AS hourly_counts
+    FROM lines WHERE page_id IS NOT NULL AND starts_with(wiki_code, 'p') AND views % 10 <> 0"""
+)
+def strict_prefix_lines(spark, d):
+    """All six columns of the pageview lines that begin with a prefix; lines of five parts are skipped."""
+    path, v = scratch(spark, "strict"), F.col("views")
+    parts = F.concat_ws(" ", "wiki_code", "article_title", F.when(v % 10 != 0, F.col("page_id")), F.lit("mobile-web"), v.cast("string"), F.concat(F.lit("A"), v.cast("string"), F.lit("B2")))
+    _lines(spark, d).select(parts.alias("value")).write.option("compression", "bzip2").text(path)
+    return pageviews.parse_strict(pageviews.read_lines(spark, path, "part-*.bz2").drop("month"), "p")
