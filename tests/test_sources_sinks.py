@@ -329,3 +329,32 @@ def test_first_of_repeated_pages(spark):
     pages = spark.createDataFrame([(1, 5, "b"), (1, 4, "c"), (2, None, "d"), (1, 4, "a")], "page_id int, revision_id int, title string")
     assert sorted((r.page_id, r.title) for r in wikidump.distinct_pages(pages).collect()) == [(1, "a"), (2, "d")]
     assert [tuple(r) for r in web.listing(spark.createDataFrame([('<div class="recent-answers"><a href="/a">A</a></div><a href="/b">B</a>',)], "h string"), "h").collect()] == [("A", "/a")]
+
+
+def _plain_search(q, v, k):
+    """Scores of all pairs, one number after the other; nulls last, ids decide."""
+    out = []
+    for qid, a in q:
+        found = []
+        for i, b in v:
+            if a is None or b is None or len(a) != len(b):
+                found.append((2, 0.0, i, None))
+                continue
+            d, x, y = (sum(map(float.__mul__, m, n)) if m else 0.0 for m, n in ((a, b), (a, a), (b, b)))
+            s = max(-1.0, min(1.0, d / (x * y) ** 0.5)) if x and y else 0.0
+            found.append((1, -s, i, s))
+        out += [(qid, r, i, None if s is None else round(s, 9)) for r, (_, _, i, s) in enumerate(sorted(found)[:k], 1)]
+    return sorted(out)
+
+
+def test_search_of_copies_zeros_nulls_and_other_dimensions_is_the_plain_search(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    own = [[float(rng.randrange(-4, 5)) for _ in range(3)] for _ in range(60)]
+    v = [(str(i), own[rng.randrange(60)]) for i in range(400)] + [("z", [0.0] * 3), ("n", None), ("m", None), ("e", []), ("w", [1.0, 2.0]), ("w2", [3.0, 1.0])]
+    q = [(i, own[i]) for i in range(40)] + [(40, None), (41, [0.0] * 3), (42, [1.0, 1.0]), (43, [])]
+    monkeypatch.setattr(vectors, "_VECTORS", 16)
+    tables = spark.createDataFrame(q, "qid int, vector array<float>"), spark.createDataFrame(v, "id string, values array<float>").repartition(3)
+    got = sorted((r.qid, r["rank"], r.id, None if r.score is None else round(r.score, 9)) for r in vectors.search(*tables, 5).collect())
+    assert got == _plain_search(q, v, 5)
