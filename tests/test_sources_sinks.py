@@ -358,3 +358,23 @@ def test_search_of_copies_zeros_nulls_and_other_dimensions_is_the_plain_search(s
     tables = spark.createDataFrame(q, "qid int, vector array<float>"), spark.createDataFrame(v, "id string, values array<float>").repartition(3)
     got = sorted((r.qid, r["rank"], r.id, None if r.score is None else round(r.score, 9)) for r in vectors.search(*tables, 5).collect())
     assert got == _plain_search(q, v, 5)
+
+
+def test_search_of_many_queries_scores_few_pairs_number_by_number(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.normal(size=(2000, 16))
+    pairs = []
+    plain = vectors._dot
+    monkeypatch.setattr(vectors, "_dot", lambda a, b: pairs.append(len(a)) or plain(a, b))
+    import pyarrow as pa
+
+    top = vectors._Top(16, np.arange(200), values[:200], 5)
+    for at in range(0, 2000, 500):
+        some = values[at : at + 500]
+        square = plain(some, some)
+        top.add(some, square, vectors._unit(some, square), pa.array([str(i) for i in range(at, at + 500)]))
+    assert sum(pairs[1:]) < 200 * 2000 / 50
+    exact = (values[:200] @ values.T) / np.outer(np.linalg.norm(values[:200], axis=1), np.linalg.norm(values, axis=1))
+    assert top.ids.to_pylist() == [str(i) for row in exact for i in np.argsort(-row)[:5]]
