@@ -183,3 +183,22 @@ def test_empty_sql_files(spark, tmp_path):
     (tmp_path / "a.sql").write_text("")
     (tmp_path / "b.sql").write_text("-- nothing\n")
     assert sqldump.read_sql_dump(spark, str(tmp_path), "t", ["a"]).collect() == []
+
+
+def test_a_page_is_parsed_once_and_tokens_are_those_of_a_plain_search(spark, monkeypatch):
+    import random
+
+    from corpusmill.functions import wikitext
+    from corpusmill.sources import wikidump
+
+    rows = [("<page><title>A</title><ns>0</ns><id>7</id><revision><text>{{x}} [[Category:C]] one two</text></revision></page>",), ("<page><title>B</title><ns>1</ns><id>8</id><revision><text>talk</text></revision></page>",)]
+    found = wikidump.articles(wikidump.pages_of(spark.createDataFrame(rows, "record string")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_xml(") == 1 and plan.count("ArrowEvalPython") == 1
+    assert [(r.page_id, r.word_count, r.categories, r.template_count) for r in found.collect()] == [(7, 2, "C", 1)]
+
+    rng, bits = random.Random(3), ["<!--", "-->", "<pre>", "</pre>", "<ref>", "</ref>", "{{{", "{{", "}}", "}", "[", "]", "[[", "]]", "|", "{|", "|}", "\n", " ", "\t", ":", "http://a.b/c", "HTTPS://x", "ftp://z", "//", "'", "'''", "_", "__TOC__", "ab", "== h ==", "#", "----"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(5000)]
+    fast = [wikitext.parse_wikitext(t) for t in texts]
+    monkeypatch.setattr(wikitext, "_next_token", lambda t, at: wikitext._TOKEN.search(t, at))
+    assert fast == [wikitext.parse_wikitext(t) for t in texts]
