@@ -359,17 +359,20 @@ def url_encode(spark, d):
 
 @_query()
 def html_text_of_pages(spark, d):
+    html_text.bound_batches(spark)
     return _read(spark, d, "pages").select("page_id", html_text.html_text_column(F.col("html")).alias("text"))
 
 
 @_query()
 def html_main_article(spark, d):
+    html_text.bound_batches(spark)
     marked = F.regexp_replace("html", "<article>", '<article id="main">')
     return _read(spark, d, "pages").select("page_id", html_text.main_article_column(marked, "main").alias("text"))
 
 
 @_query("""SELECT page_id, a AS url FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS a FROM pages)""")
 def html_links(spark, d):
+    html_text.bound_batches(spark)
     return _read(spark, d, "pages").select("page_id", F.explode(html_text.links_column(F.col("html"))).alias("a")).select("page_id", F.col("a.url").alias("url"))
 
 

@@ -91,3 +91,31 @@ def test_wikitext():
     assert got["links"] == ["A", "Category:C", "B", "File:f.jpg"]
     assert got["templates"] == ["U", "T"]
     assert got["external_links"] == ["http://x.org"]
+
+
+def test_pages_wait_for_no_collection_of_cycles_and_batches_are_small(spark):
+    import gc
+
+    import pyarrow as pa
+
+    from corpusmill import catalog
+    from corpusmill.functions import html_text
+
+    page = "<div id=main><p>a<script>x</script><b>b</p>c<br/></div>" * 20
+    gc.collect()
+    gc.disable()
+    try:
+        html_text._map(pa.array([page] * 50), html_text.html_to_text, pa.string())
+        html_text._map(pa.array([page] * 50), lambda v: html_text.main_article(v, "main", ""), pa.string())
+        assert sum(isinstance(o, html_text._Node) for o in gc.get_objects()) == 0
+    finally:
+        gc.enable()
+    assert html_text.html_to_text("<p>" * 5000 + "deep") == "deep"
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        pages = catalog.html_text_of_pages(spark, "/root/testdata/sf0.001")
+        assert pages.count() == 50 and [int(spark.conf.get(k)) for k in keys] == [4 << 20, 500]
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
