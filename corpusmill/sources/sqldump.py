@@ -25,7 +25,7 @@ from .store import opened, scratch
 STATES = ("", "'", '"', "`", "/*")
 _STEP = 1 << 20
 _OUTSIDE = re.compile(rb"""['"`;]|/\*|--(?=[\s])[^\n]*|\#[^\n]*""")
-_INSIDE = {"'": re.compile(rb"""(?:[^'\\]|\\.)*'""", re.S), '"': re.compile(rb"""(?:[^"\\]|\\.)*\"""", re.S), "`": re.compile(rb"[^`]*`"), "/*": re.compile(rb".*?\*/", re.S)}
+_INSIDE = {"'": re.compile(rb"""[^'\\]*+(?:\\.[^'\\]*+)*+'""", re.S), '"': re.compile(rb"""[^"\\]*+(?:\\.[^"\\]*+)*+\"""", re.S), "`": re.compile(rb"[^`]*`"), "/*": re.compile(rb".*?\*/", re.S)}
 
 
 def scan(data: bytes, state: str) -> tuple[str, list[int]]:
@@ -106,7 +106,7 @@ def _statements(part: _Range, state: str) -> Iterator[bytes]:
 
 
 _INSERT = re.compile(rb"(?:\s|--[^\n]*\n|\#[^\n]*\n|/\*.*?\*/)*(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?INTO\s+(?:[`\"]?[\w$]+[`\"]?\.)?[`\"]?(?P<table>[\w$]+)[`\"]?\s*(?:\((?P<columns>[^()]*)\))?\s*VALUES\s*", re.I | re.S)
-_VALUE = re.compile(r"""\s*(?:_\w+\s*)?(?:'((?:[^'\\]|\\.|'')*)'|"((?:[^"\\]|\\.|"")*)"|([^,()'"]*(?:\([^()]*\))?[^,()'"]*))\s*([,)])""", re.S)
+_VALUE = re.compile(r"""\s*(?:_\w+\s*)?(?:'([^'\\]*(?:(?:\\.|'')[^'\\]*)*)'|"([^"\\]*(?:(?:\\.|"")[^"\\]*)*)"|([^,()'"]*(?:\([^()]*\))?[^,()'"]*))\s*([,)])""", re.S)
 _ESCAPE = re.compile(r"\\(.)|''|\"\"", re.S)
 #: What letters stand for behind a backslash; other characters stand for themselves.
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "Z": "\x1a"}

@@ -202,3 +202,21 @@ def test_a_page_is_parsed_once_and_tokens_are_those_of_a_plain_search(spark, mon
     fast = [wikitext.parse_wikitext(t) for t in texts]
     monkeypatch.setattr(wikitext, "_next_token", lambda t, at: wikitext._TOKEN.search(t, at))
     assert fast == [wikitext.parse_wikitext(t) for t in texts]
+
+
+def test_a_long_quoted_value_is_passed_over_without_a_note_for_each_character():
+    import tracemalloc
+
+    from corpusmill.sources import sqldump
+
+    value = b"it\\'s " + b"x" * 1_000_000
+    tracemalloc.start()
+    try:
+        assert sqldump.scan(value + b"';", "'") == ("", [len(value) + 2])
+        assert sqldump.scan(value, "'") == ("'", [])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 10_000_000
+    row = list(sqldump.sql_tuples("INSERT INTO `p` VALUES (1,'" + "y" * 100_000 + "''\\'" + "'),(2,NULL);"))
+    assert row == [["1", "y" * 100_000 + "''"], ["2", None]]
