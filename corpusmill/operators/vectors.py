@@ -19,8 +19,8 @@ from ..sources.store import opened, remove, scratch
 
 #: Bytes of the queries' vectors that every task holds at once; more queries are searched in blocks of that size.
 QUERY_BYTES = 64 << 20
-#: Vectors and queries that a task compares at once, and more than products of their matrices may be off.
-_VECTORS, _QUERIES, _MARGIN = 4096, 256, 1e-9
+#: Vectors and queries that a task compares at once, and pairs that it scores at once.
+_VECTORS, _QUERIES, _PAIRS = 4096, 256, 1 << 15
 
 
 def vector_id(safe_ids: bool) -> Column:
@@ -52,12 +52,12 @@ def check_dimension(vectors: DataFrame, dimension: int, col: str = "values") ->
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, namespace: str | None = None) -> DataFrame:
     """Exact cosine top k of each query: (qid, id, score, rank).
 
-    queries: (qid, vector), a stated set. They are written to the shared folder, and vectors stay where they are: each task reads up to QUERY_BYTES of queries
-    there and keeps its k best of each, so what moves is k rows for each query and task. More queries are dealt by a hash of their ids to blocks of that size,
-    which are searched one after the other; each writes its k rows a query.
+    queries: (qid, vector), a stated set. They are written to the shared folder, and vectors are dealt to tasks by a hash of their ids, because a file may hold all of
+    them in one row group: each task reads up to QUERY_BYTES of queries there and keeps its k best of each, so what moves is the vectors once and k rows for each query
+    and task. More queries are dealt by a hash of their ids to blocks of that size, which are searched one after the other; each writes its k rows a query.
 
-    A task finds candidates by products of matrices, with a margin for their rounding, and scores these one number after the other, so that equal vectors have
-    equal scores wherever they are, and ids decide. Vectors of zeros score 0; a missing vector, or one of another dimension than the query's, scores null, and is last.
+    A task finds candidates by products of matrices of floats, with a margin for their rounding, and scores these one number after the other in doubles, so that equal
+    vectors have equal scores wherever they are, and ids decide. Vectors of zeros score 0; a missing vector, or one of another dimension than the query's, scores null, and is last.
     """
     if namespace is not None:
         vectors = vectors.where(F.col("namespace") == namespace)
@@ -82,7 +82,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, namespace: str |
 def _search_block(queries: DataFrame, path: str, block: int, vectors: DataFrame, k: int) -> DataFrame:
     """The search of the queries in the folder of a block."""
     kind = vectors.schema["id"].dataType
-    found = vectors.select("id", "values").mapInArrow(partial(_best_of_task, path=f"{path}/block={block}", k=k), StructType([StructField("_q", LongType()), StructField("id", kind), StructField("score", DoubleType())]))
+    found = vectors.select("id", "values").repartition("id").mapInArrow(partial(_best_of_task, path=f"{path}/block={block}", k=k), StructType([StructField("_q", LongType()), StructField("id", kind), StructField("score", DoubleType())]))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     hits = found.join(queries.select("_q", "qid"), "_q").select("qid", "id", "score")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -140,9 +140,9 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _unit(rows: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """Rows of length 1; zeros stay zeros."""
+    """Rows of length 1, as floats; zeros stay zeros."""
     with np.errstate(invalid="ignore"):
-        return rows / np.sqrt(np.where(square == 0, 1, square))[:, None]
+        return (rows / np.sqrt(np.where(square == 0, 1, square))[:, None]).astype(np.float32)
 
 
 def _ids_order(ids: pa.Array) -> np.ndarray:
@@ -178,6 +178,7 @@ class _Top:
         self.unit = _unit(values, self.square)
         self.q, self.score, self.ids = np.empty(0, np.int64), np.empty(0), None
         self.floor = np.full(len(numbers), -np.inf)  # the score of the k-th
+        self.margin = ((dim or 0) + 16) * 2.0**-23  # at least twice what products of floats may be off, in any order of their sums
 
     def add(self, values: np.ndarray, square: np.ndarray, unit: np.ndarray, ids: pa.Array) -> None:
         with np.errstate(invalid="ignore"):
@@ -185,10 +186,14 @@ class _Top:
         floor = self.floor
         if near.shape[1] > self.k and np.isneginf(floor).any():
             floor = np.maximum(floor, np.partition(near, -self.k, axis=1)[:, -self.k])
-        q, v = np.nonzero(~(near < (floor - _MARGIN)[:, None]))  # what is no number is greatest, and stays
+        least = (floor - self.margin).astype(np.float32)[:, None]
+        q, v = np.divmod(np.flatnonzero(~(near < least)), near.shape[1])  # what is no number is greatest, and stays
+        dot = np.empty(len(q))
+        for i in range(0, len(q), _PAIRS):
+            dot[i : i + _PAIRS] = _dot(self.values[q[i : i + _PAIRS]], values[v[i : i + _PAIRS]])
         with np.errstate(invalid="ignore", divide="ignore"):
             length = np.sqrt(self.square[q] * square[v])
-            score = np.where(length == 0, 0.0, np.clip(_dot(self.values[q], values[v]) / length, -1, 1))
+            score = np.where(length == 0, 0.0, np.clip(dot / length, -1, 1))
         stay = ~(score < self.floor[q])
         if not stay.any():
             return

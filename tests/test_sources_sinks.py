@@ -378,3 +378,46 @@ def test_search_of_many_queries_scores_few_pairs_number_by_number(spark, monkeyp
     assert sum(pairs[1:]) < 200 * 2000 / 50
     exact = (values[:200] @ values.T) / np.outer(np.linalg.norm(values[:200], axis=1), np.linalg.norm(values, axis=1))
     assert top.ids.to_pylist() == [str(i) for row in exact for i in np.argsort(-row)[:5]]
+
+
+def test_search_deals_vectors_of_one_partition_to_tasks(spark, monkeypatch, tmp_path):
+    plain, folder = vectors._best_of_task, str(tmp_path)
+
+    def counted(batches, path, k):
+        import uuid
+
+        batches = list(batches)
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(sum(b.num_rows for b in batches)))
+        yield from plain(iter(batches), path, k)
+
+    monkeypatch.setattr(vectors, "_best_of_task", counted)
+    rows = [(i, [float(i % 7 + 1), float(i % 11), float(i % 13)]) for i in range(800)]
+    v = spark.createDataFrame([(str(i), x) for i, x in rows], "id string, values array<float>").coalesce(1)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would be merged again
+    spark.conf.set(merging, "false")
+    try:
+        found = vectors.search(spark.createDataFrame(rows[::100], "qid int, vector array<float>"), v, 5).collect()
+    finally:
+        spark.conf.unset(merging)
+    assert sorted((r.qid, r["rank"], r.id, round(r.score, 9)) for r in found) == _plain_search(rows[::100], [(str(i), x) for i, x in rows], 5)
+    seen = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert sum(seen) == 800 and max(seen) < 400
+
+
+def test_search_among_near_copies_is_exact_and_scores_few_pairs_at_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=32) + 1e-6 * rng.normal(size=(1000, 32))  # nearer to each other than products of floats can tell
+    at_once, plain = [], vectors._dot
+    square = plain(values, values)
+    top = vectors._Top(32, np.arange(200), values[:200], 5)
+    monkeypatch.setattr(vectors, "_dot", lambda a, b: at_once.append(len(a)) or plain(a, b))
+    for at in range(0, 1000, 500):
+        some = slice(at, at + 500)
+        top.add(values[some], square[some], vectors._unit(values[some], square[some]), pa.array([f"{i:03}" for i in range(at, at + 500)]))
+    assert sum(at_once) > 100_000 >= 3 * max(at_once)
+    exact = [sorted((-min(1.0, s), f"{i:03}") for i, s in enumerate(plain(np.tile(values[q], (1000, 1)), values) / np.sqrt(square[q] * square)))[:5] for q in range(200)]
+    assert list(zip((-top.score).tolist(), top.ids.to_pylist())) == [x for row in exact for x in row]
