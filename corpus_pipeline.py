@@ -45,7 +45,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays. Rows that repeat both id and text are one row first, the longest; rows without an id stay."""
     bound_batches(spark)
-    found = materialize(exact.exact_dedup(docs), "dedup-found")
+    judged = exact.exact_dedup(docs)
+    found = materialize(judged, "dedup-found")
+    discard(judged.contents)
     keys = ["doc_id", "text_sha256"]
     docs = docs.withColumn("text_sha256", F.sha2(F.translate(F.coalesce("text", F.lit("")), " \t\n\r\x0b\x0c", "").cast("binary"), 256))
     if not found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
@@ -58,7 +60,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity of 0.8 or more) the document with the smallest id stays."""
     bound_batches(spark)
-    found = jaccard_join.jaccard_components(docs, words=5, percent=80)
+    found = jaccard_join.jaccard_components(docs, words=5, percent=80, rounds=2)
     return _without(docs, found.where("doc_id <> component_id").select("doc_id"), ["doc_id"]).select(*COLUMNS)
 
 

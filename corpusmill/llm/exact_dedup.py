@@ -147,4 +147,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = salted.where("gid is not null").select("gid", "class2", "best_pos", "members").join(final, "class2")
     members = groups.select("gid", "best_pos", "keep_gid", "keep_id", "group_size", "text_sha256", F.posexplode("members").alias("pos", "doc_id"))
     kept = (F.col("gid") == F.col("keep_gid")) & (F.col("pos") == F.col("best_pos"))
-    return members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    out = members.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    out.contents = salted  # to be discarded by who has written the rows
+    return out

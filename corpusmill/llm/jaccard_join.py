@@ -10,8 +10,12 @@ at most. Which of the two a band uses is decided by cost, from the number of set
   sets index theirs as well. Shingles are frequent if `hot_share` of all classes have them; they are counted over all rows;
 * one-deletion neighbourhoods: signatures of each segment and of each segment less one shingle, for small sets.
 
-Sets that share a signature are candidates. A run of them is not expanded into pairs: its members are hung on its first one, in the task
-that read them first and then once for each such window, and the connected components of these links are the clusters in which all candidates lie. The
+Sets that share a signature are candidates. Of unlike sets a few share one by chance, more of them the more sets there are, so these are told
+apart before their texts are fetched: a set has a sketch of about as many bits as shingles, each of which turns one over. Sketches of two sets
+differ in no more bits than the sets differ in shingles, so a pair that differs in more than the similarity allows is no candidate, and none is
+lost. A group of one signature is not expanded into pairs: in a window, sets with nearly the sketch of the first are hung on it, and the first
+stands for them with the `slack` that this takes; over all windows, equal groups are one, the first member is compared with the others, and
+those that are not near it with all. The connected components of the links that remain are the clusters in which all candidates lie. The
 texts of candidates are fetched by a shuffle join, compressed. A cluster's texts meet in blocks of `block_bytes`: sets are
 compared exactly, by the words, through an inverted index; a member is compared with all others unless links have joined it to the block's
 first large component already, and only links that join components are returned. A cluster of several blocks has some pivots, which are
@@ -28,6 +32,7 @@ Shingles are hashed to 64 bits for counts and signatures, and classes (equal set
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -45,6 +50,10 @@ from .components import connected_components, forest
 _U = np.uint64
 #: Members of a cluster of several blocks that are sent to each of its blocks.
 PIVOTS = 8
+#: Most 64-bit words of a sketch. Beyond it unlike sets of over 70,000 shingles may seem near.
+SKETCH_WORDS = 512
+#: Words that are compared for one group at most; a larger one, whose members are not near its first, is linked as it is.
+GROUP_WORK = 2_000_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -185,24 +194,125 @@ def signatures(sets: list[np.ndarray], starts: list[int], plans: list[tuple[str,
     return np.concatenate(owners), np.concatenate(found)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Bits, at least as many as shingles up to a limit; each is whether an odd number of the shingles has this place."""
+    n = 64 * min(SKETCH_WORDS, 1 << max(1, (max(1, len(h)) - 1 >> 6).bit_length()))
+    odd = np.bincount((_mix(h + _U(0x5851F42D4C957F2D)) & _U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def own_slack(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sets of n and m shingles that are similar differ in own_slack(n) + own_slack(m) at most."""
+    return -(-(100 - percent) * n // (100 + percent))
+
+
+def distances(sketches: np.ndarray, first: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The bits in which sketches x[i] and y[i] differ; a wider one is folded. sketches: one behind the other, each from `first` on."""
+    out = np.zeros(len(x), np.int64)
+    kinds = width[x] << 32 | width[y]
+    for kind in np.unique(kinds):
+        at = np.flatnonzero(kinds == kind)
+        wide = (int(kind) >> 32, int(kind) & 0xFFFFFFFF)
+        step = max(1, (1 << 18) // max(wide))
+        for begin in range(0, len(at), step):
+            part = at[begin : begin + step]
+            own = (sketches[first[i[part]][:, None] + np.arange(w)].reshape(len(part), -1, min(wide)) for i, w in zip((x, y), wide, strict=True))
+            a, b = (np.bitwise_xor.reduce(m, axis=1) for m in own)
+            out[part] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
+
+
 @tidy
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links, and rows (sig, a) sorted by them: the links, and others from the first class of each signature to its other ones, a forest for each batch."""
-    last_sig = center = None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (null, a, b), and rows (sig, a, slack beyond the class's own) sorted by them: the links, a forest for each batch, and the groups of two classes and more that have a signature in common."""
+
+    def grouped(sig: np.ndarray, cid: np.ndarray, slack: np.ndarray) -> pa.RecordBatch:
+        last = np.concatenate([(sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1]), [True]])  # of a class that several tasks have read, the row with the largest slack
+        sig, cid, slack = sig[last], cid[last], slack[last]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        use = np.repeat(size > 1, size)
+        cid, slack, size = cid[use], slack[use], size[size > 1]
+        first = np.concatenate([[0], np.cumsum(size)])
+        if len(size):
+            # near copies have many signatures in common: equal groups once
+            key = np.add.reduceat(_mix(_mix(cid.view(np.uint64)) + slack.astype(np.uint64)), first[:-1])
+            once = np.zeros(len(size), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            use = np.repeat(once, size)
+            cid, slack, size = cid[use], slack[use], size[once]
+            first = np.concatenate([[0], np.cumsum(size)])
+        bounds, none = pa.array(first, pa.int32()), pa.nulls(len(size), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.ListArray.from_arrays(bounds, pa.array(cid, pa.int64())), pa.ListArray.from_arrays(bounds, pa.array(slack, pa.int64()))], ["a", "b", "members", "slack"])
+
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
         linked = batch.column("sig").is_null().to_numpy(zero_copy_only=False)
-        given = batch.filter(pa.array(linked))
-        rows = batch.filter(pa.array(~linked))
-        a, b = given.column("a").to_numpy(), given.column("b").to_numpy()
-        sig, cid = rows.column("sig").to_numpy(), rows.column("a").to_numpy()
-        if len(sig):
-            begins = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]])
-            at = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), -1))
-            centers = np.where(at >= 0, cid[np.maximum(at, 0)], center if center is not None else 0)
-            hung = ~begins & (centers != cid)
-            last_sig, center = sig[-1], centers[-1]
-            a, b = np.concatenate([a, centers[hung]]), np.concatenate([b, cid[hung]])
-        yield forest(a, b)
+        given, rows = batch.filter(pa.array(linked)), batch.filter(pa.array(~linked))
+        links = forest(given.column("a").to_numpy(), given.column("b").to_numpy())
+        yield pa.RecordBatch.from_arrays([*links.columns, pa.nulls(len(links), pa.list_(pa.int64())), pa.nulls(len(links), pa.list_(pa.int64()))], ["a", "b", "members", "slack"])
+        if rows.num_rows:
+            held = [np.concatenate([x, rows.column(c).to_numpy()]) for x, c in zip(held, ("sig", "a", "b"), strict=True)]
+            ended = np.searchsorted(held[0], held[0][-1])  # the last group may go on
+            if ended:
+                yield grouped(*(x[:ended] for x in held))
+                held = [x[ended:] for x in held]
+    if len(held[0]):
+        yield grouped(*held)
+
+
+def near_links(cid: np.ndarray, slack: np.ndarray, sketches: np.ndarray, first: np.ndarray, width: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the members of each group that are near by their sketches, or joined by such. begins: where each group begins, and the end."""
+    size = np.diff(begins)
+    center = np.repeat(begins[:-1], size)
+    at = np.arange(len(cid))
+    near = distances(sketches, first, width, center, at) <= slack[center] + slack
+    a, b = [cid[center[near]]], [cid[near]]
+    for g in np.flatnonzero((np.add.reduceat(~near, begins[:-1]) > 0) & (size > 2)).tolist():
+        own = at[begins[g] : begins[g + 1]]
+        label = np.where(near[own], 0, np.arange(len(own)))
+        rest = np.flatnonzero(label)
+        if len(rest) * int(width[own].sum()) > GROUP_WORK:
+            a.append(np.full(len(rest), cid[own[0]]))
+            b.append(cid[own[rest]])
+            continue
+        for x in rest.tolist():
+            if label[x]:  # the others are compared with this one, unless they are in the first one's component too
+                y = np.flatnonzero(distances(sketches, first, width, np.full(len(own), own[x]), own) <= slack[own[x]] + slack[own])
+                joined = np.unique(label[y])
+                if len(joined) > 1:
+                    a.append(np.full(len(y), cid[own[x]]))
+                    b.append(cid[own[y]])
+                    label[np.isin(label, joined)] = joined[0]
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+@tidy
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gid, a, slack, bits) sorted by group: the links of near members, a forest for each window."""
+    held: list[pa.RecordBatch] = []
+
+    def linked(rows: pa.Table) -> pa.RecordBatch:
+        gid, bits = rows.column("gid").to_numpy(), rows.column("bits")
+        width = pc.binary_length(bits).to_numpy().astype(np.int64) >> 3
+        begins = np.append(np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])), len(gid))
+        flat = np.frombuffer(b"".join(bits.to_pylist()), np.uint64)
+        return forest(*near_links(rows.column("a").to_numpy(), rows.column("slack").to_numpy().astype(np.int64), flat, np.cumsum(width) - width, width, begins))
+
+    for batch in windows(batches, "bits", 4 << 20):
+        held.append(batch)
+        rows = pa.Table.from_batches(held)
+        gid = batch.column("gid").to_numpy()
+        ended = rows.num_rows - batch.num_rows + int(np.argmax(gid == gid[-1]))  # the last group may go on
+        if len(held) > 1 and gid[0] == gid[-1] and held[-2].column("gid")[-1].as_py() == gid[-1]:
+            continue
+        if ended:
+            yield linked(rows.slice(0, ended))
+            held = rows.slice(ended).to_batches()
+            release()
+    if held:
+        yield linked(pa.Table.from_batches(held))
 
 
 def _joining_links(members: list[tuple[int, int | None, bool, bytes]], percent: int, k: int) -> list[tuple[int, int]]:
@@ -283,28 +393,32 @@ def _meet(rows: DataFrame, percent: int, words: int) -> DataFrame:
     return materialize(met.mapInArrow(_verify(percent, words), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block_bytes: int = 8 << 20, hot_share: float = 0.002) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id (smallest id reachable by links of similarity percent / 100 or more)."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85, block_bytes: int = 8 << 20, hot_share: float = 0.002, rounds: int = 1) -> DataFrame:
+    """For each row: doc_id, n_shingles, component_id (smallest id reachable by links of similarity percent / 100 or more).
+
+    Signatures are met in so many `rounds`, each of which reads the texts again and holds its part of the signatures on disk.
+    """
     texts = text_bytes(docs, text_col, F.col(id_col).cast("long").alias("doc_id"))
 
     @tidy
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row's set size and class; and rows (shingle, how many distinct sets of a window have it) of the shingles that are frequent there."""
+        """Each row's set size, class and sketch; and rows (shingle, how many distinct sets of a window have it) of the shingles that are frequent there."""
         for batch in windows(batches, size=8 << 20):
             sets = shingles(batch.column("text"), words)
             ids = [_class(h) for h in sets]
             size, none = len(sets), pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), none], ["doc_id", "n", "cid", "cid2", "shingle"])
+            bits = pa.array([sketch(h).tobytes() for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), none, bits], ["doc_id", "n", "cid", "cid2", "shingle", "bits"])
             one = dict(zip(ids, sets, strict=True))
             shingle, n = np.unique(np.concatenate(list(one.values())), return_counts=True)
             often = n >= max(2, hot_share * size)
             shingle, n = shingle[often].view(np.int64), n[often]
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none, pa.array(shingle)], ["doc_id", "n", "cid", "cid2", "shingle"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none, pa.array(shingle), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "cid", "cid2", "shingle", "bits"])
             release()
 
-    found = materialize(texts.mapInArrow(describe, "doc_id long, n long, cid long, cid2 long, shingle long"), "sets")
-    rows = found.where("shingle is null").drop("shingle")
+    found = materialize(texts.mapInArrow(describe, "doc_id long, n long, cid long, cid2 long, shingle long, bits binary"), "sets")
+    rows = found.where("shingle is null").drop("shingle", "bits")
     usable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = materialize(rows.where(usable).groupBy("cid", "cid2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("k")), "classes")
     n_rows, n_classes, most, n_shingles = classes.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("*"), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -317,39 +431,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     plans = allocate(starts, {r.band: r.k for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("k")).collect()}, percent, share)
     shared = docs.sparkSession.sparkContext.broadcast((starts, plans, hot))
 
-    @tidy
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sig, a): each signature of a window with its first class there; (null, a, b): links from that to its other classes."""
-        seen: set[tuple[int, int]] = set()
-        starts, plans, hot = shared.value
-        for batch in windows(batches, size=4 << 20):
-            sets, ids = [], []
-            for h in shingles(batch.column("text"), words):
-                if len(h) and (c := _class(h)) not in seen:
-                    seen.add(c)
-                    sets.append(h)
-                    ids.append(c[0])
-            if len(seen) > 200_000:
-                seen.clear()
-            owner, sig = signatures(sets, starts, plans, hot)
-            if not len(sig):
-                continue
-            order = np.argsort(sig, kind="stable")
-            sig, cid = sig[order].view(np.int64), np.array(ids, np.int64)[owner[order]]
-            begins = np.concatenate([[True], sig[1:] != sig[:-1]])
-            center = cid[np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))]
-            links = forest(center[~begins], cid[~begins])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), links.column("a"), links.column("b")], ["sig", "a", "b"])
-            sig, cid = sig[begins], cid[begins]
-            for at in range(0, len(sig), 100_000):
-                part = pa.array(cid[at : at + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 100_000]), part, pa.nulls(len(part), pa.int64())], ["sig", "a", "b"])
-            del sets, owner, sig, cid, order, begins, center
-            release()
-
-    signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, a long, b long")
-    signed = signed.repartition(F.coalesce(F.col("sig"), F.xxhash64("a", "b"))).sortWithinPartitions("sig", "a")
-    clusters = connected_components(signed.mapInArrow(_stars, "a long, b long"), contracted=True)
+    def shared_signatures(turn: int) -> DataFrame:
+        """The links and groups of those signatures whose remainder by `rounds` is `turn`."""
+
+        @tidy
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(sig, a, slack beyond its own): each signature of a window with its first class there, and those whose sketch is not nearly the first one's; (null, a, b): links from it to the others."""
+            seen: set[tuple[int, int]] = set()
+            starts, plans, hot = shared.value
+            for batch in windows(batches, size=4 << 20):
+                sets, ids = [], []
+                for h in shingles(batch.column("text"), words):
+                    if len(h) and (c := _class(h)) not in seen:
+                        seen.add(c)
+                        sets.append(h)
+                        ids.append(c[0])
+                if len(seen) > 200_000:
+                    seen.clear()
+                owner, sig = signatures(sets, starts, plans, hot)
+                mine = sig % _U(rounds) == turn
+                owner, sig = owner[mine], sig[mine]
+                if not len(sig):
+                    continue
+                order = np.argsort(sig, kind="stable")
+                sig, owner = sig[order].view(np.int64), owner[order]
+                bits = [sketch(h) for h in sets]
+                width = np.array([len(x) for x in bits])
+                slack = own_slack(np.array([len(h) for h in sets]), percent)
+                begins = np.concatenate([[True], sig[1:] != sig[:-1]])
+                first = np.maximum.accumulate(np.where(begins, np.arange(len(sig)), 0))
+                more = np.flatnonzero(~begins)
+                pair, of = np.unique(owner[first[more]] * len(sets) + owner[more], return_inverse=True)
+                x, y = pair // len(sets), pair % len(sets)
+                apart = distances(np.concatenate(bits), np.cumsum(width) - width, width, x, y)
+                like = (apart <= slack[y] // 2) & (width[x] == width[y])
+                cid, extra = np.array(ids, np.int64), np.zeros(len(sig), np.int64)
+                np.maximum.at(extra, first[more[like[of]]], (slack[y] + apart - slack[x])[of[like[of]]])
+                links = forest(cid[x[like & (x != y)]], cid[y[like & (x != y)]])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(links), pa.int64()), links.column("a"), links.column("b")], ["sig", "a", "b"])
+                kept = np.ones(len(sig), bool)
+                kept[more[like[of]]] = False
+                sig, cid, extra = sig[kept], cid[owner[kept]], extra[kept]
+                for at in range(0, len(sig), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (sig, cid, extra)], ["sig", "a", "b"])
+                del sets, owner, sig, cid, order, begins, first, kept, extra, bits, mine
+                release()
+
+        signed = texts.where("doc_id is not null").mapInArrow(index, "sig long, a long, b long")
+        signed = signed.repartition(F.coalesce(F.col("sig"), F.xxhash64("a", "b"))).sortWithinPartitions("sig", "a", "b")
+        return materialize(signed.mapInArrow(_groups, "a long, b long, members array<long>, slack array<long>"), "groups")
+
+    # the signatures of all rounds together would take several times the disk of the texts
+    parts = [shared_signatures(turn) for turn in range(rounds)]
+    grouped = functools.reduce(DataFrame.unionByName, parts)
+    groups = grouped.where("members is not null").select("members", "slack").distinct()
+    asked = groups.select(F.xxhash64("members", "slack").alias("gid"), F.explode(F.arrays_zip("members", "slack")).alias("m")).select("gid", F.col("m.members").alias("a"), F.col("m.slack").alias("slack"))
+    own = F.ceil(F.col("n") * (100 - percent) / (100 + percent))
+    sketches = found.where("shingle is null").where(usable).select(F.col("cid").alias("a"), own.alias("own"), "bits").dropDuplicates(["a"])
+    asked = asked.join(sketches.hint("merge"), "a").select("gid", "a", (F.col("slack") + F.col("own")).alias("slack"), "bits").repartition("gid").sortWithinPartitions("gid", "a")
+    near = asked.mapInArrow(_near, "a long, b long").unionByName(grouped.where("members is null").select("a", "b"))
+    clusters = connected_components(near, contracted=True)
+    for part in parts:
+        discard(part)
     clusters = clusters.unionByName(clusters.select(F.col("label").alias("node"), "label").distinct())
     named = materialize(clusters.withColumnRenamed("node", "cid").join(classes.select("cid", "rep"), "cid").select("rep", F.col("label").alias("cluster")).distinct(), "named")
 
@@ -391,7 +534,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sent = sent.withColumnRenamed("i", "own").withColumn("i", F.explode(F.sequence(zero, F.col("blocks") - 1))).where("i <> own")
         more = _meet(base.drop("more").unionByName(sent.drop("own", "more")), percent, words)
         links = more.unionByName(joined.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        discard(placed)
+        for made in (placed, big, outside):
+            discard(made)
     labels = connected_components(links)
     discard(held)
     # labels come to classes first, of which no two share a representative, and then to rows

@@ -196,6 +196,57 @@ def test_jaccard_keeps_links_behind_frequent_shingles(spark):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 3, 80)
 
 
+def test_sketches_tell_unlike_sets_and_no_close_ones():
+    rng = np.random.default_rng(8)
+    for n in [1, 2, 9, 70, 300, 2000, 40_000, 90_000]:
+        sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(3)]
+        sets += [np.unique(np.concatenate([sets[0][k:], rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (0, n // 30, n // 10)]
+        bits = [jaccard_join.sketch(h) for h in sets]
+        width = np.array([len(b) for b in bits])
+        x, y = np.repeat(np.arange(6), 6), np.tile(np.arange(6), 6)
+        apart = jaccard_join.distances(np.concatenate(bits), np.cumsum(width) - width, width, x, y)
+        assert all(d <= len(np.setxor1d(sets[a], sets[b])) for a, b, d in zip(x, y, apart, strict=True))
+        slack = jaccard_join.own_slack(np.array([len(h) for h in sets]), 80)
+        far = apart > slack[x] + slack[y]
+        assert not far[(x == 0) & (y > 2)].any()
+        assert n < 70 or n > 70_000 or far[(x < 3) & (y < 3) & (x != y)].all()
+
+
+def test_near_links_join_what_is_near():
+    """Groups of near and unlike sets: the links join the same as all pairs that are near."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        bases = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(int(rng.integers(1, 4)))]
+        sets = []
+        for _ in range(int(rng.integers(2, 12))):
+            h = bases[int(rng.integers(len(bases)))].copy()
+            h[: int(rng.integers(0, 50))] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            sets.append(np.unique(h))
+        begins = np.unique([0, int(rng.integers(0, len(sets) + 1)), len(sets)])
+        bits = [jaccard_join.sketch(h) for h in sets]
+        width, n = np.array([len(b) for b in bits]), np.arange(len(sets))
+        first, slack, flat = np.cumsum(width) - width, jaccard_join.own_slack(np.array([len(h) for h in sets]), 80), np.concatenate(bits)
+        a, b = jaccard_join.near_links(n, slack, flat, first, width, begins)
+        x, y = np.repeat(n, len(n)), np.tile(n, len(n))
+        group = np.searchsorted(begins, n, "right")
+        near = (jaccard_join.distances(flat, first, width, x, y) <= slack[x] + slack[y]) & (group[x] == group[y]) & (x != y)
+        assert jaccard_join.forest(a, b).equals(jaccard_join.forest(x[near], y[near]))
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_unlike_texts_that_share_a_run_of_words_do_not_meet(spark, monkeypatch, rounds):
+    """Runs of a few words are in many texts, each in less than is frequent; texts that share no more than those are no candidates, so none is sent to many blocks."""
+    met, meet = [], jaccard_join._meet
+    monkeypatch.setattr(jaccard_join, "_meet", lambda rows, *more: met.append(rows.count()) or meet(rows, *more))
+    rng = random.Random(12)
+    runs = [words(random.Random(i), 14, 10_000) for i in range(30)]
+    rows = [(i, " ".join(words(rng, 15, 100_000) + " " + rng.choice(runs) for _ in range(2))) for i in range(600)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:20]]
+    got = jaccard_join.jaccard_components(table(spark, rows).repartition(4), words=5, percent=80, block_bytes=3000, hot_share=0.5, rounds=rounds)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, 5, 80)
+    assert sum(met) < len(rows)
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(table(spark, [])).collect() == []
     assert sorted(r.component_id for r in jaccard_join.jaccard_components(table(spark, [(1, None), (2, "")])).collect()) == [1, 2]
