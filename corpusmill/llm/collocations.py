@@ -29,10 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_bounded, materialize, release, skew_safe_join, tidy, windows
+from .common import batches_bounded, materialize, release, skew_safe_join, splits_bounded, tidy, windows
 
 #: Bytes of text of one language in a shard.
 SHARD_BYTES = 6 << 20
+#: Shards of a row group; a task that writes or reads shards holds one group in memory.
+GROUP_SHARDS = 4
+#: Bytes of shards, compressed, that one task counts; it holds their phrases in memory.
+SPLIT_BYTES = 4 << 20
 #: Bits of the map that tells which shorter phrases may be frequent.
 FILTER_BITS = 1 << 26
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -206,14 +210,15 @@ def mine_collocations(docs: DataFrame, most_words: int = 3, least: int = 10, sha
     """Each language's first phrases: lang, rank, phrase, a, l, r, n (all words of the language), score."""
     spark = docs.sparkSession
     with batches_bounded(spark):
-        shard = materialize(shards(docs, text_col, lang_col), "shards")
+        shard = materialize(shards(docs, text_col, lang_col), "shards", GROUP_SHARDS)
+    with batches_bounded(spark), splits_bounded(spark, SPLIT_BYTES):
         words = materialize(_counted(shard, 1, None), "words")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     grams = [words.where(F.col("f") >= least)]
     for k in range(2, most_words + 1):
         packed = np.packbits(_filter(grams[-1], k - 1, filter_bits), bitorder="little")
         shared = spark.sparkContext.broadcast(packed)
-        with batches_bounded(spark):
+        with batches_bounded(spark), splits_bounded(spark, SPLIT_BYTES):
             grams.append(materialize(_counted(shard, k, shared).where(F.col("f") >= least), f"phrases-{k}"))
         shared.destroy()
     everything = grams[0]

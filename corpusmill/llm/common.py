@@ -40,14 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet to the shared folder and read it again."""
+def materialize(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """Cut lineage: write df as Parquet to the shared folder and read it again. group_rows: rows of a row group at most; Parquet looks at its bytes after a hundred only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_SHUFFLES)
     spark.conf.set(_CLEAN_SHUFFLES, "true")  # the table replaces the shuffles that made it
     try:
-        df.write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+        bounds = {"parquet.block.row.count.limit": str(group_rows)} if group_rows else {}
+        df.write.options(compression="zstd", **{"parquet.block.size": str(ROW_GROUP_BYTES)}, **bounds).parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     made = spark.read.schema(df.schema).parquet(path)
@@ -83,6 +84,22 @@ def batches_bounded(spark: SparkSession, size: int = 4 << 20, rows: int = 2000)
             spark.conf.set(k, v)
 
 
+@contextlib.contextmanager
+def splits_bounded(spark: SparkSession, size: int) -> Iterator[None]:
+    """Files are read in splits of at most about `size` bytes by the jobs that run within; a session with smaller ones keeps them."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    jvm = spark._jsparkSession.sessionState().conf()
+    now = (jvm.filesMaxPartitionBytes(), jvm.filesOpenCostInBytes())
+    before = [spark.conf.get(k) for k in keys]
+    for k, is_now in zip(keys, now, strict=True):
+        spark.conf.set(k, str(min(is_now, size)))
+    try:
+        yield
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def text_bytes(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """keep..., and the text as UTF-8 in column `text` (null: empty)."""
     return df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))

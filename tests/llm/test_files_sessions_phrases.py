@@ -4,9 +4,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +222,33 @@ def test_collocations_of_small_shards(spark, prose, monkeypatch):
     )
 
 
+def test_shards_are_held_a_few_at_once(spark, prose, monkeypatch):
+    """Row groups of a few shards, however many a task writes, and tasks of a few groups; the counts stay."""
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 200)
+    monkeypatch.setattr(collocations, "SPLIT_BYTES", 4000, raising=False)
+    made, write, before = {}, collocations.materialize, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def seen(df, name, *more):
+        if name == "words":
+            made["tasks"] = made["shards"].rdd.getNumPartitions()
+        made[name] = write(df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(collocations, "materialize", seen)
+    rows_key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows_key)
+    spark.conf.set(rows_key, "5")
+    try:
+        got = collocations.mine_collocations(table(spark, prose).coalesce(1)).collect()
+    finally:
+        spark.conf.set(rows_key, usual)
+    groups = [(f, g) for p in Path(made["shards"].written_to.removeprefix("file://")).glob("*.parquet") if (f := pq.ParquetFile(p).metadata) for g in range(f.num_row_groups)]
+    rows = [f.row_group(g).num_rows for f, g in groups]
+    assert sum(rows) > 50 and max(rows) <= 4 and made["tasks"] > 1
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert sorted((r.lang, r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in got) == phrases_by_force(prose, 10, 50, 2000)
+
+
 def test_suffix_array_sorts_and_shares():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 4, 500).astype(np.int32)
